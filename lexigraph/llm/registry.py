@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding
+from . import bpe_automaton, licenses, packing, sharding
 
 QUERIES = {
     "op2_license_scan": licenses.op2,
+    "op5_bpe_automaton": bpe_automaton.op5,
+    "op9_packing": packing.op9,
     "op10_sharding": sharding.op10,
 }
 
