@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,7 +118,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Slices of a batch of about `most` bytes of text each, a longer text in a slice of its own."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > most:
