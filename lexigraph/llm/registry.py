@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, licenses, packing, sharding
+from . import bpe_automaton, language_id, licenses, packing, quality, sharding
 
 QUERIES = {
     "op2_license_scan": licenses.op2,
     "op5_bpe_automaton": bpe_automaton.op5,
+    "op7_language_id": language_id.op7,
+    "op8_quality_rules": quality.op8,
     "op9_packing": packing.op9,
     "op10_sharding": sharding.op10,
 }
