@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, language_id, licenses, near_duplicates, packing, quality, sharding, substrings
+from . import bpe_automaton, flac, language_id, licenses, near_duplicates, packing, quality, sharding, substrings
 
 QUERIES = {
     "op2_license_scan": licenses.op2,
     "op3_substring_dedup": substrings.op3,
     "op4_hyperminhash": near_duplicates.op4,
     "op5_bpe_automaton": bpe_automaton.op5,
+    "op6_flac": flac.op6,
     "op7_language_id": language_id.op7,
     "op8_quality_rules": quality.op8,
     "op9_packing": packing.op9,
