@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, flac, language_id, licenses, near_duplicates, packing, quality, sharding, substrings
+from . import bpe_automaton, flac, language_id, licenses, lm_scoring, near_duplicates, packing, quality, sharding, substrings
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1,
     "op2_license_scan": licenses.op2,
     "op3_substring_dedup": substrings.op3,
     "op4_hyperminhash": near_duplicates.op4,
