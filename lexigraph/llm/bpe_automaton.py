@@ -17,7 +17,6 @@ Decoding emits the arcs' labels.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import unicodedata
@@ -27,18 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_tokens import ODD, default_path
+from .byte_tokens import ODD, byte_letters, default_path
 from .common import documents, pieces
 
 
-@functools.cache
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in byte-level BPE files."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
-
-
 class IntTable:
     """A hash table from non-negative 64-bit keys to integers that looks up whole arrays."""
 
