@@ -14,7 +14,8 @@ deviations for the sets of `estimate_from` shingles and more it is used on).
 Equal sets are one class, so exact copies cost one row. In a bucket, not all pairs are made:
 a star joins all members to one centre, verified stars are turned into components, a second
 star from another centre follows, and only members of a bucket that are then still in
-different components are compared with one another.
+different components are compared with one another, where exact bounds on what they can share
+leave room for a link.
 
 Defined cases: null or blank texts have no shingles and stay alone; a text with fewer words
 than a shingle has its words as one shingle; rows that repeat doc_id and text are one
@@ -32,6 +33,7 @@ from .common import documents, materialize, mix64, pieces, text_bytes, whole_tex
 from .components import connected_components
 
 BANDS, ROWS, THRESHOLD_PERCENT, ESTIMATE_FROM, SLACK = 36, 5, 80, 200, 0.25
+RARE, PARTS = 10, 64
 MANTISSA_BITS = 10
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,6 +158,52 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
 
 
+def _ordered(a: str, b: str) -> tuple:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _reaches(shared, n_a, n_b, percent: int):
+    """Whether sets of these sizes with at most so many shared members can reach the threshold."""
+    return 100 * shared >= percent * (n_a + n_b - shared)
+
+
+def open_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RARE, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, are in different components, and can reach the threshold.
+
+    Exact bounds discard the others before they are made. A shingle is rare if at most `rare`
+    of the classes still open have it. Pairs with a rare shingle in common are found through it,
+    at most rare / 2 for each of a class's shingles, and counted. Without one, two classes share
+    at most the sum, over parts of the shingles' hash range, of the lesser number of common
+    shingles each has there.
+    """
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    left = materialize(placed.join(mixed, "bucket", "left_semi").select("bucket", "class_id", "component"), "nd-open")
+    classes = left.groupBy("class_id").agg(F.min("component").alias("component"))
+    each = materialize(sets.join(classes, "class_id").select("class_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "nd-open-shingles")
+    seldom = each.groupBy("shingle").agg(F.count("*").alias("seen")).where(F.col("seen") <= rare).select("shingle", "seen")
+    marked = materialize(each.join(seldom, "shingle", "left"), "nd-marked")
+    part = F.pmod("shingle", F.lit(parts))
+    common = F.col("seen").isNull()
+    sizes = marked.groupBy("class_id").agg(F.first("n").alias("n"), F.count_if(common).cast("int").alias("common"), F.array(*[F.count_if(common & (part == i)).cast("int") for i in range(parts)]).alias("held"))
+    sizes = materialize(sizes, "nd-sizes")
+
+    side = marked.where("seen > 1").select("shingle", "class_id", "component", "n")
+    other = side.select("shingle", F.col("class_id").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("other_n"))
+    met = side.join(other, "shingle").where((F.col("component") < F.col("other_component")) & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")))
+    met = met.groupBy("class_id", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("other_n").alias("other_n"))
+    has = lambda c, name: sizes.select(F.col("class_id").alias(c), F.col("common").alias(name))
+    met = met.join(has("class_id", "k"), "class_id").join(has("other", "other_k"), "other")
+    met = met.where(_reaches(F.col("shared") + F.least("k", "other_k"), F.col("n"), F.col("other_n"), percent)).select(*_ordered("class_id", "other"))
+
+    one = left.join(sizes, "class_id").where(_reaches(F.col("common"), F.col("n"), F.col("common"), percent))
+    two = one.select("bucket", *(F.col(c).alias(f"other_{c}") for c in ("class_id", "component", "n", "common", "held")))
+    least = F.aggregate(F.zip_with("held", "other_held", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    cheap = _reaches(F.least("common", "other_common"), F.col("n"), F.col("other_n"), percent)
+    fits = F.when((F.col("component") < F.col("other_component")) & cheap, _reaches(least, F.col("n"), F.col("other_n"), percent)).otherwise(False)
+    near = one.join(two, "bucket").where(fits).select(*_ordered("class_id", "other_class_id"))
+    return met.union(near).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int, percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     count = bands * rows
@@ -173,21 +221,16 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = THRESHOLD_PERCEN
     sets = materialize(full_sets(docs, classes.select("class_id", "doc_id", "text_key").join(wanted, "class_id", "left_semi"), words), "nd-sets")
     few = materialize(classes.select("class_id", "n_shingles", "registers").join(wanted, "class_id", "left_semi"), "nd-candidates")
 
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tried = links = None
     parts = wanted.select(F.col("class_id").alias("node"), F.col("class_id").alias("component"))
     for turn in ("low", "high", "all"):
         placed = members.join(parts, members["class_id"] == parts["node"], "left").select("bucket", "class_id", "low", "high", F.coalesce("component", "class_id").alias("component"))
         if turn == "all":
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            left = placed.join(mixed, "bucket", "left_semi").select("bucket", "class_id", "component")
-            other = left.select("bucket", F.col("class_id").alias("other"), F.col("component").alias("other_component"))
-            pairs = left.join(other, "bucket").where("component < other_component").select(*ordered("class_id", "other"))
+            pairs = open_pairs(placed, sets, percent)
         else:
             centre = parts.select(F.col("node").alias(turn), F.col("component").alias("centre_component"))
             starred = placed.where(F.col("class_id") != F.col(turn)).join(centre, turn, "left")
-            pairs = starred.where(F.coalesce("centre_component", turn) != F.col("component")).select(*ordered("class_id", turn))
-        pairs = pairs.distinct()
+            pairs = starred.where(F.coalesce("centre_component", turn) != F.col("component")).select(*_ordered("class_id", turn)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "nd-pairs")
