@@ -34,7 +34,7 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, blocks: int
     """
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_block"))
-    v = vectors.select("vec_id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("v_norm")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    v = vectors.select("vec_id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("v_norm")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     pairs = v.join(q, "_block").where("vec_id <> query_id").select("query_id", "vec_id", (dot / (F.col("q_norm") * F.col("v_norm"))).alias("similarity"))
     return first_per_key(pairs, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("vec_id")], k)

@@ -31,8 +31,8 @@ def upsert_edges(delta: DataFrame, stored: DataFrame | None = None, seq: str = "
     rest = [c for c in rows.columns if c not in EDGE_KEY + [seq]]
     one = rows.groupBy(*EDGE_KEY).agg(
         F.max(F.struct(seq, *rest)).alias("_last"),
-        F.min(F.struct(seq, *(c for c in ("id", "source") if c in rest))).alias("_first"),
-        F.max(F.when((F.col(seq) == -(2**62)) & F.col("status").isin("confirmed", "rejected"), F.col("status"))).alias("_reviewed"),
+        F.min(F.struct(F.col(seq).alias("seq"), *(c for c in ("id", "source") if c in rest))).alias("_first"),
+        *([] if stored is None else [F.max(F.when((F.col(seq) == -(2**62)) & F.col("status").isin("confirmed", "rejected"), F.col("status"))).alias("_reviewed")]),
     )
     status = F.col("_last.status")
     if keep_review and stored is not None:

@@ -15,6 +15,8 @@ from ..schema import key
 from .ranks import last_write
 
 INTRO = "(intro)"
+#: Up to so many forms the vocabulary travels to the sections; beyond, both are shuffled.
+BROADCAST_FORMS = 20_000
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -55,6 +57,13 @@ def _tokens(c):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
+def _ngrams(n: int):
+    if n == 1:
+        return F.col("words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+
+
 def dictionary_match(sections: DataFrame, forms: DataFrame) -> DataFrame:
     """ref, idx, concept_id, heading_hit for each concept of which a form stands in a section.
 
@@ -63,13 +72,12 @@ def dictionary_match(sections: DataFrame, forms: DataFrame) -> DataFrame:
     that bound. Forms without a letter or digit are compared with each section directly.
     """
     forms = forms.withColumn("gram", F.array_join(_tokens("form"), " ")).withColumn("n", F.size(_tokens("form")))
-    lengths = sorted(r["n"] for r in forms.where("n > 0").select("n").distinct().collect())
+    sizes = {r["n"]: r["forms"] for r in forms.groupBy("n").agg(F.count("*").alias("forms")).collect()}  # as many as lengths
+    lengths = sorted(n for n in sizes if n > 0)
+    forms = F.broadcast(forms) if sum(sizes.values()) <= BROADCAST_FORMS else forms.hint("shuffle_merge")
     text = F.concat_ws("\n", F.when(F.col("heading") != INTRO, F.col("heading")), F.col("body"))
     own = sections.select("ref", "idx", "heading", "body", _tokens(text).alias("words"), text.alias("text"))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("words", i, F.lit(n)), " ")) if n > 1 else F.col("words")
-        for n in lengths
-    ]
+    grams = [_ngrams(n) for n in lengths]
     every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
     hits = own.select("ref", "idx", "heading", "text", F.explode(every).alias("gram")).join(forms, "gram")
     pattern = F.concat(F.lit("(?iu)" + T.LEFT + r"\Q"), F.col("form"), F.lit(r"\E" + T.RIGHT))

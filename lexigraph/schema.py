@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-CONCEPT = StructType.fromDDL("id string not null, name string not null, definition string, bounded_context string, aliases array<string>, status string not null")
-ARTIFACT = StructType.fromDDL("id string not null, kind string not null, layer string not null, source string not null, ref string not null, title string, body string, attrs map<string,string>")
-MENTION = StructType.fromDDL("id string not null, artifact_id string not null, term string not null, normalized string not null, span int")
-EDGE = StructType.fromDDL("id string not null, src_id string not null, dst_id string not null, type string not null, source string not null, confidence double not null, evidence array<string>, status string not null")
-SOURCE_FILE = StructType.fromDDL("path string not null, mtime long not null")
-USAGE_EVENT = StructType.fromDDL("ts long not null, tool string not null, q string, hit boolean, chars int, ms long")
-VERDICT_CONCEPT = StructType.fromDDL("cluster string not null, keep boolean, name string, definition string, bounded_context string, aliases array<string>, confidence double")
-VERDICT_RULE = StructType.fromDDL("id int not null, keep boolean, refined string")
-CODE_GRAPH = StructType.fromDDL(
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
+
+_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType(), "array<string>": ArrayType(StringType()), "map<string,string>": MapType(StringType(), StringType())}
+
+
+def _struct(spec: str) -> StructType:
+    """A schema from "name type, ..." (made without a session)."""
+    parts = [p.split(" ") for p in spec.split(", ")]
+    return StructType([StructField(p[0], _TYPES[p[1]], "not" not in p) for p in parts])
+
+
+CONCEPT = _struct("id string not null, name string not null, definition string, bounded_context string, aliases array<string>, status string not null")
+ARTIFACT = _struct("id string not null, kind string not null, layer string not null, source string not null, ref string not null, title string, body string, attrs map<string,string>")
+MENTION = _struct("id string not null, artifact_id string not null, term string not null, normalized string not null, span int")
+EDGE = _struct("id string not null, src_id string not null, dst_id string not null, type string not null, source string not null, confidence double not null, evidence array<string>, status string not null")
+SOURCE_FILE = _struct("path string not null, mtime long not null")
+USAGE_EVENT = _struct("ts long not null, tool string not null, q string, hit boolean, chars int, ms long")
+VERDICT_CONCEPT = _struct("cluster string not null, keep boolean, name string, definition string, bounded_context string, aliases array<string>, confidence double")
+VERDICT_RULE = _struct("id int not null, keep boolean, refined string")
+#: Nested code-graph exports, as DDL.
+CODE_GRAPH = (
     "repo string, source string, "
     "communities array<struct<label:string, members:array<struct<kind:string, name:string, file:string>>>>, "
     "calls array<struct<`from`:string, `to`:string>>"
