@@ -96,7 +96,7 @@ def _bit_fields(value: np.ndarray, width: np.ndarray, end: np.ndarray, total: in
     return out[:size].astype(np.uint8)
 
 
-def encode_many(payloads: list[bytes], block: int = BLOCK, most_order: int = 2) -> list[bytes]:
+def encode_many(payloads: list[bytes], block: int = BLOCK, most_order: int = 1) -> list[bytes]:
     """A FLAC stream for each payload of 8-bit samples (bytes less 128), block by block."""
     sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
     if not len(sizes) or not sizes.sum():
@@ -340,15 +340,20 @@ def _decode_frames(data, body, stop, first, size, owner, depth, infos) -> list[n
             folded = bits.unary(coded)
             k = rice[coded]
             folded = folded << k | bits.take(coded, k)
-            value = np.zeros(len(body), np.int64)
-            value[coded] = folded >> 1 ^ -(folded & 1)
-            raw = live[escape[live] >= 0]
-            if len(raw):
-                value[raw] = _signed(bits.take(raw, escape[raw]), escape[raw])
-            guess = np.zeros(len(live), np.int64)
-            for j in range(min(i, int(order[live].max()))):
-                guess += coefficients[live, j] * out[live, i - 1 - j]
-            out[live, i] = value[live] + (guess >> shift[live])
+            value = folded >> 1 ^ -(folded & 1)
+            if len(coded) < len(live):
+                both = np.zeros(len(body), np.int64)
+                both[coded] = value
+                raw = live[escape[live] >= 0]
+                both[raw] = _signed(bits.take(raw, escape[raw]), escape[raw])
+                value = both[live]
+            most_taps = min(i, int(order[live].max()))
+            if most_taps:
+                guess = coefficients[live, 0] * out[live, i - 1]
+                for j in range(1, most_taps):
+                    guess += coefficients[live, j] * out[live, i - 1 - j]
+                value += guess >> shift[live]
+            out[live, i] = value
     if (bits.at > 8 * (stop - 2)).any():
         raise ValueError("a subframe runs past the end of its frame")
     result, at = [], 0
