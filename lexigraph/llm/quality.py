@@ -207,13 +207,14 @@ def fit_cells(counts: DataFrame, support: float = SUPPORT, steps: int = STEPS, l
 
 def judge(counted: DataFrame, names: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """counted (documents with counts) with base_failed, distance and kept; cells are few, rows stay where they are."""
-    rows = _in_cells(counted.drop("base_failed", "distance", "kept"), names)
-    for i, f in enumerate(features()):
-        rows = rows.withColumn(f"f{i}", f)
+    counted = counted.drop("base_failed", "distance", "kept")
+    # the documents' own columns travel in a struct, so that no name of theirs meets one used here
+    rows = counted.select(F.struct(*counted.columns).alias("row"), "lang", "source", base_failed().alias("base_failed"), *(f.alias(f"f{i}") for i, f in enumerate(features())))
+    rows = _in_cells(rows, names).join(estimates, list(CELL), "left")
     scale = F.pow(F.lit(2.0), F.col("median_level") / 16.0) / CHI_SQUARE_MEDIAN
-    rows = rows.join(estimates, list(CELL), "left").withColumn("base_failed", base_failed()).withColumn("distance", distance() / F.greatest(scale, F.lit(1e-6)))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
-    return rows.select(*counted.columns, "base_failed", "distance", "kept")
+    rows = rows.withColumn("distance", distance() / F.greatest(scale, F.lit(1e-6)))
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    return rows.select("row.*", "base_failed", "distance", kept.alias("kept"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

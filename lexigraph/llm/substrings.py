@@ -117,15 +117,15 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     extra = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("kept_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     docs = docs.drop(*(f.name for f in extra)).withColumn("text", F.col("text").cast("string"))
     names = docs.columns
-    gone = removed_units(docs, least_words).select(F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
+    gone = removed_units(docs, least_words).select(F.col("row_key").alias("_lx_key"), F.col("gone").alias("_lx_gone"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    joined = docs.withColumn("_row", _row_key()).join(gone, F.col("_row") == F.col("_key"), "left").select(*names, "_gone")
+    joined = docs.withColumn("_lx_row", _row_key()).join(gone, F.col("_lx_row") == F.col("_lx_key"), "left").select(*names, "_lx_gone")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts, more = [], []
-                for text, own in zip(part.column("text").to_pylist(), part.column("_gone").to_pylist()):
+                for text, own in zip(part.column("text").to_pylist(), part.column("_lx_gone").to_pylist()):
                     own = set(own or ())
                     kept, spans, n = keep(text or "", own, least_words)
                     texts.append(None if text is None else kept)
