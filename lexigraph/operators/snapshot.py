@@ -41,4 +41,4 @@ def write(graph: Graph, root: str) -> str:
 
 def read(spark: SparkSession, root: str) -> Graph:
     version = spark.read.schema("version string, schema int").json(f"{root}/current").first()["version"]
-    return Graph(**{name: S.conform(spark.read.parquet(f"{root}/{version}/{name}"), s) for name, s in TABLES.items()})
+    return Graph(**{name: S.conform(spark.read.schema(s).parquet(f"{root}/{version}/{name}"), s) for name, s in TABLES.items()})
