@@ -302,11 +302,17 @@ def lang_tag(spark, d):
 def _html_sql() -> str:
     s = "html"
     for tag in ("script", "style", "noscript", "head"):
-        s = f"regexp_replace({s}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')" if tag != "head" else f"regexp_replace({s}, '(?is)<head[^>]*>.*?</head>', ' ', 'g')"
-    return s
+        s = f"regexp_replace({s}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    for level in range(1, 7):
+        s = f"regexp_replace({s}, '(?is)<h{level}[^>]*>(.*?)</h{level}>', chr(10)||'{'#' * level} \\1'||chr(10), 'g')"
+    s = f"regexp_replace(regexp_replace({s}, '(?i)<li[^>]*>', chr(10)||'- ', 'g'), '(?i)</(p|div|section|article|tr|li|h[1-6])>|<br\\s*/?>', chr(10), 'g')"
+    s = f"regexp_replace({s}, '<[^>]+>', '', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''")):
+        s = f"replace({s}, '{entity}', '{char}')"
+    return f"SELECT page_id, CASE WHEN contains(html, '<') THEN regexp_replace(regexp_replace({s}, '\\n{{3,}}', chr(10)||chr(10), 'g'), '^\\s+|\\s+$', '', 'g') ELSE html END AS content FROM pages"
 
 
-@query(None)
+@query(_html_sql())
 def html_to_text(spark, d):
     return X.table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("content"))
 
