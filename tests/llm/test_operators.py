@@ -327,3 +327,22 @@ def test_model_is_causal_and_learns():
     before, _ = lm_scoring.loss_and_gradient(p, x, target, weight)
     after, _ = lm_scoring.loss_and_gradient(lm_scoring.train(p, x, target, weight, epochs=30), x, target, weight)
     assert after < before - 0.5
+
+
+def test_every_block_of_every_text_is_trained_on(docs):
+    from tokenizers import Tokenizer
+
+    path = byte_tokens.default_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    runs = [np.array(r["run"]) for r in lm_scoring.token_material(docs, path).where("run is not null").collect()]
+    got = collections.Counter()
+    for x, targets in map(lm_scoring.windows_of, runs):
+        assert x.shape == (len(targets), 2 * lm_scoring.BLOCK) and (x[1:, : lm_scoring.BLOCK] == x[:-1, lm_scoring.BLOCK :]).all()
+        got.update(targets[targets >= 0].tolist())
+    want = collections.Counter(i for _, text, *_ in ROWS for i in [*t.encode(lower(text), add_special_tokens=False).ids, t.get_vocab_size() - 1])
+    assert got == want
+    ids = np.arange(5000) % 97
+    blocks = lm_scoring.blocks_of(ids, np.array([40, 0, 4960]), 99)
+    x, targets = (np.concatenate(c) for c in zip(*map(lm_scoring.windows_of, lm_scoring.runs_of(*blocks, most=7))))
+    own = np.setdiff1d(np.arange(len(blocks[0])), blocks[2] - 1)
+    assert (targets == blocks[1][own]).all() and (x == np.concatenate([blocks[0][own - 1], blocks[0][own]], 1)).all()
