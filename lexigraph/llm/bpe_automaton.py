@@ -225,7 +225,7 @@ class WordBpe:
         self.labels = self.automaton.label | {i: t for t, i in self.special.items()}
         self.most = most
         self.words: dict[str, list[int]] = {}
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.cache: dict[str | tuple[str], tuple[str, str]] = {}
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
@@ -233,23 +233,22 @@ class WordBpe:
         text = text.lower()
         return [c for c in self.pattern.findall(text)] if ODD.search(text) else text.split()
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that can be encoded apart: words with what clings to them, and special tokens."""
+    def chunks(self, text: str) -> list[str | tuple[str]]:
+        """Parts of a text that can be encoded apart: words with what clings to them, and special tokens, each in a tuple."""
         if self.cut is None or "<|" not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*self._plain(text[at : m.start()]), "\0" + m[0]]
+            out += [*self._plain(text[at : m.start()]), (m[0],)]
             at = m.end()
         return out + self._plain(text[at:])
 
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
+    def _ids(self, chunks: list[str | tuple[str]]) -> list[list[int]]:
         """The ids of each chunk; words not seen before run through the automaton together."""
-        split = [[c] if c[:1] == "\0" and c[1:] in self.special else self.pattern.findall(c) for c in chunks]
+        split = [() if isinstance(c, tuple) else self.pattern.findall(c) for c in chunks]
         new = list({w for ws in split for w in ws if w not in self.words})
-        self.words.update(zip(new, self.automaton.encode([b"" if w[:1] == "\0" else w.encode() for w in new])))
-        self.words |= {"\0" + t: [i] for t, i in self.special.items()}
-        return [[i for w in ws for i in self.words[w]] for ws in split]
+        self.words.update(zip(new, self.automaton.encode([w.encode() for w in new])))
+        return [[self.special[c[0]]] if isinstance(c, tuple) else [i for w in ws for i in self.words[w]] for c, ws in zip(chunks, split)]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one blank between two (the file names no decoder)."""
@@ -269,7 +268,7 @@ class WordBpe:
         get = self.cache.__getitem__
         out = []
         for cs in split:
-            got = list(map(get, cs))
+            got = [x for x in map(get, cs) if x[0]]
             out.append((" ".join([x[0] for x in got]), " ".join([x[1] for x in got])))
         return out
 

@@ -346,3 +346,17 @@ def test_every_block_of_every_text_is_trained_on(docs):
     x, targets = (np.concatenate(c) for c in zip(*map(lm_scoring.windows_of, lm_scoring.runs_of(*blocks, most=7))))
     own = np.setdiff1d(np.arange(len(blocks[0])), blocks[2] - 1)
     assert (targets == blocks[1][own]).all() and (x == np.concatenate([blocks[0][own - 1], blocks[0][own]], 1)).all()
+
+
+def test_automaton_keeps_words_that_begin_with_nul(spark):
+    from tokenizers import Tokenizer
+
+    path = byte_tokens.default_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["ab \0 cd \0!! x", "\0", "\0\0 \0a", "\0<|endoftext|>\0 <|endoftext|>", " \0 ", "a\0b \0<|endoftext|"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe_automaton.encode_documents(docs, path).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert got[i] == (len(ids), digest(" ".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False))), text
