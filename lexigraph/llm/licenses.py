@@ -1,14 +1,17 @@
 """License scan: exact set-similarity (containment) join of text blocks with license templates.
 
-Native DataFrame operations only. A block is a line of a text; its set is that of its
-distinct lower-cased words. A template T is found in a block B when at least
-ceil(threshold * |T|) of T's distinct words are in B.
+Native DataFrame operations only. A block is a line of a text, or the words around a line
+break: on each side as many as the longest template has, or up to twice as many, over further
+breaks, so that a notice wrapped over lines lies whole in a block. A block's set is that of
+its distinct lower-cased words. A template T is found in a block B when at least
+ceil(threshold * |T|) of T's distinct words are in B. Breaks are looked at only in documents
+that have so many words of some template at all, which loses none.
 
 The join: words are ordered globally, rarest first, by the number of blocks of the whole
 corpus that have them. A block that contains enough of T has one of T's first
 |T| - ceil(threshold * |T|) + 1 words (prefix filter), has at least ceil(threshold * |T|)
-words (length filter), and its first shared word leaves enough later words of T (positional
-filter). What passes is verified on the full sets. Only words of templates can be shared, so
+words (length filter), and from its first shared word on it has enough words, in the global
+order, of those that templates have (positional filter). What passes is verified on the full sets. Only words of templates can be shared, so
 a block is kept as its template words and its size.
 
 Templates are a parameter of a few hundred words, so their words and prefixes are literals
@@ -62,11 +65,37 @@ def needed(size: int, threshold: float) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """One row for each distinct (document, line) with a word: its distinct lower-cased words."""
-    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), F.explode(F.split(whole_text(), "\n")).alias("line"))
+def template_words(text: str) -> int:
+    """The number of words of a template, repeated ones included."""
+    import re
+
+    return len(re.findall(WORD, text.lower()))
+
+
+def _literal(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def text_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The distinct lower-cased words of each line with a word, and of the surroundings of each line break."""
+    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
+    lines = keyed.select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0))
-    return keyed.select("doc_id", "text_key", words.alias("words")).where(F.size("words") > 0)
+    lines = lines.select("doc_id", "text_key", words.alias("words"))
+    return lines.unionByName(break_blocks(keyed, templates, threshold)).where(F.size("words") > 0)
+
+
+def break_blocks(keyed: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The words around each line break, in documents that could have a template; keyed: doc_id, text_key, text."""
+    sets = [words_of(text) for _, text in templates]
+    reach = 2 * max((template_words(text) for _, text in templates), default=0)  # of a line's words or breaks at least every other is a word
+    vocabulary = sorted({w for own in sets for w in own})
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(WORD + r"|\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), 0)
+    known = keyed.where(F.instr("text", "\n") > 0).withColumn("parts", parts).withColumn("known", F.array_intersect("parts", _literal(vocabulary)))
+    enough = functools.reduce(lambda a, b: a | b, [F.size(F.array_intersect("known", _literal(own))) >= needed(len(own), threshold) for own in sets], F.lit(False))
+    able = known.where(enough).select("doc_id", "text_key", "parts", F.posexplode("parts").alias("at", "part")).where(F.col("part").startswith("\n"))
+    near = F.slice("parts", F.greatest(F.col("at") + 1 - reach, F.lit(1)), F.least(F.col("at"), F.lit(reach)) + 1 + reach)
+    return able.select("doc_id", "text_key", F.array_distinct(F.filter(near, lambda w: ~w.startswith("\n"))).alias("words"))
 
 
 def containment_join(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,8 +103,7 @@ def containment_join(blocks: DataFrame, templates=TEMPLATES, threshold: float =
     spark = blocks.sparkSession
     sets = {label: words_of(text) for label, text in templates}
     vocabulary = sorted({w for s in sets.values() for w in s})
-    literal = lambda ws: F.array(*[F.lit(w) for w in ws])
-    slim = blocks.select("doc_id", "text_key", F.size("words").alias("size"), F.array_intersect("words", literal(vocabulary)).alias("words"))
+    slim = blocks.select("doc_id", "text_key", F.size("words").alias("size"), F.array_intersect("words", _literal(vocabulary)).alias("words"))
     slim = materialize(slim.where(F.size("words") > 0), "license-blocks")
     seen = {r["word"]: r["n"] for r in slim.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
@@ -83,19 +111,19 @@ def containment_join(blocks: DataFrame, templates=TEMPLATES, threshold: float =
     for label, own in sets.items():
         ordered = sorted(own, key=rank.get)
         least = needed(len(own), threshold)
-        prefix += [(w, label, i, len(own), least) for i, w in enumerate(ordered[: len(own) - least + 1])]
-    index = spark.createDataFrame(prefix, "word string, label string, place int, template_size int, least int")
-    ranks = F.map_from_arrays(literal(rank), F.array(*[F.lit(i) for i in rank.values()]))
-    starts = F.array_intersect("words", literal(sorted({p[0] for p in prefix})))
-    probes = slim.select("doc_id", "text_key", "size", "words", F.explode(starts).alias("word"))
-    found = probes.join(F.broadcast(index), "word").where((F.col("size") >= F.col("least")) & (F.col("template_size") - F.col("place") >= F.col("least")))
+        prefix += [(rank[w], label, len(own), least) for w in ordered[: len(own) - least + 1]]
+    index = spark.createDataFrame(prefix, "rank int, label string, template_size int, least int")
+    ranks = F.map_from_arrays(_literal(rank), F.array(*[F.lit(i) for i in rank.values()]))
+    order = F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w)))
+    probes = slim.select("doc_id", "text_key", "size", "words", F.posexplode(order).alias("place", "rank")).where(F.col("rank").isin(sorted({p[0] for p in prefix})))
+    found = probes.join(F.broadcast(index), "rank").where((F.col("size") >= F.col("least")) & (F.size("words") - F.col("place") >= F.col("least")))
     shared = F.lit(None)
     for label, own in sets.items():
-        both = F.array_intersect("words", literal(sorted(own, key=rank.get)))
+        both = F.array_intersect("words", _literal(sorted(own, key=rank.get)))
         shared = F.when(F.col("label") == label, both).otherwise(shared)
     # a block meets a template through several prefix words; the first in the global order stands for all
     first = F.array_min(F.transform("shared", lambda w: F.element_at(ranks, w)))
-    verified = found.withColumn("shared", shared).where((F.size("shared") >= F.col("least")) & (F.element_at(ranks, F.col("word")) == first))
+    verified = found.withColumn("shared", shared).where((F.size("shared") >= F.col("least")) & (F.col("rank") == first))
     return verified.select("doc_id", "text_key", "label", (F.size("shared") / F.col("template_size")).alias("containment"))
 
 
@@ -113,7 +141,7 @@ def _places_of(words: Column, parts: list[str], label: str) -> Column:
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: word count, base phrase places and labels, labels of templates found, score."""
     text = whole_text()
-    found = containment_join(text_blocks(docs), templates, threshold)
+    found = containment_join(text_blocks(docs, templates, threshold), templates, threshold)
     found = found.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     lower = F.transform("words", lambda w: F.translate(w, UPPER, LOWER))

@@ -360,3 +360,16 @@ def test_automaton_keeps_words_that_begin_with_nul(spark):
     for i, text in enumerate(texts):
         ids = t.encode(text, add_special_tokens=False).ids
         assert got[i] == (len(ids), digest(" ".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False))), text
+
+
+@pytest.mark.parametrize("width", [1, 30, 72])
+def test_wrapped_license_notices_are_found(spark, width):
+    import textwrap
+
+    rows, want = [], {}
+    for i, (label, text) in enumerate(licenses.TEMPLATES):
+        rows.append((i, "ordinary words before it\n\n# " + "\n# ".join(textwrap.wrap(text, width, break_long_words=False)) + "\n\nand more after it"))
+        want[i] = label
+    rows.append((99, "Permission is hereby granted, free of charge,\n" + "something else\n" * 60 + "to any person obtaining a copy of this software"))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i] for i, label in want.items()) and got[99] == [""]
