@@ -1,12 +1,16 @@
-"""Substring deduplication by hashing lines and the sentences of long lines.
+"""Substring deduplication by hashing lines, runs of short lines, sentences of long lines, and paragraphs.
 
 A text is cut into units: within each line, sentences are joined from the left until a unit
 has `least_words` words; what is left at the line's end joins the unit before it. A unit is
-normalised (lower case, single blanks) and hashed. Of equal units in the whole corpus the
-earliest stays: the one in the document with the smallest doc_id, and there the first. The
-others are removed, each with the white space after it; a short line (which is no unit)
-goes with them if both its neighbours go. Offsets of what is kept refer to the original text,
-in characters.
+normalised (lower case, single blanks) and hashed. A line with fewer words is hashed together
+with the short lines after it, as many as make `least_words` words, from each short line on,
+so a passage in short lines is found wherever it stands; a paragraph (lines up to a blank one)
+of several units or short lines is hashed as a whole as well, so it is found in other line
+breaks. A letter of a script without blanks between words counts as a word. Of equal units in
+the whole corpus the earliest stays: the one in the document with the smallest doc_id, and
+there the first, with those that overlap it. The others are removed, each with the white space
+after it; a short line that is in no unit goes with them if both its neighbours go. Offsets of
+what is kept refer to the original text, in characters.
 
 Digests are combined before they are shuffled, so a line that a third of all documents share
 is as many rows as there are tasks. Only (digest, document, unit number) rows are shuffled to
@@ -31,7 +35,14 @@ from .common import documents, materialize, pieces, whole_text
 
 LEAST_WORDS = 8
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE_END = re.compile(r"[.!?]+\s+")
+_SENTENCE_END = re.compile(r"[.!?]+\s+|[\u3002\uff01\uff1f]+\s*")
+_NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
+
+
+def count_words(words: list[str]) -> int:
+    """Words between blanks, but each letter of scripts that have no blanks between words."""
+    return sum(1 if w.isascii() else max(1, len(_NO_BLANKS.findall(w))) for w in words)
 
 
 def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str | None]]:
@@ -45,7 +56,7 @@ def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str
         for cut in [*(m.end() for m in _SENTENCE_END.finditer(text, begin, end)), end]:
             words += text[at:cut].lower().split()
             at = cut
-            if len(words) >= least_words:
+            if len(words) >= least_words or count_words(words) >= least_words:
                 own.append((begin, cut, words))
                 begin, words = cut, []
         if words:
@@ -57,12 +68,44 @@ def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str
     return out
 
 
-def keep(text: str, gone: set[int], least_words: int = LEAST_WORDS) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the units of these numbers, the spans kept, and the number of units and short lines."""
+def hashed(text: str, parts: list[tuple[int, int, str | None]], least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
+    """(first part, last part, normalised text) of all that is hashed: units, runs of short lines, paragraphs."""
+    out = [(i, i, unit) for i, (_, _, unit) in enumerate(parts) if unit is not None]
+    own = [text[a:b].lower().split() if unit is None else [] for a, b, unit in parts]
+    sizes = [count_words(w) for w in own]
+    total, last = 0, -1
+    for i, (_, _, unit) in enumerate(parts):
+        if unit is not None:
+            continue
+        if last < i:
+            total, last = sizes[i], i
+        while total < least_words and last + 1 < len(parts) and parts[last + 1][2] is None:
+            last += 1
+            total += sizes[last]
+        if total >= least_words:
+            out.append((i, last, " ".join([w for ws in own[i : last + 1] for w in ws])))
+        total -= sizes[i]
+    first = 0
+    for i in range(1, len(parts) + 1):
+        if i == len(parts) or _BLANK_LINE.search(text, parts[i - 1][1] - 1, parts[i][0] + 1):
+            words = text[parts[first][0] : parts[i - 1][1]].lower().split() if i - first > 1 else []
+            if words and count_words(words) >= least_words:
+                out.append((first, i - 1, " ".join(words)))
+            first = i
+    return sorted(set(out))
+
+
+def keep(text: str, gone: set[int], least_words: int = LEAST_WORDS) -> tuple[str, list[tuple[int, int]], int, int]:
+    """The text without what is hashed under these numbers, the spans kept, and the numbers of units and short lines there and hashed away."""
     parts = units(text, least_words)
-    flags = [i in gone for i in range(len(parts))]
+    flags = [False] * len(parts)
+    if gone:
+        for n, (first, last, _) in enumerate(hashed(text, parts, least_words)):
+            if n in gone:
+                flags[first : last + 1] = [True] * (last + 1 - first)
+    own = sum(flags)
     for i in range(1, len(parts) - 1):
-        if parts[i][2] is None and flags[i - 1] and i + 1 in gone:
+        if parts[i][2] is None and flags[i - 1] and flags[i + 1]:
             flags[i] = True
     spans, at = [], 0
     for i, flag in enumerate(flags):
@@ -72,7 +115,7 @@ def keep(text: str, gone: set[int], least_words: int = LEAST_WORDS) -> tuple[str
             at = parts[i + 1][0] if i + 1 < len(parts) else len(text)
     if at < len(text):
         spans.append((at, len(text)))
-    return "".join(text[a:b] for a, b in spans), spans, len(parts)
+    return "".join(text[a:b] for a, b in spans), spans, len(parts), own
 
 
 def _row_key():
@@ -80,7 +123,7 @@ def _row_key():
 
 
 def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, row_key, unit number, two digests, and whether the document has the unit before."""
+    """doc_id, row_key, number among what is hashed, two digests, and whether the document has the same before, apart from it."""
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("unit", pa.int32()), ("digest", pa.int64()), ("check", pa.int32()), ("again", pa.bool_())])
 
     def run(batches):
@@ -90,12 +133,10 @@ def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             for part in pieces(batch, "text"):
                 out = []
                 for doc_id, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                    seen = set()
-                    for i, (_, _, unit) in enumerate(units(text, least_words) if text else ()):
-                        if unit is not None:
-                            h = xxhash.xxh3_128_intdigest(unit)
-                            out.append((doc_id, key, i, (h & 0xFFFFFFFFFFFFFFFF) - 2**63, (h >> 64 & 0xFFFFFFFF) - 2**31, h in seen))
-                            seen.add(h)
+                    seen: dict[int, int] = {}
+                    for i, (first, last, unit) in enumerate(hashed(text, units(text, least_words), least_words) if text else ()):
+                        h = xxhash.xxh3_128_intdigest(unit)
+                        out.append((doc_id, key, i, (h & 0xFFFFFFFFFFFFFFFF) - 2**63, (h >> 64 & 0xFFFFFFFF) - 2**31, seen.setdefault(h, last) < first))
                 columns = list(zip(*out)) if out else [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -127,9 +168,9 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
                 texts, more = [], []
                 for text, own in zip(part.column("text").to_pylist(), part.column("_lx_gone").to_pylist()):
                     own = set(own or ())
-                    kept, spans, n = keep(text or "", own, least_words)
+                    kept, spans, n, removed = keep(text or "", own, least_words)
                     texts.append(None if text is None else kept)
-                    more.append((n, len(own), len(text or "") - len(kept), [{"start": a, "end": b} for a, b in spans]))
+                    more.append((n, removed, len(text or "") - len(kept), [{"start": a, "end": b} for a, b in spans]))
                 columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([m[i] for m in more], pa.int64()) for i in range(3)), pa.array([m[3] for m in more], span)], names=[*names, *(f.name for f in extra)])
 

@@ -373,3 +373,17 @@ def test_wrapped_license_notices_are_found(spark, width):
     rows.append((99, "Permission is hereby granted, free of charge,\n" + "something else\n" * 60 + "to any person obtaining a copy of this software"))
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(label in got[i] for i, label in want.items()) and got[99] == [""]
+
+
+def test_repeats_in_short_lines_and_paragraphs_go(spark):
+    verse = "\n".join(f"verse {i} goes {chr(97 + i)}" for i in range(20))
+    chinese = "".join(chr(0x4E00 + 7 * i) for i in range(30)) + "\n" + "".join(chr(0x5E00 + 11 * i) for i in range(30))
+    prose = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    texts = [verse, f"a title\n{verse}\nan end", chinese, f"\u6807\u9898\n{chinese}", prose, "head\n\n" + prose.replace("eleven ", "eleven\n").replace("five ", "five\n") + "\n\ntail"]
+    texts += ["\n".join(["la la la"] * 20), "short line\nanother line\nthird one", "la la la\nnothing else"]
+    rows = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = [rows[i]["text"] for i in range(len(texts))]
+    assert got[0] == verse and got[2] == chinese and got[4] == prose and got[7:] == texts[7:]
+    assert got[1] == "a title\nan end" and rows[1]["n_removed"] == 20
+    assert got[3] == "\u6807\u9898\n" and got[5] == "head\n\ntail"
+    assert got[6] == "la la la\n" * 3 and rows[6]["n_removed"] == 17
