@@ -387,3 +387,26 @@ def test_repeats_in_short_lines_and_paragraphs_go(spark):
     assert got[1] == "a title\nan end" and rows[1]["n_removed"] == 20
     assert got[3] == "\u6807\u9898\n" and got[5] == "head\n\ntail"
     assert got[6] == "la la la\n" * 3 and rows[6]["n_removed"] == 17
+
+
+def test_texts_between_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    learn = docs.where("doc_id % 4 <> 2")
+    dictionaries, margins = language_id.fit_dictionaries(learn), language_id.fit_margins(learn)
+    assert all(m > language_id.MARGIN for m in margins)
+    r, clean = random.Random(1), docs.where("doc_id % 4 = 2 and lang is not null and octet_length(text) >= 60").toPandas()
+    by_lang = {lang: list(own["text"]) for lang, own in clean.groupby("lang")}
+    rows = [(f"clean {'short' if len(t.encode()) < 400 else 'long'}", t) for t in clean["text"]]
+    for n in (300, 1600, 6000):
+        rows += [(f"foreign {n}", "".join(r.choice(letters + "     ") for _ in range(n))) for letters in ("abcdefghijklmnopqrstuvwxyz", "abdeghiklmnoprstu", "αβγδεζηθικλμνξοπρστυφχψω") for _ in range(30)]
+    for n in (150, 3000):
+        for _ in range(100):
+            a, b = ("\n".join(r.sample(by_lang[lang], 5)) for lang in r.sample(sorted(by_lang), 2))
+            rows.append((f"mixed {n}", a[: n // 2] + " " + b[: n // 2]))
+    got = collections.defaultdict(list)
+    for x in language_id.classify(spark.createDataFrame(rows, "kind string, text string"), dictionaries, margins).collect():
+        got[x["kind"]].append(x["rejected"])
+    share = {kind: sum(own) / len(own) for kind, own in got.items()}
+    print(margins, share)
+    assert share["clean long"] <= 0.05 and share["clean short"] <= 0.2
+    assert all(share[f"foreign {n}"] >= 0.9 for n in (300, 1600, 6000)) and all(share[f"mixed {n}"] >= 0.25 for n in (150, 3000))
