@@ -131,9 +131,9 @@ def candidate_concepts(concepts: DataFrame, edges: DataFrame, artifacts: DataFra
     return open_.join(first, "id").join(dirs, "id", "left").withColumn("directories", F.coalesce("directories", F.array().cast("array<string>")))
 
 
-def candidate_rules(edges: DataFrame, artifacts: DataFrame, concepts: DataFrame, limit: int = 1000) -> DataFrame:
-    """Proposed constrains edges with the rule's text and the concept's name."""
+def candidate_rules(edges: DataFrame, artifacts: DataFrame, concepts: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """Proposed constrains edges with the rule's text and the concept's name: the first `limit`, or all."""
     own = edges.where((F.col("type") == "constrains") & (F.col("status") == "proposed")).select(F.col("id").alias("edge_id"), F.col("src_id").alias("rule_id"), F.col("dst_id").alias("concept_id"))
     rules = artifacts.where(F.col("kind") == "rule").select(F.col("id").alias("rule_id"), "ref", F.coalesce("body", "title").alias("text"))
     out = own.join(rules, "rule_id").join(concepts.select(F.col("id").alias("concept_id"), F.col("name").alias("concept")), "concept_id")
-    return out.orderBy("concept", "ref", "edge_id").limit(limit)
+    return out if limit is None else out.orderBy("concept", "ref", "edge_id").limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import beyond, code, curate, dml, docs, evals, export, gates, serve, usage
-from ..operators.ranks import first_per_key
+from ..operators.ranks import batches, first_per_key
 from ..streaming import usage as windows
 from . import fixtures as X
 from .fixtures import with_tables as w
@@ -393,7 +393,7 @@ def rules_for(spark, d):
 @query(w("hit", "SELECT 1").replace("\nSELECT 1", _RULED + "SELECT rule AS text, CASE concept_id " + " ".join(f"WHEN '{i}' THEN '{n}'" for i, n, _ in X.VOCABULARY) + " END AS concept FROM con"))
 def candidate_rules(spark, d):
     e, a = _rule_graph(spark, d)
-    return serve.candidate_rules(e, a, X.vocabulary(spark)).select("text", "concept")
+    return serve.candidate_rules(e, a, X.vocabulary(spark), limit=None).select("text", "concept")
 
 
 @query(w("hit", "SELECT 1").replace("\nSELECT 1", _RULED + f"SELECT title, min(concept_id) AS concept FROM (SELECT left(rule,160) AS title, concept_id FROM con) WHERE length(title) BETWEEN 20 AND 160 AND regexp_matches(title,'{MODAL}') GROUP BY 1"))
@@ -406,7 +406,7 @@ def rule_seeds(spark, d):
 def refine_apply(spark, d):
     e, a = _rule_graph(spark, d)
     candidates = e.select(F.col("id").alias("edge_id"), F.col("src_id").alias("rule_id"), F.col("dst_id").alias("concept"), F.col("src_id").alias("ref"))
-    verdicts = e.select(F.explode(F.sequence(F.lit(0), F.lit(400))).alias("batch")).distinct().select("batch", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("id")).where("id % 3 = 0 or id % 5 <> 0").select("batch", "id", (F.col("id") % 3 != 0).alias("keep"), F.lit("").alias("refined"))
+    verdicts = batches(candidates, [], [F.col("concept"), F.col("ref"), F.col("edge_id")], 12).where("id % 3 = 0 or id % 5 <> 0").select("batch", "id", (F.col("id") % 3 != 0).alias("keep"), F.lit("").alias("refined"))
     edges, _ = curate.refine_rules(e, a, candidates, verdicts)
     return edges.select(F.col("src_id").alias("rule"), F.col("dst_id").alias("concept_id"), "status")
 

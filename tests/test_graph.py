@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lexigraph import schema as S
-from lexigraph.operators import beyond, code, curate, dml, docs, evals, export, serve, snapshot
+from lexigraph.operators import beyond, code, curate, dml, docs, evals, export, ranks, serve, snapshot
 from lexigraph.sources import files as sources
 from lexigraph.sources import registry
 from lexigraph.streaming import usage as windows
@@ -66,6 +66,31 @@ def test_rule_verdicts(spark):
     assert [r["title"] for r in serve.rules_for(after, renamed).collect()] == ["Completed documents cannot be deleted."]
 
 
+def test_batches_number_all_rows_in_ranges(spark):
+    rows = [(f"n{(7919 * i) % 30011:05d}" if i % 100 else None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "name string, i long").repartition(3)
+    made = ranks.batches(df, [], [F.col("name"), F.col("i")], 12)
+    assert made.columns == ["name", "i", "batch", "id"]
+    got = sorted((r["batch"] * 12 + r["id"] - 1, r["name"] or "", r["i"]) for r in made.collect())
+    assert got == [(n, *r) for n, r in enumerate(sorted((name or "", i) for name, i in rows))]
+    assert "SinglePartition" not in made._jdf.queryExecution().executedPlan().toString()
+    assert ranks.batches(df.limit(0), [], [F.col("name")], 12).count() == 0
+
+
+def test_every_rule_gets_its_verdict(spark, monkeypatch):
+    from lexigraph.plans import catalogue
+    from lexigraph.plans import fixtures as X
+
+    own = [(f"r{i:05d}", X.VOCABULARY[0][0]) for i in range(5000)]
+    edges = spark.createDataFrame([edge(r, c, "constrains", 0.6) for r, c in own], E)
+    rules = spark.createDataFrame([art(r, "rule", r) for r, _ in own], A)
+    monkeypatch.setattr(catalogue, "_rule_graph", lambda *_: (edges, rules))
+    status = [r["status"] for r in catalogue.refine_apply(spark, "").orderBy("rule").collect()]
+    assert status == ["rejected" if n % 3 == 0 else "proposed" if n % 5 == 0 else "confirmed" for n in (i % 12 + 1 for i in range(5000))]
+    assert catalogue.candidate_rules(spark, "").count() == 5000
+    assert serve.candidate_rules(edges, rules, X.vocabulary(spark)).count() == 1000
+
+
 def test_concept_verdicts(spark):
     concepts = spark.createDataFrame([concept(i, n) for i, n in (("1", "Auth"), ("2", "Junk"), ("3", "Later"))], C)
     edges = spark.createDataFrame([edge("s", "1", "implements", 0.6), edge("t", "2", "implements", 0.6)], E)
