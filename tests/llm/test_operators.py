@@ -410,3 +410,10 @@ def test_texts_between_languages_are_rejected(spark):
     print(margins, share)
     assert share["clean long"] <= 0.05 and share["clean short"] <= 0.2
     assert all(share[f"foreign {n}"] >= 0.9 for n in (300, 1600, 6000)) and all(share[f"mixed {n}"] >= 0.25 for n in (150, 3000))
+
+
+def test_encoder_uses_second_order_predictors_where_they_are_shorter():
+    ramp = bytes((128 + int(90 * np.sin(i / 40))) & 255 for i in range(20000))
+    stream, lower = flac.encode_many([ramp])[0], flac.encode_many([ramp], most_order=1)[0]
+    assert len(stream) < len(lower) and stream == flac.encode_many([ramp], most_order=2)[0]
+    assert [bytes((x + 128) & 255 for x in own.tolist()) for own in flac.decode_many([stream, lower])] == [ramp, ramp]
