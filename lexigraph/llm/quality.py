@@ -8,8 +8,9 @@ aggregations over slim rows, combined before they are shuffled, so a cell with a
 all rows is no heavier than its tasks. Documents beyond `cutoff` (squared distance, scaled so
 that its median is that of a chi-square variable) are rejected.
 
-Cells with fewer than `least_rows` rows share one estimate; when those are fewer still,
-their documents are kept unless the base rules fail.
+A cell with fewer than `least_rows` rows is judged by the estimate of its language, over all
+sources; a language with fewer by that of all documents. When those are fewer still, medians
+and quartile spreads are the estimate.
 
 Defined cases: a null text has no words (all counts 0, base_failed); null languages and
 sources are cells of their own; ties in distance stand on one side of the support together;
@@ -173,24 +174,37 @@ def _quantile_level(levels: DataFrame, share: float, name: str) -> DataFrame:
 
 
 def cells(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Cell names of each (lang, source): its own, or the shared one of small cells ('', '')."""
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    key = lambda c: F.when(F.col("_n") >= least_rows, F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\0")))).otherwise("")
-    return sizes.select("lang", "source", key("lang").alias("cell_lang"), key("source").alias("cell_source"))
-
+    """Cell names of each (lang, source) by which it is judged, and of all cells (fits) that its rows help to estimate.
 
-def _in_cells(rows: DataFrame, names: DataFrame) -> DataFrame:
+    A small cell is judged by its language's estimate (lang, ''), over all rows of the language; in a language of
+    few rows by that of all documents ('', '').
+    """
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
+    langs = sizes.groupBy("lang").agg(F.sum("_n").alias("_all"), F.max(F.col("_n") < least_rows).alias("_some")).withColumnRenamed("lang", "_lang")
+    pooled = F.lit(not langs.where(F.col("_all") < least_rows).isEmpty())
+    name = lambda c: F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\0")))
+    cell = lambda lang, source: F.struct(lang.alias("cell_lang"), source.alias("cell_source"))
+    own, language, every = cell(name("lang"), name("source")), cell(name("lang"), F.lit("")), cell(F.lit(""), F.lit(""))
+    big, many = F.col("_n") >= least_rows, F.col("_all") >= least_rows
+    by = F.when(big, own).when(many, language).otherwise(every)
+    fits = F.filter(F.array(F.when(big, own), F.when(many & F.col("_some"), language), F.when(pooled, every)), lambda c: c.isNotNull())
+    both = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
+    return both.select("lang", "source", by["cell_lang"].alias("cell_lang"), by["cell_source"].alias("cell_source"), fits.alias("fits"))
+
+
+def _in_cells(rows: DataFrame, names: DataFrame, *more: str) -> DataFrame:
     a, b = rows.alias("a"), names.alias("b")
-    return a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in CELL))
+    return a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in (more or CELL)))
 
 
 def fit_cells(counts: DataFrame, support: float = SUPPORT, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """The names of cells, and the estimate of each with its median distance; counts: lang, source and the counts of all documents."""
     names = materialize(cells(counts, least_rows), "quality-cells")
     rows = counts.select("lang", "source", *(f.alias(f"f{i}") for i, f in enumerate(features())))
-    rows = materialize(_in_cells(rows, names).drop("lang", "source"), "quality-features")
-    big = rows.groupBy(*CELL).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
-    rows = rows.join(big, list(CELL), "left_semi")
+    rows = _in_cells(rows, names, "fits").withColumn("fit", F.explode("fits"))
+    rows = materialize(rows.select("fit.*", *(f"f{i}" for i in range(D))), "quality-features")
+    if rows.limit(least_rows).count() < least_rows:  # too few in all for a full scatter: medians and spreads alone
+        steps = 0
     middle = rows.groupBy(*CELL).agg(*(F.percentile_approx(f"f{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(D)))
     spread = [F.pow(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])), F.lit(-2.0)) for i in range(D)]
     now = middle.select(*CELL, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)), *((spread[i] if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in PAIRS))

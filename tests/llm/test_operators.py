@@ -417,3 +417,24 @@ def test_encoder_uses_second_order_predictors_where_they_are_shorter():
     stream, lower = flac.encode_many([ramp])[0], flac.encode_many([ramp], most_order=1)[0]
     assert len(stream) < len(lower) and stream == flac.encode_many([ramp], most_order=2)[0]
     assert [bytes((x + 128) & 255 for x in own.tolist()) for own in flac.decode_many([stream, lower])] == [ramp, ramp]
+
+
+def test_small_cells_are_judged_by_their_language_and_few_rows_at_all(spark):
+    r = random.Random(4)
+    clean = lambda lang: " ".join(r.choice(["amet", "dolor", "ipsum", "lorem", "sit"] if lang == "a" else ["incomprehensible", "characterisation", "responsibilities"]) + str(r.randint(1, 10**6)) for _ in range(r.randint(80, 120)))
+    junk = " ".join(f"#$%&{r.randint(1, 10**9)}|<>*#" for _ in range(100))
+    rows = [(i, clean(lang), lang, source) for i, (lang, source) in enumerate([("a", "x")] * 60 + [("b", "y")] * 60 + [("b", "z")] * 5)]
+    rows += [(200, junk, "b", "z"), (201, junk, "c", "z")]
+    schema = "doc_id long, text string, lang string, source string"
+
+    def judged(rows, least):
+        counts = quality.with_counts(spark.createDataFrame(rows, schema))
+        names, estimates = quality.fit_cells(counts, least_rows=least)
+        return {(x["lang"], x["source"]): (x["cell_lang"], x["cell_source"]) for x in names.collect()}, {x["doc_id"]: x for x in quality.judge(counts, names, estimates).collect()}
+
+    names, got = judged(rows, 40)
+    assert names == {("a", "x"): ("=a", "=x"), ("b", "y"): ("=b", "=y"), ("b", "z"): ("=b", ""), ("c", "z"): ("", "")}
+    assert not got[200]["kept"] and not got[201]["kept"] and all(x["distance"] is not None for x in got.values())
+    assert sum(got[i]["kept"] for i in range(125)) >= 115
+    _, few = judged(rows[:30] + rows[-1:], 40)
+    assert not few[201]["kept"] and sum(few[i]["kept"] for i in range(30)) >= 27
