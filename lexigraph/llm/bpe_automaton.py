@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_tokens import ODD, byte_letters, default_path
-from .common import documents, pieces
+from .common import documents, map_batches, pieces
 
 
 class IntTable:
@@ -299,7 +299,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 rows = [(ids.count(" ") + 1 if ids else 0, digest(ids), digest(decoded)) for ids, decoded in written]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +22,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="lexigraph-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset on one machine (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or _own_dir()).rstrip("/")
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the bytes of a batch that is sent to Python, unless the session has a lower bound: rows of a batch may be long."""
+    own = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH_CONF))
+    if own and not 0 < int(own[1]) <= most:
+        spark.conf.set(_BATCH_CONF, str(most))
+
+
+def give_back() -> None:
+    """Returns memory that a task of a reused Python worker has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not that C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes, after which a worker keeps no memory of the task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(task, schema)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -60,6 +101,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _POWER = np.ones(1, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPAN = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -109,6 +151,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     """A 64-bit hash of each word, A-Z lower-cased if asked; equal words, equal hashes, in any process."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    cut = [*np.unique(np.searchsorted(start, np.arange(start[0], end[-1], _SPAN))).tolist(), len(start)]
+    return np.concatenate([_hash_run(data, start[a:b], end[a:b], lower) for a, b in zip(cut, cut[1:]) if b > a])
+
+
+def _hash_run(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of words that begin within a bounded span, as arrays with an item for each of their bytes."""
     size = end - start
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     byte = data[np.repeat(start, size) + place]
@@ -116,14 +164,42 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix64(np.add.reduceat(term, np.cumsum(size) - size) + size.astype(np.uint64))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Slices of a batch of about `most` bytes of text each, a longer text in a slice of its own."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Slices of a batch of about `most` bytes of the column each, a longer value in a slice of its own."""
+    own = batch.column(column)
+    if pa.types.is_list(own.type):
+        inner = own.flatten()
+        inner = inner.field("pcm") if pa.types.is_struct(inner.type) else inner
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)))
+        size = pc.fill_null(pc.binary_length(inner), 0).to_numpy(zero_copy_only=False) if pa.types.is_binary(inner.type) else np.full(len(inner), inner.type.bit_width // 8)
+        lengths = np.diff(np.append(0, np.cumsum(size))[ends])
+    else:
+        lengths = pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(lengths.tolist()):
         if total and total + n > most:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
-        total += int(n)
+        total += n
     if begin < len(lengths):
         yield batch.slice(begin)
+
+
+HOT_SHARE = 256
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with table, which has each key once and says in `count` how many rows have it, salted where a key is hot.
+
+    A key in more than 1 / share of these rows is dealt over as many salts as it has such shares: its rows by a hash of
+    themselves, its entry in the table once for each. There are at most `share` such keys, so the list of them that is
+    broadcast (keys and numbers of salts) is bounded, and the table grows by at most 2 * share rows.
+    """
+    table = table.where(" and ".join(f"{k} is not null" for k in keys))
+    total = table.agg(F.sum(count)).first()[0] or 0
+    salts = (F.floor(F.col(count) * share / F.lit(max(1, total))) + 1).cast("int")
+    hot = F.broadcast(table.select(*keys, salts.alias("_salts")).where("_salts > 1"))
+    mine = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", mine).drop("_salts")
+    each = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_tokens import coder, default_path
-from .common import documents, materialize, pieces
+from .common import documents, map_batches, materialize, pieces
 
 LENGTH, END_ID, GROUP_PIECES = 2048, 1, 8192
 
@@ -83,7 +83,8 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int =
                         out.append((doc_id, start, end - start, zlib.crc32(data[4 * start : 4 * end]), n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, cut, PIECES)
 
 
 def pack_pieces(rows: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:

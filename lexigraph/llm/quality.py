@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, pieces, text_bytes, word_hashes, word_spans
+from .common import documents, map_batches, materialize, pieces, text_bytes, word_hashes, word_spans
 
 SUPPORT, STEPS, CUTOFF, LEAST_ROWS, WINDOW = 0.75, 4, 120.0, 200, 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -109,7 +109,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
                 counts = text_counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[c], pa.int64()) for c in (*COUNTS, *MORE))], names=[*names, *COUNTS, *MORE])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE))]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE))]))
 
 
 def base_failed() -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, pieces, whole_text
+from .common import documents, map_batches, materialize, pieces, whole_text
 
 LEAST_WORDS = 8
 _LINE = re.compile(r"[^\n]+")
@@ -141,7 +141,7 @@ def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, unit int, digest long, check int, again boolean")
+    return map_batches(rows, run, "doc_id long, row_key long, unit int, digest long, check int, again boolean")
 
 
 def removed_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
                 columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([m[i] for m in more], pa.int64()) for i in range(3)), pa.array([m[3] for m in more], span)], names=[*names, *(f.name for f in extra)])
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return map_batches(joined, run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
