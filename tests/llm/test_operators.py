@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexigraph.llm import bpe_automaton, byte_tokens, flac, language_id, licenses, lm_scoring, near_duplicates, packing, quality, sharding, substrings
+from lexigraph.llm import bpe_automaton, byte_tokens, components, flac, language_id, licenses, lm_scoring, near_duplicates, packing, quality, sharding, substrings
 
 R = random.Random(3)
 FRAGMENTS = "an the ing tion er ou re on st ha".split()
@@ -127,6 +127,102 @@ def test_near_duplicates_equal_brute_force(docs, nothing, words):
     assert near_duplicates.near_duplicates(nothing, words).count() == 0
 
 
+def test_registers_are_those_of_the_least_member():
+    rng = np.random.default_rng(2)
+    for size in (1, 40, 1000, 100_000):
+        own = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        regs = near_duplicates.registers(own, np.array([0, len(own)]), 180)[0]
+        least = {}
+        for h in own.tolist():
+            bucket, rest = h * 180 >> 64, h * 180 & 2**64 - 1
+            least[bucket] = min(rest, least.get(bucket, rest))
+        for b in range(180):
+            if b not in least:
+                assert regs[b] == near_duplicates.EMPTY
+            else:
+                bits = f"{least[b]:064b}"
+                zeros = len(bits) - len(bits.lstrip("0"))
+                assert regs[b] == zeros << 10 | int((bits + "0" * 64)[zeros + 1 : zeros + 11], 2)
+        if size >= 1000:
+            assert abs((regs >> 10).mean() - np.log2(size / 180)) < 1.5
+
+
+@pytest.mark.parametrize("n, m", [(30, 30), (180, 400), (3000, 3000), (500, 20_000)])
+def test_expected_collisions_agree_with_simulation(n, m):
+    rng = np.random.default_rng(n)
+    equal, turns = 0, 1500
+    for at in range(0, turns, 50):
+        both = [rng.integers(0, 2**64, (50, k), dtype=np.uint64) for k in (n, m)]
+        regs = [near_duplicates.registers(np.sort(x, 1).ravel(), np.arange(51) * x.shape[1], 180) for x in both]
+        equal += int(((regs[0] == regs[1]) & (regs[0] != near_duplicates.EMPTY)).sum())
+    want = float(near_duplicates.expected_collisions(n, m, 180)) * turns
+    assert abs(equal - want) < 5 * np.sqrt(want) + 3
+
+
+def test_estimates_are_near_the_similarity():
+    rng = np.random.default_rng(8)
+    for n, same in ((400, 320), (2000, 1700), (5000, 1000), (60, 50)):
+        found = []
+        for _ in range(60):
+            x = rng.integers(0, 2**64, 2 * n - same, dtype=np.uint64)
+            sets = [np.sort(x[:n]), np.sort(x[n - same :])]
+            regs = near_duplicates.registers(np.concatenate(sets), np.array([0, n, 2 * n]), 180)
+            found.append(near_duplicates.estimate(regs[:1], regs[1:], np.array([n]), np.array([n]))[0][0])
+        assert abs(np.mean(found) - same / (2 * n - same)) < 0.03
+
+
+def test_null_ids_lose_no_links(spark):
+    rows = [(None, "t u v w"), (5, "t u v w"), (7, "t u v w"), (None, "p q r s"), (None, "p q r s"), (None, "p q r s r"), (3, None), (None, None), (8, "t u v w")]
+    rows += [(i, f"copy of the same text with a word {'x' * (i % 40)}" + " and a long tail of words that all have" * 3) for i in range(100, 700)]
+    out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    by = collections.defaultdict(set)
+    for r in out:
+        by[r["doc_id"]].add((r["component_id"], r["kept"]))
+    assert by[5] == {(5, True)} and by[7] == by[8] == {(5, False)} and by[3] == {(3, True)}
+    assert {r["component_id"] for r in out if r["doc_id"] is None and r["n_shingles"] == 3} == {5, None}
+    assert all(by[i] == {(100, i == 100)} for i in range(100, 700))
+
+
+def test_all_pairs_of_a_small_table_agree(spark):
+    """Every link that all pairs of the documents have is there: recall and precision 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts, sets = {r["doc_id"]: r["text"] for r in docs.collect()}, {}
+    for i, t in texts.items():
+        w = WORD.findall(lower(t))
+        sets[i] = frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    label = {i: i for i in sets}
+    by_size = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    links = [(a, b) for k, b in enumerate(by_size) for a in by_size[:k] if 100 * len(sets[a]) >= 80 * len(sets[b]) and 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs, 2).collect()}
+    assert links and all(got[i]["component_id"] == label[i] and got[i]["n_shingles"] == len(sets[i]) for i in sets)
+
+
+def test_components_of_stars_chains_and_loops(spark):
+    rng = random.Random(6)
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000), (3001, 3000), (3001, 3000)]
+    links += [(rng.randint(5000, 5200), rng.randint(5000, 5200)) for _ in range(150)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links + [(None, 4)], "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
 def test_open_pairs_lose_no_link(spark):
     """A family around the threshold in one bucket: the bounded pairs hold all its links."""
     rng = np.random.default_rng(1)
@@ -191,18 +287,29 @@ def test_first_fit_decreasing_is_first_fit():
 
 
 def test_flac_round_trip(docs, nothing):
-    stored = flac.store_documents(docs)
-    got = {(r["doc_id"], r["payload_sha256"]): r for r in flac.media_digests(stored).collect()}
+    pcm = flac.decode_documents(flac.store_documents(docs), 256)
+    got = {(r["doc_id"], r["payload_sha256"]): r for r in flac.pcm_digests(pcm).collect()}
     for doc_id, text, *_ in ROWS:
         payload, n = flac.payload_of(text)
         r = got[doc_id, hashlib.sha256(payload).hexdigest()]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (n, len(payload), zlib.crc32(payload[-64:]))
-    blocks = collections.defaultdict(dict)
-    for r in flac.pcm_blocks(stored.dropDuplicates(["doc_id"]), 256).collect():
-        assert r["first_sample"] == 256 * r["block"]
-        blocks[r["doc_id"]][r["block"]] = bytes(r["pcm"])
-    assert b"".join(blocks[0][k] for k in sorted(blocks[0])) == flac.payload_of(ROWS[0][1])[0]
-    assert flac.media_digests(flac.store_documents(nothing)).count() == 0
+    for r in pcm.collect():
+        assert [b["first_sample"] for b in r["blocks"]] == list(range(0, r["samples"], 256))
+    by_id = {i: flac.payload_of(t)[0] for i, t, *_ in ROWS}
+    for first, count in ((0, 10), (250, 20), (300, 1000), (10**6, 5)):
+        for r in flac.read_samples(pcm.where("doc_id is not null"), first, count).collect():
+            assert bytes(r["pcm"]) == by_id[r["doc_id"]][first : first + count]
+    assert flac.pcm_digests(flac.decode_documents(flac.store_documents(nothing))).count() == 0
+
+
+def test_any_bytes_come_back():
+    r = np.random.default_rng(5)
+    payloads = [r.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 2, 3, 5, 1024, 1025, 5000)]
+    payloads += [b"", bytes(7), b"\xff" * 3000, bytes(np.cumsum(r.integers(-3, 4, 9000)).astype(np.uint8)), bytes((128 + 120 * np.sin(np.arange(4096) / 9)).astype(np.uint8)), b"a" * 1024 + bytes(r.integers(0, 256, 1024).astype(np.uint8))]
+    for order in range(5):
+        for block in (16, 1024):
+            got = flac.decode_many(flac.encode_many(payloads, block, order))
+            assert [(x + 128).astype(np.uint8).tobytes() for x in got] == payloads
 
 
 def _linear_stream(samples, coefficients, shift, precision=8, rice=3, escape=False):
@@ -415,7 +522,7 @@ def test_texts_between_languages_are_rejected(spark):
 def test_encoder_uses_second_order_predictors_where_they_are_shorter():
     ramp = bytes((128 + int(90 * np.sin(i / 40))) & 255 for i in range(20000))
     stream, lower = flac.encode_many([ramp])[0], flac.encode_many([ramp], most_order=1)[0]
-    assert len(stream) < len(lower) and stream == flac.encode_many([ramp], most_order=2)[0]
+    assert len(stream) < len(lower) and stream == flac.encode_many([ramp], most_order=4)[0]
     assert [bytes((x + 128) & 255 for x in own.tolist()) for own in flac.decode_many([stream, lower])] == [ramp, ramp]
 
 
