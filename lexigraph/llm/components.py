@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every end of a link (a, b); no links, no rows.
 
-    Each round takes the least label of all neighbours (combined before the shuffle, so a hub
-    is no hot task), then the label of the label, and writes the labels to the shared folder.
+    Each round takes the least label of all neighbours (combined before the shuffle), then the label of the label,
+    and writes the labels to the shared folder. A hub's links and a large component's nodes are salted in the joins.
+    Null ends and links of a node with itself are left out; repeated links count once.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "cc-labels")
+    first = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree"))
+    labels = materialize(first.select(F.col("a").alias("b"), F.least("a", "least").alias("component"), "degree"), "cc-labels")
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
-        near = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.least("component", "least").alias("now"), F.col("component").alias("was"))
-        up = labels.select(F.col("node").alias("now"), F.col("component").alias("top"))
-        after = materialize(near.join(up, "now", "left").select("node", F.least("now", "top").alias("component"), "was"), "cc-labels")
-        labels = after.select("node", "component")
+        seen = join_counted(both, labels, ["b"], "degree").groupBy("a").agg(F.min("component").alias("least"))
+        near = labels.join(seen, labels["b"] == seen["a"], "left").select("b", "degree", F.least("component", "least").alias("now"), F.col("component").alias("was"))
+        near = materialize(near, "cc-near")
+        sizes = near.groupBy("now").agg(F.count("*").alias("times"))
+        up = labels.select(F.col("b").alias("now"), F.col("component").alias("top")).join(sizes, "now")
+        after = join_counted(near, up, ["now"], "times", "left").select("b", F.least("now", "top").alias("component"), "degree", "was")
+        after = materialize(after, "cc-labels")
+        labels = after.select("b", "component", "degree")
         if not after.where("component <> was").limit(1).count():
-            return labels
+            return labels.select(F.col("b").alias("node"), "component")

@@ -1,25 +1,28 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set of word shingles is kept as `bands * rows` registers: shingle hashes are
-dealt to buckets, and of the least in a bucket the count of leading zeros (6 bits) and the
-next 10 bits are kept. An empty bucket borrows from another by a fixed chain of probes. Bands
-of registers are hashed to buckets; documents that share one are candidates. Their Jaccard
-similarity is estimated from equal registers less the expected collisions; what may reach
-the threshold is verified on the full shingle sets.
+dealt to buckets, and of the least remainder in a bucket the count of leading zeros (6 bits)
+and the next 10 bits are kept; a register without a shingle stays empty. Bands of registers
+(an empty one borrows another's value for this, by a fixed chain of probes) are hashed to
+buckets; documents that share one are candidates. Their Jaccard similarity is estimated from
+equal registers less the expected collisions; what may reach the threshold is verified on the
+full shingle sets.
 
-With 36 bands of 5 registers, a pair at similarity 0.8 is missed with a chance of 6e-7, and
-the estimate discards pairs only if it is 0.25 under the threshold (over seven standard
-deviations for the sets of `estimate_from` shingles and more it is used on).
+With 36 bands of 5 registers, a pair at similarity 0.8 is missed with a chance of 6e-7. The
+estimate discards a pair if it is more than `slack` standard deviations (of as many registers
+as either set fills) under the threshold, so of small sets, which fill few, it discards none.
 
 Equal sets are one class, so exact copies cost one row. In a bucket, not all pairs are made:
 a star joins all members to one centre, verified stars are turned into components, a second
 star from another centre follows, and only members of a bucket that are then still in
 different components are compared with one another, where exact bounds on what they can share
-leave room for a link.
+leave room for a link. Joins on buckets, classes and centres are salted where one is hot.
 
 Defined cases: null or blank texts have no shingles and stay alone; a text with fewer words
 than a shingle has its words as one shingle; rows that repeat doc_id and text are one
-document; ties go to the smallest doc_id; an empty table gives an empty result.
+document; a component's id is its smallest doc_id that is not null, and where all are null the
+document with the least hash of its text is kept; other columns are not looked at; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
+from .common import documents, join_counted, map_batches, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
 from .components import connected_components
 
-BANDS, ROWS, THRESHOLD_PERCENT, ESTIMATE_FROM, SLACK = 36, 5, 80, 200, 0.25
+BANDS, ROWS, THRESHOLD_PERCENT, SLACK = 36, 5, 80, 7.0
 RARE, PARTS = 10, 64
-MANTISSA_BITS = 10
+MANTISSA_BITS, EMPTY = 10, 0xFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,36 +68,51 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registers(sets: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
-    """A row of `count` registers for each set; sets without members get zeros."""
+    """A row of `count` registers for each sorted set; those of buckets without a member are EMPTY."""
     docs = len(first) - 1
-    out = np.full((docs, count), 0xFFFF, np.uint16)
+    out = np.full((docs, count), EMPTY, np.uint16)
     if not len(sets):
-        return np.zeros((docs, count), np.uint16)
-    size = np.diff(first)
-    doc = np.repeat(np.arange(docs), size)
-    bucket = ((sets >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        return out
+    doc = np.repeat(np.arange(docs), np.diff(first))
+    high, low, n = sets >> np.uint64(32), sets & np.uint64(0xFFFFFFFF), np.uint64(count)
+    bucket = ((high * n + (low * n >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)  # the part of hash * count above 64 bits
     new = np.ones(len(sets), bool)
     new[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
-    least, doc, bucket = mix64(sets[new] * np.uint64(count) + np.uint64(1)), doc[new], bucket[new]
-    # the order of the sets chose the least; its register is read from its remixed hash
-    zeros = np.clip(63 - np.floor(np.log2(np.maximum(least.astype(np.float64), 1.0))), 0, 62).astype(np.uint64)
-    out[doc, bucket] = (zeros << np.uint64(MANTISSA_BITS) | ((least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS))).astype(np.uint16)
-    filled = out != 0xFFFF
-    d, j = np.nonzero(~filled & (size > 0)[:, None])
+    least = sets[new] * n  # the part below: where in its bucket the least member lies
+    _, exponent = np.frexp((least >> np.uint64(11)).astype(np.float64))  # exact, of 53 bits
+    zeros = np.clip(53 - exponent, 0, 62).astype(np.uint64)
+    mantissa = (least << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
+    out[doc[new], bucket[new]] = (zeros << np.uint64(MANTISSA_BITS) | mantissa).astype(np.uint16)
+    return out
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers in which each empty one has the value of another, the same probes for all rows; rows without any stay empty."""
+    out, count = regs.copy(), regs.shape[1]
+    there = regs != EMPTY
+    d, j = np.nonzero(~there & there.any(1)[:, None])
     turn = 0
     while len(d):
         turn += 1
         probe = (mix64(np.arange(count, dtype=np.uint64) * np.uint64(7919) + np.full(1, turn, np.uint64) * _STEP) % np.uint64(count)).astype(np.int64)
-        ok = filled[d, probe[j]]
-        out[d[ok], j[ok]] = out[d[ok], probe[j[ok]]]
+        ok = there[d, probe[j]]
+        out[d[ok], j[ok]] = regs[d[ok], probe[j[ok]]]
         d, j = d[~ok], j[~ok]
-    out[size == 0] = 0
     return out
 
 
+def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
+    """A hash of each band of each row."""
+    parts = filled(regs).reshape(len(regs), bands, -1)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), parts.shape[:2])
+    for i in range(parts.shape[2]):
+        key = mix64(key * _STEP + parts[:, :, i].astype(np.uint64))
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key, n_shingles, class_id (equal for equal sets, null for empty ones), registers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("registers", pa.binary())])
+    """doc_id, text_key, n_shingles, class_id (equal for equal sets, null for empty ones), registers, keys of bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         import xxhash
@@ -104,10 +122,10 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                 sets, first = shingle_sets(part.column("text"), words)
                 regs = registers(sets, first, bands * rows)
                 ids = [int.from_bytes(xxhash.xxh3_64_digest(sets[a:b].tobytes()), "little", signed=True) if b > a else None for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.diff(first)), pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.diff(first)), pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1) * bands, pa.int32()), pa.array(band_keys(regs, bands).ravel()))], schema=schema)
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(run, "doc_id long, text_key long, n_shingles long, class_id long, registers binary")
+    return map_batches(text, run, "doc_id long, text_key long, n_shingles long, class_id long, registers binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -123,39 +141,65 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("class_id"), lists], names=["class_id", "shingles"])
 
-    return texts.mapInArrow(run, "class_id long, shingles array<long>").dropDuplicates(["class_id"])
+    return map_batches(texts, run, "class_id long, shingles array<long>").dropDuplicates(["class_id"])
 
 
 def expected_collisions(n: np.ndarray, m: np.ndarray, count: int) -> np.ndarray:
-    """Registers of sets of n and m members that are equal by chance (large-set approximation)."""
-    ratio = np.maximum(n, m) / np.maximum(1, np.minimum(n, m))
-    return 0.169919487159739 * count * 2.0**-MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
-
+    """Registers of disjoint sets of n and m members that are expected to be equal by chance.
 
-def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int, count: int, estimate_from: int = ESTIMATE_FROM, slack: float = SLACK) -> DataFrame:
+    The least of n uniform members in a bucket of width 1 / count has the density n (1 - x)^(n - 1); two are in one
+    cell of width w at x with chance w times the product of both, summed over the cells of each count of zeros.
+    """
+    n, m = np.asarray(n, np.float64), np.asarray(m, np.float64)
+    power, out = n + m - 1, np.zeros(np.broadcast(n, m).shape)
+    for zeros in range(63):
+        low, high = 2.0 ** -(zeros + 1) / count, 2.0**-zeros / count
+        mass = np.exp(power * np.log1p(-low)) - np.exp(power * np.log1p(-min(high, 1 - 1e-16)))
+        out += (high - low) * 2.0**-MANTISSA_BITS * n * m / power * mass
+    return count * out
+
+
+def estimate(r_a: np.ndarray, r_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of rows of registers, and the number of registers that either fills."""
+    either = np.maximum(1, ((r_a != EMPTY) | (r_b != EMPTY)).sum(1))
+    equal = ((r_a == r_b) & (r_a != EMPTY)).sum(1)
+    chance = np.minimum(0.9, expected_collisions(n_a, n_b, r_a.shape[1]) / either)
+    return (equal / either - chance) / (1 - chance), either
+
+
+def _sides(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """pairs with columns of both their classes, a centre of many pairs salted."""
+    slim = pairs.select("a", "b")
+    for c in ("a", "b"):
+        times = slim.groupBy(c).agg(F.count("*").alias("times"))
+        own = classes.select(F.col("class_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)).join(times, c)
+        pairs = join_counted(pairs, own, [c], "times").drop("times")
+    return pairs
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int, count: int, slack: float = SLACK) -> DataFrame:
     """Of pairs (a, b), those whose sizes and estimated similarity may reach the threshold."""
-    side = lambda c: classes.select(F.col("class_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    sized = _sides(pairs, classes, "n_shingles", "registers").where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            r_a, r_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, count) for c in ("r_a", "r_b"))
-            equal = (r_a == r_b).sum(1)
-            similarity = (equal - expected_collisions(n_a, n_b, count)) / count
-            keep = pa.array((similarity >= percent / 100 - slack) | (np.minimum(n_a, n_b) < estimate_from))
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_shingles_a", "n_shingles_b"))
+            r_a, r_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, count) for c in ("registers_a", "registers_b"))
+            similarity, either = estimate(r_a, r_b, n_a, n_b)
+            t = percent / 100
+            keep = pa.array(similarity >= t - slack * np.sqrt(t * (1 - t) / either))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return map_batches(sized.select("a", "b", "n_shingles_a", "n_shingles_b", "registers_a", "registers_b"), run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets."""
-    side = lambda c: sets.select(F.col("class_id").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    met = _sides(pairs, sets, "shingles")
+    return met.where(100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b")
 
 
 def _ordered(a: str, b: str) -> tuple:
@@ -208,44 +252,51 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = THRESHOLD_PERCEN
     """doc_id, text_key, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     count = bands * rows
     signed = materialize(signatures(docs, words, bands, rows), "nd-signatures")
-    best = F.min(F.struct("doc_id", "text_key", "n_shingles"))
-    classes = signed.where("class_id is not null").groupBy("class_id").agg(best.alias("rep"), F.first("registers").alias("registers"))
-    classes = materialize(classes.select("class_id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), F.col("rep.n_shingles").alias("n_shingles"), "registers"), "nd-classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n_shingles"))
+    classes = signed.where("class_id is not null").groupBy("class_id").agg(best.alias("rep"), F.count("*").alias("times"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("class_id", "times", "rep.doc_id", "rep.text_key", "rep.n_shingles", "registers", "bands"), "nd-classes")
 
-    band = classes.select("class_id", "registers", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    keys = band.select("class_id", F.xxhash64("band", F.expr(f"substring(registers, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("n > 1").drop("n")
-    members = materialize(keys.join(shared, "bucket"), "nd-members")
+    keys = classes.select("class_id", F.explode("bands").alias("bucket"))
+    buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("n > 1")
+    buckets = materialize(buckets, "nd-buckets")
+    members = materialize(join_counted(keys, buckets.select("bucket", "n"), ["bucket"], "n").select("bucket", "class_id"), "nd-members")
 
     wanted = members.select("class_id").distinct()
-    sets = materialize(full_sets(docs, classes.select("class_id", "doc_id", "text_key").join(wanted, "class_id", "left_semi"), words), "nd-sets")
-    few = materialize(classes.select("class_id", "n_shingles", "registers").join(wanted, "class_id", "left_semi"), "nd-candidates")
+    few = materialize(classes.drop("bands").join(wanted, "class_id", "left_semi"), "nd-candidates")
+    sets = materialize(full_sets(docs, few.select("class_id", "doc_id", "text_key"), words), "nd-sets")
 
     tried = links = None
-    parts = wanted.select(F.col("class_id").alias("node"), F.col("class_id").alias("component"))
+    parts = few.select(F.col("class_id").alias("node"), F.col("class_id").alias("component"))
     for turn in ("low", "high", "all"):
-        placed = members.join(parts, members["class_id"] == parts["node"], "left").select("bucket", "class_id", "low", "high", F.coalesce("component", "class_id").alias("component"))
+        placed = members.join(parts, members["class_id"] == parts["node"], "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
         if turn == "all":
             pairs = open_pairs(placed, sets, percent)
         else:
-            centre = parts.select(F.col("node").alias(turn), F.col("component").alias("centre_component"))
-            starred = placed.where(F.col("class_id") != F.col(turn)).join(centre, turn, "left")
-            pairs = starred.where(F.coalesce("centre_component", turn) != F.col("component")).select(*_ordered("class_id", turn)).distinct()
+            # a class is the centre of no more buckets than there are bands; of each bucket, the centre and its component
+            centres = buckets.join(parts, buckets[turn] == parts["node"], "left").select("bucket", "n", F.col(turn).alias("centre"), F.coalesce("component", turn).alias("centre_component"))
+            starred = join_counted(placed, centres, ["bucket"], "n").where(F.col("centre_component") != F.col("component"))
+            pairs = starred.select(*_ordered("class_id", "centre")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "nd-pairs")
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.union(pairs)
-        found = materialize(verified(likely_pairs(pairs, few, percent, count), sets, percent), "nd-links")
-        if turn == "low" or found.limit(1).count():
+        found = materialize(verified(materialize(likely_pairs(pairs, few, percent, count), "nd-likely"), sets, percent), "nd-links")
+        if not found.isEmpty():
             links = found if links is None else links.union(found)
             parts = connected_components(links)
 
-    whole = classes.join(parts, classes["class_id"] == parts["node"], "left").select("class_id", "doc_id", F.coalesce("component", "class_id").alias("component"))
-    smallest = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(whole.join(smallest, "component").select("class_id", "component_id"), "nd-components")
-    out = signed.select("doc_id", "text_key", "n_shingles", "class_id").join(named, "class_id", "left")
+    whole = classes.join(parts, classes["class_id"] == parts["node"], "left").select("class_id", "times", "doc_id", "text_key", F.coalesce("component", "class_id").alias("component"))
+    whole = materialize(whole, "nd-whole")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    smallest = whole.groupBy("component").agg(least.alias("rep"), F.count("*").alias("n")).select("component", "n", F.col("rep.doc_id").alias("component_id"), F.col("rep.text_key").alias("rep_key"))
+    named = join_counted(whole.select("class_id", "times", "component"), smallest, ["component"], "n").select("class_id", "times", "component_id", "rep_key")
+    named = materialize(named, "nd-components")
+    out = join_counted(signed.select("doc_id", "text_key", "n_shingles", "class_id"), named, ["class_id"], "times", "left")
     component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component) & (component.isNotNull() | F.col("class_id").isNull() | (F.col("text_key") == F.col("rep_key")))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
