@@ -82,6 +82,36 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df to be broadcast if it has at most so many (slim) rows, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def own_names(columns: list[str], added) -> dict[str, str]:
+    """The name in a result of each column of the input: `own_` stands before one that an added column has (in any case of letters)."""
+    taken, out = {c.lower() for c in [*added, *columns]}, {}
+    for c in columns:
+        name = c
+        while name != c and name.lower() in taken or name == c and c.lower() in {a.lower() for a in added}:
+            name = "own_" + name
+        out[c] = name
+        taken.add(name.lower())
+    return out
+
+
+def with_own_names(docs: DataFrame, added) -> DataFrame:
+    """docs with columns renamed that an added one would clash with: nothing of theirs is lost."""
+    return docs.select(*(F.col(f"`{c}`").alias(name) for c, name in own_names(docs.columns, added).items()))
+
+
+def with_first_names(result: DataFrame, columns: list[str], added) -> DataFrame:
+    """The columns of the input alone, under their first names, of a result that added others."""
+    return result.select(*(F.col(f"`{name}`").alias(c) for c, name in own_names(columns, added).items()))
+
+
 def held_out_fold(modulus: int, fold: int = 2) -> Column:
     """crc32(doc_id as text) mod modulus = fold; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == fold, F.lit(False))

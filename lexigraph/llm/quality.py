@@ -1,20 +1,29 @@
 """Quality rules: base counts, and robust multivariate outliers.
 
 For each (language, source) cell a minimum-covariance-determinant estimate of the location
-and scatter of transformed text statistics is made over all its documents: from
-coordinate-wise medians and deviations, concentration steps keep the share `support` of the
-rows with the least Mahalanobis distance and estimate anew from them. Each step is two
-aggregations over slim rows, combined before they are shuffled, so a cell with a third of
-all rows is no heavier than its tasks. Documents beyond `cutoff` (squared distance, scaled so
-that its median is that of a chi-square variable) are rejected.
-
-A cell with fewer than `least_rows` rows is judged by the estimate of its language, over all
-sources; a language with fewer by that of all documents. When those are fewer still, medians
-and quartile spreads are the estimate.
+and scatter of transformed text statistics is made over all its documents. From several
+deterministic starts (medians and quartile spreads alone, and with the correlations of spatial
+signs and of bounded scores) concentration steps keep the share `support` of the rows with the
+least Mahalanobis distance and estimate anew from them, until no determinant falls by more
+than `tolerance`; of each cell's starts the one with the least determinant stays. Each step is
+two aggregations over slim rows, combined before they are shuffled, so a cell with a third of
+all rows is no heavier than its tasks; estimates of cells are few and meet the rows by
+broadcast, behind a count.
+
+One rule serves cells of all sizes: a cell's moments are joined by those of its language as if
+these were `prior` more rows, and a language's by those of all documents in the same way, so a
+small cell is judged mostly by its language and a large one by itself.
+
+Documents are rejected whose squared distance is beyond a fence: on a logarithmic scale, the
+cell's median and `fence` times the way from its lower quartile to its median, which is at
+least a chi-square variable's. Half of a cell may be junk before that moves; 3.5 is the way to
+the 0.9996 quantile of a chi-square variable. Statistics are those of the text and
+`TYPICAL_WORDS` average words of its language, so that of a few words less is made.
 
 Defined cases: a null text has no words (all counts 0, base_failed); null languages and
 sources are cells of their own; ties in distance stand on one side of the support together;
-an empty table gives an empty result.
+columns of docs named like an added one are kept as own_<name>; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,13 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_batches, materialize, pieces, text_bytes, word_hashes, word_spans
+from .common import documents, map_batches, materialize, pieces, small, text_bytes, with_own_names, word_hashes, word_spans
 
-SUPPORT, STEPS, CUTOFF, LEAST_ROWS, WINDOW = 0.75, 4, 120.0, 200, 8
+SUPPORT, MOST_STEPS, TOLERANCE, PRIOR, FENCE, TYPICAL_WORDS, WINDOW = 0.75, 10, 1e-2, 100.0, 3.5, 100, 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_punct", "n_digits")
 FEATURES = ("log_words", "word_length", "symbols", "upper", "punct", "repeats")
-CHI_SQUARE_MEDIAN = 5.348  # of as many degrees of freedom as there are features
+#: Lower quartile and median of a chi-square variable of as many degrees of freedom as there are features.
+CHI_SQUARE = (3.4546, 5.3481)
 #: The least standard deviation of each feature, for cells in which it hardly varies.
 FLOOR = (0.2, 0.05, 0.03, 0.03, 0.03, 0.1)
 
@@ -99,8 +109,8 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with the counts of their whole texts added, in place of columns of these names; nothing is shuffled."""
-    docs = docs.drop(*COUNTS, *MORE)
+    """docs with the counts of their whole texts added; nothing is shuffled."""
+    docs = with_own_names(docs, (*COUNTS, *MORE))
     names = docs.columns
 
     def run(batches):
@@ -116,40 +126,64 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def rates(counts: DataFrame) -> DataFrame:
+    """For each language what a text of it has on average: characters a word, and shares of symbols, capitals, marks and repeats."""
+    n, chars = F.greatest(F.sum("n_words"), F.lit(1)), F.greatest(F.sum("word_chars"), F.lit(1))
+    return counts.groupBy(_cell()[0]).agg((chars / n).alias("r_length"), *((F.sum(f"n_{c}") / chars).alias(f"r_{c}") for c in ("symbols", "upper", "punct")), (F.sum("n_repeat_words") / n).alias("r_repeats"))
+
+
 def features() -> list[Column]:
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
+    """Statistics of a text with counts and its language's rates: each as if TYPICAL_WORDS average words were added, since few words vary much."""
+    words = F.col("n_words") + float(TYPICAL_WORDS)
+    more = TYPICAL_WORDS * F.col("r_length")
+    chars = F.col("word_chars") + more
     return [
         F.log1p(F.col("n_words").cast("double")),
         F.log(chars / words),
-        F.sqrt(F.col("n_symbols") / chars),
-        F.sqrt(F.col("n_upper") / chars),
-        F.sqrt(F.col("n_punct") / chars),
-        F.sqrt(F.col("n_repeat_words") / words),
+        *(F.sqrt((F.col(f"n_{c}") + more * F.col(f"r_{c}")) / chars) for c in ("symbols", "upper", "punct")),
+        F.sqrt((F.col("n_repeat_words") + TYPICAL_WORDS * F.col("r_repeats")) / words),
     ]
 
 
 D = len(FEATURES)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
-CELL = ("cell_lang", "cell_source")
+MOMENTS = ["n", *(f"s{i}" for i in range(D)), *(f"q{i}_{j}" for i, j in PAIRS)]
+CELL, STARTS = ["cell_lang", "cell_source"], 3
+#: Levels of a logarithmic scale of distances, a 64th of a factor two each.
+_FINE = 64
+_LOG_SPREAD = float(np.log2(CHI_SQUARE[1] / CHI_SQUARE[0]))
+VERDICT = ("base_failed", "distance", "kept")
+
+
+def _cell() -> list[Column]:
+    """The names of a row's cell; a null language or source has one of its own."""
+    return [F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(f"cell_{c}") for c in ("lang", "source")]
+
+
+def _with_parents(sums: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """Each cell's moments (for each start) with those of its language, and these with those of all, as prior more rows."""
+    whole = lambda keys, name: sums.groupBy("start", *keys).agg(*(F.sum(m).alias(f"{name}_{m}") for m in MOMENTS))
+    both = sums.join(whole(["cell_lang"], "lang"), ["start", "cell_lang"]).join(whole([], "all"), "start")
+    mixed = [(F.col(m) + prior * (F.col(f"lang_{m}") + prior * F.col(f"all_{m}") / F.col("all_n")) / (F.col("lang_n") + prior)).alias(m) for m in MOMENTS]
+    return both.select(*CELL, "start", *mixed)
 
 
 def _inverse(frame: pd.DataFrame) -> pd.DataFrame:
-    """From sums and sums of products to means and the inverse of the scatter, a floor under each variance."""
+    """From sums and sums of products to means, the inverse of the scatter (a floor under each variance) and its log determinant."""
     out = []
-    for row in frame.itertuples(index=False):
-        r = row._asdict()
+    for r in frame.to_dict("records"):
         n = max(1.0, r["n"])
         mean = np.array([r[f"s{i}"] for i in range(D)]) / n
         cov = np.zeros((D, D))
         for i, j in PAIRS:
             cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / n - mean[i] * mean[j]
         cov += np.diag(np.maximum(0, np.array(FLOOR) ** 2 - np.diag(cov)) + 1e-9)
-        inv = np.linalg.pinv(cov)
-        out.append([*(r[c] for c in CELL), *mean, *(inv[p] for p in PAIRS)])
-    return pd.DataFrame(out, columns=[*CELL, *(f"m{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in PAIRS)])
+        inv = np.linalg.pinv(cov, hermitian=True)
+        out.append([*(r[c] for c in CELL), r["start"], float(np.linalg.slogdet(cov)[1]), *mean, *(inv[p] for p in PAIRS)])
+    return pd.DataFrame(out, columns=[*CELL, "start", "log_det", *(f"m{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in PAIRS)])
 
 
-ESTIMATE = ", ".join([*(f"{c} string" for c in CELL), *(f"m{i} double" for i in range(D)), *(f"p{i}_{j} double" for i, j in PAIRS)])
+ESTIMATE = ", ".join([*(f"{c} string" for c in CELL), "start int", "log_det double", *(f"m{i} double" for i in range(D)), *(f"p{i}_{j} double" for i, j in PAIRS)])
 
 
 def distance() -> Column:
@@ -162,77 +196,91 @@ def distance() -> Column:
 
 
 def _level(d2: Column) -> Column:
-    """Distances in steps of a sixteenth of a factor two."""
-    return F.floor(16 * F.log2(d2 + 1e-6)).cast("int")
+    return F.floor(_FINE * F.log2(d2 + 1e-6)).cast("int")
 
 
-def _quantile_level(levels: DataFrame, share: float, name: str) -> DataFrame:
-    """Per cell the least level that at least this share of the rows is on or under."""
-    own = Window.partitionBy(*CELL)
+def _quantile_levels(levels: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Per cell, for each name, the least level that at least the share of the rows is on or under; levels are combined rows."""
+    own = Window.partitionBy(*keys)
     running = levels.withColumn("_to", F.sum("n").over(own.orderBy("level"))).withColumn("_all", F.sum("n").over(own))
-    return running.where(F.col("_to") >= share * F.col("_all")).groupBy(*CELL).agg(F.min("level").alias(name))
-
-
-def cells(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Cell names of each (lang, source) by which it is judged, and of all cells (fits) that its rows help to estimate.
-
-    A small cell is judged by its language's estimate (lang, ''), over all rows of the language; in a language of
-    few rows by that of all documents ('', '').
-    """
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    langs = sizes.groupBy("lang").agg(F.sum("_n").alias("_all"), F.max(F.col("_n") < least_rows).alias("_some")).withColumnRenamed("lang", "_lang")
-    pooled = F.lit(not langs.where(F.col("_all") < least_rows).isEmpty())
-    name = lambda c: F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\0")))
-    cell = lambda lang, source: F.struct(lang.alias("cell_lang"), source.alias("cell_source"))
-    own, language, every = cell(name("lang"), name("source")), cell(name("lang"), F.lit("")), cell(F.lit(""), F.lit(""))
-    big, many = F.col("_n") >= least_rows, F.col("_all") >= least_rows
-    by = F.when(big, own).when(many, language).otherwise(every)
-    fits = F.filter(F.array(F.when(big, own), F.when(many & F.col("_some"), language), F.when(pooled, every)), lambda c: c.isNotNull())
-    both = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
-    return both.select("lang", "source", by["cell_lang"].alias("cell_lang"), by["cell_source"].alias("cell_source"), fits.alias("fits"))
-
-
-def _in_cells(rows: DataFrame, names: DataFrame, *more: str) -> DataFrame:
-    a, b = rows.alias("a"), names.alias("b")
-    return a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in (more or CELL)))
-
-
-def fit_cells(counts: DataFrame, support: float = SUPPORT, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The names of cells, and the estimate of each with its median distance; counts: lang, source and the counts of all documents."""
-    names = materialize(cells(counts, least_rows), "quality-cells")
-    rows = counts.select("lang", "source", *(f.alias(f"f{i}") for i, f in enumerate(features())))
-    rows = _in_cells(rows, names, "fits").withColumn("fit", F.explode("fits"))
-    rows = materialize(rows.select("fit.*", *(f"f{i}" for i in range(D))), "quality-features")
-    if rows.limit(least_rows).count() < least_rows:  # too few in all for a full scatter: medians and spreads alone
-        steps = 0
-    middle = rows.groupBy(*CELL).agg(*(F.percentile_approx(f"f{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(D)))
-    spread = [F.pow(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])), F.lit(-2.0)) for i in range(D)]
-    now = middle.select(*CELL, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)), *((spread[i] if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in PAIRS))
-    now = materialize(now, "quality-start")
-    for _ in range(steps):
-        at = rows.join(now, list(CELL)).select(*CELL, *(f"f{i}" for i in range(D)), _level(distance()).alias("level"))
-        levels = at.groupBy(*CELL, "level").agg(F.count("*").alias("n"))
-        inner = at.join(_quantile_level(levels, support, "most"), list(CELL)).where(F.col("level") <= F.col("most"))
-        sums = inner.groupBy(*CELL).agg(F.count("*").cast("double").alias("n"), *(F.sum(f"f{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}_{j}") for i, j in PAIRS))
-        now = materialize(sums.mapInPandas(lambda frames: map(_inverse, frames), ESTIMATE), "quality-step")
-    levels = rows.join(now, list(CELL)).groupBy(*CELL, _level(distance()).alias("level")).agg(F.count("*").alias("n"))
-    return names, materialize(now.join(_quantile_level(levels, 0.5, "median_level"), list(CELL)), "quality-cells-fit")
-
-
-def judge(counted: DataFrame, names: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """counted (documents with counts) with base_failed, distance and kept; cells are few, rows stay where they are."""
-    counted = counted.drop("base_failed", "distance", "kept")
+    return running.groupBy(*keys).agg(*(F.min(F.when(F.col("_to") >= share * F.col("_all"), F.col("level"))).alias(name) for name, share in shares.items()))
+
+
+def _moments(rows: DataFrame, values: list[Column] | None = None) -> list[Column]:
+    f = values or [F.col(f"f{i}") for i in range(D)]
+    return [F.count("*").cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(f)), *(F.sum(f[i] * f[j]).alias(f"q{i}_{j}") for i, j in PAIRS)]
+
+
+def _first_estimates(rows: DataFrame) -> DataFrame:
+    """The starts of each cell: medians, with spreads alone and with correlations of spatial signs and of bounded scores."""
+    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    middle = materialize(rows.groupBy(*CELL).agg(*(F.percentile_approx(f"f{i}", thirds).alias(f"c{i}") for i in range(D))), "quality-middle")
+    spread = [F.greatest((F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(D)]
+    z = [(F.col(f"f{i}") - F.col(f"c{i}")[1]) / spread[i] for i in range(D)]
+    size = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
+    at = rows.join(small(middle), CELL)
+    signs, scores = (at.groupBy(*CELL).agg(*_moments(at, values)) for values in ([x / size for x in z], [F.tanh(x) for x in z]))
+
+    def of(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                cov = np.eye(D)
+                if r["n"]:
+                    raw = np.zeros((D, D))
+                    for i, j in PAIRS:
+                        raw[i, j] = raw[j, i] = r[f"q{i}_{j}"] / r["n"]
+                    scale = np.sqrt(np.diag(raw) + 1e-12)
+                    cov = 0.9 * raw / np.outer(scale, scale) + 0.1 * np.eye(D)  # correlations, away from singular ones
+                wide = np.array([max((r[f"c{i}"][2] - r[f"c{i}"][0]) / 1.349, FLOOR[i]) for i in range(D)])
+                inv = np.linalg.inv(cov * np.outer(wide, wide))
+                out.append([*(r[c] for c in CELL), r["start"], 1e300, *(r[f"c{i}"][1] for i in range(D)), *(inv[p] for p in PAIRS)])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ESTIMATE.split(", ")])
+
+    none = [F.lit(0.0).alias(m) for m in MOMENTS]
+    tables = [middle.select(*CELL, F.lit(0).alias("start"), *none, *(f"c{i}" for i in range(D)))]
+    tables += [s.join(middle, CELL).select(*CELL, F.lit(k).alias("start"), *MOMENTS, *(f"c{i}" for i in range(D))) for k, s in ((1, signs), (2, scores))]
+    return materialize(tables[0].union(tables[1]).union(tables[2]).mapInPandas(of, ESTIMATE), "quality-start")
+
+
+def fit_cells(counts: DataFrame, support: float = SUPPORT, most_steps: int = MOST_STEPS, tolerance: float = TOLERANCE, prior: float = PRIOR, fence: float = FENCE) -> DataFrame:
+    """The estimate of each cell with the median and the fence of its distances (levels); counts: lang, source, counts of all documents."""
+    means = materialize(rates(counts), "quality-rates")
+    rows = counts.select("*", *_cell()).join(small(means), "cell_lang").select(*CELL, *(f.alias(f"f{i}") for i, f in enumerate(features())))
+    rows = materialize(rows, "quality-features")
+    now, keys = _first_estimates(rows), [*CELL, "start"]
+    for _ in range(most_steps):
+        at = rows.join(small(now), CELL).select(*keys, *(f"f{i}" for i in range(D)), _level(distance()).alias("level"))
+        most = materialize(_quantile_levels(at.groupBy(*keys, "level").agg(F.count("*").alias("n")), keys, {"most": support}), "quality-levels")
+        inner = at.join(small(most), keys).where(F.col("level") <= F.col("most"))
+        sums = materialize(inner.groupBy(*keys).agg(*_moments(inner)), "quality-sums")
+        after = materialize(_with_parents(sums, prior).mapInPandas(lambda frames: map(_inverse, frames), ESTIMATE), "quality-step")
+        fell = after.select(*keys, F.col("log_det").alias("after")).join(now.select(*keys, "log_det"), keys).where(F.col("after") < F.col("log_det") - tolerance)
+        now = after
+        if fell.isEmpty():
+            break
+    names = [c for c in now.columns if c != "start"]
+    best = now.groupBy(*CELL).agg(F.min_by(F.struct(*names[2:]), F.struct("log_det", "start")).alias("best")).select(*CELL, "best.*")
+    best = materialize(best, "quality-best")
+    levels = rows.join(small(best), CELL).groupBy(*CELL, _level(distance()).alias("level")).agg(F.count("*").alias("n"))
+    quartiles = _quantile_levels(levels, CELL, {"low_level": 0.25, "median_level": 0.5})
+    spread = F.greatest((F.col("median_level") - F.col("low_level")) / _FINE, F.lit(_LOG_SPREAD))
+    bound = quartiles.select(*CELL, "median_level", (F.col("median_level") / _FINE + fence * spread).alias("fence"))
+    return materialize(best.join(bound, CELL).join(means, "cell_lang"), "quality-cells-fit")
+
+
+def judge(counted: DataFrame, estimates: DataFrame) -> DataFrame:
+    """counted (documents with counts) with base_failed, distance (chi-square scale) and kept; rows stay where they are."""
+    counted = with_own_names(counted, VERDICT)
     # the documents' own columns travel in a struct, so that no name of theirs meets one used here
-    rows = counted.select(F.struct(*counted.columns).alias("row"), "lang", "source", base_failed().alias("base_failed"), *(f.alias(f"f{i}") for i, f in enumerate(features())))
-    rows = _in_cells(rows, names).join(estimates, list(CELL), "left")
-    scale = F.pow(F.lit(2.0), F.col("median_level") / 16.0) / CHI_SQUARE_MEDIAN
-    rows = rows.withColumn("distance", distance() / F.greatest(scale, F.lit(1e-6)))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return rows.select("row.*", "base_failed", "distance", kept.alias("kept"))
+    rows = counted.select(F.struct(*counted.columns).alias("row"), base_failed().alias("base_failed"), *_cell(), *COUNTS, *MORE)
+    rows = rows.join(small(estimates), CELL, "left").withColumns({f"f{i}": f for i, f in enumerate(features())}).withColumn("_d", distance())
+    scale = F.pow(F.lit(2.0), F.col("median_level") / _FINE) / CHI_SQUARE[1]
+    inside = F.coalesce(F.log2(F.col("_d") + 1e-6) <= F.col("fence"), F.lit(True))
+    return rows.select("row.*", "base_failed", (F.col("_d") / F.greatest(scale, F.lit(1e-6))).alias("distance"), (~F.col("base_failed") & inside).alias("kept"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source")
     counts = materialize(with_counts(docs).drop("text"), "quality-counts")
-    names, estimates = fit_cells(counts)
-    return judge(counts, names, estimates).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
+    return judge(counts, fit_cells(counts)).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
