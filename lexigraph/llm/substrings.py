@@ -7,19 +7,20 @@ with the short lines after it, as many as make `least_words` words, from each sh
 so a passage in short lines is found wherever it stands; a paragraph (lines up to a blank one)
 of several units or short lines is hashed as a whole as well, so it is found in other line
 breaks. A letter of a script without blanks between words counts as a word. Of equal units in
-the whole corpus the earliest stays: the one in the document with the smallest doc_id, and
-there the first, with those that overlap it. The others are removed, each with the white space
+the whole corpus the earliest stays: the one in the document with the smallest doc_id (nulls
+last; of equal ones that with the least hash of id and text), and there the first, with those
+that overlap it. The others are removed, each with the white space
 after it; a short line that is in no unit goes with them if both its neighbours go. Offsets of
 what is kept refer to the original text, in characters.
 
 Digests are combined before they are shuffled, so a line that a third of all documents share
-is as many rows as there are tasks. Only (digest, document, unit number) rows are shuffled to
+is as many rows as there are tasks; in the join with its first occurrence it is salted. Only (digest, document, unit number) rows are shuffled to
 find the repeats; a document's removed unit numbers, bounded by its own length, then meet its
 text.
 
 Defined cases: a null text stays null and has no units; documents without a doc_id come
 after all others; rows that repeat doc_id and text are one document; other columns are kept
-as they are; an empty table gives an empty result.
+as they are, those named like an added one as own_<name>; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_batches, materialize, pieces, whole_text
+from .common import documents, join_counted, map_batches, materialize, pieces, whole_text, with_own_names
 
 LEAST_WORDS = 8
 _LINE = re.compile(r"[^\n]+")
@@ -146,21 +147,30 @@ def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def removed_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """row_key and the numbers of its removed units, for every document that loses one."""
-    rows = materialize(unit_digests(docs, least_words), "units")
-    firsts = rows.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
-    late = F.col("again") | F.coalesce(F.col("doc_id") > F.col("first_doc"), F.col("first_doc").isNotNull())
-    found = rows.join(firsts, ["digest", "check"]).where(late).select("row_key", "unit")
-    return found.groupBy("row_key").agg(F.collect_set("unit").alias("gone"))
+    keys = ["digest", "check"]
+    rows = materialize(unit_digests(docs, least_words).withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1))).drop("doc_id"), "units")
+    firsts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("rank").alias("first_rank")).where("n > 1")
+    met = materialize(join_counted(rows, materialize(firsts, "unit-firsts"), keys, "n").select("row_key", "unit", *keys, "again", "rank", "first_rank"), "unit-repeats")
+    late = met.where(F.col("again") | (F.col("rank") > F.col("first_rank"))).select("row_key", "unit")
+    # documents that share the least rank (a repeated id, or none at all) go by their rows' hashes
+    first = met.where("rank = first_rank")
+    tied = first.groupBy(*keys).agg(F.min("row_key").alias("first_row"), F.count("*").alias("n"), (F.min("row_key") < F.max("row_key")).alias("several")).where("several")
+    later = join_counted(first.select("row_key", "unit", *keys), tied.select(*keys, "first_row", "n"), keys, "n").where("row_key > first_row").select("row_key", "unit")
+    return late.union(later).groupBy("row_key").agg(F.collect_set("unit").alias("gone"))
+
+
+ADDED = ("n_units", "n_removed", "removed_chars", "kept_spans")
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with repeated units taken out of text, and n_units, n_removed, removed_chars, kept_spans added."""
-    extra = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("kept_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    docs = docs.drop(*(f.name for f in extra)).withColumn("text", F.col("text").cast("string"))
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))]
+    extra = [T.StructField(c, k) for c, k in zip(ADDED, kinds)]
+    docs = with_own_names(docs, ADDED).withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     gone = removed_units(docs, least_words).select(F.col("row_key").alias("_lx_key"), F.col("gone").alias("_lx_gone"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    joined = docs.withColumn("_lx_row", _row_key()).join(gone, F.col("_lx_row") == F.col("_lx_key"), "left").select(*names, "_lx_gone")
+    joined = docs.withColumn("_lx_row", _row_key()).join(gone, F.col("_lx_row") == F.col("_lx_key"), "left").select(*(f"`{c}`" for c in names), "_lx_gone")
 
     def run(batches):
         for batch in batches:
