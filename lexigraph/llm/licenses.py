@@ -1,130 +1,73 @@
 """License scan: exact set-similarity (containment) join of text blocks with license templates.
 
-Native DataFrame operations only. A block is a line of a text, or the words around a line
-break: on each side as many as the longest template has, or up to twice as many, over further
-breaks, so that a notice wrapped over lines lies whole in a block. A block's set is that of
-its distinct lower-cased words. A template T is found in a block B when at least
-ceil(threshold * |T|) of T's distinct words are in B. Breaks are looked at only in documents
-that have so many words of some template at all, which loses none.
-
-The join: words are ordered globally, rarest first, by the number of blocks of the whole
-corpus that have them. A block that contains enough of T has one of T's first
-|T| - ceil(threshold * |T|) + 1 words (prefix filter), has at least ceil(threshold * |T|)
-words (length filter), and from its first shared word on it has enough words, in the global
-order, of those that templates have (positional filter). What passes is verified on the full sets. Only words of templates can be shared, so
-a block is kept as its template words and its size.
-
-Templates are a parameter of a few hundred words, so their words and prefixes are literals
-or broadcast rows whose number the corpus does not change.
+Native DataFrame operations only. A block for a template is a run of consecutive words of a
+text, half as many again as the template has, from any place on: line breaks, comment marks
+and punctuation do not matter. A template T is found in a text when at least
+ceil(threshold * |T|) of T's distinct words are in one of its blocks.
+
+The join: a text's words that any template has are kept with their places. Words are ordered
+globally, rarest first, by the number of texts of the whole corpus that have them. A text
+with a block of T has one of T's first |T| - ceil(threshold * |T|) + 1 words (prefix filter),
+has at least ceil(threshold * |T|) words (length filter), and from its first shared word on
+it has enough words in the global order (positional filter). What passes is verified: first
+by all of the text's words, then by each block, as a window over the places of T's words.
+
+Templates are a table, a parameter of a few thousand words; the corpus does not change its
+size. It is broadcast; all filters and the verification are joins with it.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0); ties in word
-frequency are broken by the word; rows that share doc_id and text get equal results; an
-empty table gives an empty result.
+frequency are broken by the word; rows that share doc_id and text get equal results; other
+columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, whole_text
+from .license_texts import TEMPLATES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans(UPPER, LOWER)
 THRESHOLD = 0.8
 
 #: Base phrases and their labels (fixed by the query's contract).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices that licenses ask to be put into files (public texts), by the label they give.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("mit-notice", "Released under the MIT License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("all-rights-reserved", "Copyright notice: all rights reserved by the copyright holder"),
-)
 
+def all_words(text: str) -> list[str]:
+    """The words of a template, in Python (templates are parameters, not data)."""
+    return re.findall(WORD, text.translate(_FOLD))
 
-def words_of(text: str) -> list[str]:
-    """The distinct words of a template, in Python (templates are parameters, not data)."""
-    import re
 
-    return sorted(set(re.findall(WORD, text.lower())))
+def words_of(text: str) -> list[str]:
+    return sorted(set(all_words(text)))
 
 
 def needed(size: int, threshold: float) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
-def template_words(text: str) -> int:
-    """The number of words of a template, repeated ones included."""
-    import re
-
-    return len(re.findall(WORD, text.lower()))
-
-
-def _literal(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
-def text_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The distinct lower-cased words of each line with a word, and of the surroundings of each line break."""
-    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
-    lines = keyed.select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0))
-    lines = lines.select("doc_id", "text_key", words.alias("words"))
-    return lines.unionByName(break_blocks(keyed, templates, threshold)).where(F.size("words") > 0)
+def block_size(text: str) -> int:
+    """Words of a block for this template."""
+    return math.ceil(1.5 * len(all_words(text)))
 
 
-def break_blocks(keyed: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The words around each line break, in documents that could have a template; keyed: doc_id, text_key, text."""
-    sets = [words_of(text) for _, text in templates]
-    reach = 2 * max((template_words(text) for _, text in templates), default=0)  # of a line's words or breaks at least every other is a word
-    vocabulary = sorted({w for own in sets for w in own})
-    parts = F.regexp_extract_all(F.lower("text"), F.lit(WORD + r"|\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), 0)
-    known = keyed.where(F.instr("text", "\n") > 0).withColumn("parts", parts).withColumn("known", F.array_intersect("parts", _literal(vocabulary)))
-    enough = functools.reduce(lambda a, b: a | b, [F.size(F.array_intersect("known", _literal(own))) >= needed(len(own), threshold) for own in sets], F.lit(False))
-    able = known.where(enough).select("doc_id", "text_key", "parts", F.posexplode("parts").alias("at", "part")).where(F.col("part").startswith("\n"))
-    near = F.slice("parts", F.greatest(F.col("at") + 1 - reach, F.lit(1)), F.least(F.col("at"), F.lit(reach)) + 1 + reach)
-    return able.select("doc_id", "text_key", F.array_distinct(F.filter(near, lambda w: ~w.startswith("\n"))).alias("words"))
-
-
-def containment_join(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (block's document, label) with the containment of the template in the block; blocks: doc_id, text_key, words."""
-    spark = blocks.sparkSession
-    sets = {label: words_of(text) for label, text in templates}
-    vocabulary = sorted({w for s in sets.values() for w in s})
-    slim = blocks.select("doc_id", "text_key", F.size("words").alias("size"), F.array_intersect("words", _literal(vocabulary)).alias("words"))
-    slim = materialize(slim.where(F.size("words") > 0), "license-blocks")
-    seen = {r["word"]: r["n"] for r in slim.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
-    prefix = []
-    for label, own in sets.items():
-        ordered = sorted(own, key=rank.get)
-        least = needed(len(own), threshold)
-        prefix += [(rank[w], label, len(own), least) for w in ordered[: len(own) - least + 1]]
-    index = spark.createDataFrame(prefix, "rank int, label string, template_size int, least int")
-    ranks = F.map_from_arrays(_literal(rank), F.array(*[F.lit(i) for i in rank.values()]))
-    order = F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w)))
-    probes = slim.select("doc_id", "text_key", "size", "words", F.posexplode(order).alias("place", "rank")).where(F.col("rank").isin(sorted({p[0] for p in prefix})))
-    found = probes.join(F.broadcast(index), "rank").where((F.col("size") >= F.col("least")) & (F.size("words") - F.col("place") >= F.col("least")))
-    shared = F.lit(None)
-    for label, own in sets.items():
-        both = F.array_intersect("words", _literal(sorted(own, key=rank.get)))
-        shared = F.when(F.col("label") == label, both).otherwise(shared)
-    # a block meets a template through several prefix words; the first in the global order stands for all
-    first = F.array_min(F.transform("shared", lambda w: F.element_at(ranks, w)))
-    verified = found.withColumn("shared", shared).where((F.size("shared") >= F.col("least")) & (F.col("rank") == first))
-    return verified.select("doc_id", "text_key", "label", (F.size("shared") / F.col("template_size")).alias("containment"))
+def text_words(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """Per row the number of words, the places of base phrases, and the words that templates have, with their places."""
+    vocabulary = sorted({w for _, text in templates for w in words_of(text)})
+    words = F.regexp_extract_all(F.translate(whole_text(), UPPER, LOWER), F.lit(WORD), 0)
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), words.alias("words"))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("at")))), lambda h: h.isNotNull())
+    none = F.array().cast("array<struct<at:bigint,label:string>>")
+    places = F.when(F.exists("words", lambda w: w == "license"), phrase_places(F.col("words"))).otherwise(none)
+    return rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), places.alias("places"), hits.alias("hits"))
 
 
 def phrase_places(words: Column) -> Column:
@@ -138,17 +81,51 @@ def _places_of(words: Column, parts: list[str], label: str) -> Column:
     return F.transform(at, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
 
+def containment_join(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, label and the greatest containment of the template in a block of the text; rows: of text_words, written."""
+    spark = rows.sparkSession
+    sets = {label: words_of(text) for label, text in templates}
+    own = rows.where(F.size("hits") > 0).select("doc_id", "text_key", "n_words", "hits", F.array_distinct("hits.word").alias("words"))
+    seen = {r["word"]: r["n"] for r in own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the templates' words
+    rank = {w: i for i, w in enumerate(sorted({w for s in sets.values() for w in s}, key=lambda w: (seen.get(w, 0), w)))}
+    prefix, table = [], []
+    for label, text in templates:
+        ordered = sorted(sets[label], key=rank.get)
+        least = needed(len(ordered), threshold)
+        table.append((label, ordered, len(ordered), least, block_size(text)))
+        prefix += [(rank[w], w, label, len(ordered), least) for w in ordered[: len(ordered) - least + 1]]
+    index = spark.createDataFrame(prefix, "rank int, word string, label string, size int, least int")
+    whole = F.broadcast(spark.createDataFrame(table, "label string, own array<string>, size int, least int, block int"))
+    ranks = F.broadcast(spark.createDataFrame([(w, i) for w, i in rank.items()], "word string, rank int"))
+
+    # the words of each text in the global order; those of the prefixes look for templates
+    starts = index.select("word").distinct().withColumnRenamed("word", "start")
+    slim = own.select("doc_id", "text_key", "n_words", "words").dropDuplicates(["doc_id", "text_key"])
+    able = slim.where(F.exists("words", lambda w: w.isin([r[1] for r in prefix])))
+    ordered = able.select("doc_id", "text_key", "n_words", "words", F.explode("words").alias("word")).join(ranks, "word")
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("rank")) - 1
+    probes = ordered.select("doc_id", "text_key", "n_words", "words", "word", place.alias("place")).join(F.broadcast(starts), F.col("word") == F.col("start"), "left_semi")
+    met = probes.join(F.broadcast(index.select("word", "label", "least")), "word").where((F.col("n_words") >= F.col("least")) & (F.size("words") - F.col("place") >= F.col("least")))
+    candidates = met.select("doc_id", "text_key", "words", "label").dropDuplicates(["doc_id", "text_key", "label"])
+    candidates = candidates.join(whole, "label").where(F.size(F.array_intersect("words", "own")) >= F.col("least")).select("doc_id", "text_key", "label", "own", "size", "least", "block")
+
+    # blocks: windows over the places of the template's words, in units of the block's length
+    c, o = candidates.alias("c"), own.select("doc_id", "text_key", "hits").dropDuplicates(["doc_id", "text_key"]).alias("o")
+    both = c.join(o, F.col("c.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("c.text_key") == F.col("o.text_key")))
+    placed = both.select("c.doc_id", "c.text_key", "label", "own", "size", "least", "block", F.inline("o.hits")).where(F.array_contains("own", F.col("word")))
+    placed = placed.select("doc_id", "text_key", "label", "size", "least", "word", (F.col("at") / F.col("block")).alias("at"))
+    block = "collect_set(word) OVER (PARTITION BY doc_id, text_key, label ORDER BY at RANGE BETWEEN CURRENT ROW AND 0.999999D FOLLOWING)"
+    found = placed.select("doc_id", "text_key", "label", "size", "least", F.expr(f"size({block})").alias("shared"))
+    best = found.where("shared >= least").groupBy("doc_id", "text_key", "label").agg((F.max("shared") / F.max("size")).alias("containment"))
+    return best
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: word count, base phrase places and labels, labels of templates found, score."""
-    text = whole_text()
-    found = containment_join(text_blocks(docs, templates, threshold), templates, threshold)
+    rows = materialize(text_words(docs, templates), "license-words")
+    found = containment_join(rows, templates, threshold)
     found = found.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    none = F.array().cast("array<struct<at:bigint,label:string>>")
-    lower = F.transform("words", lambda w: F.translate(w, UPPER, LOWER))
-    base = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    base = base.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_ANY_CASE), 0))
-    base = base.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.when(F.col("text").rlike("(?i)license"), lower).alias("words"))
-    base = base.withColumn("places", F.when(F.col("words").isNotNull(), phrase_places(F.col("words"))).otherwise(none)).drop("words")
+    base = rows.select("doc_id", "text_key", "n_words", "places")
     joined = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.text_key") == F.col("f.text_key")), "left")
     labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
     n_base = F.size("places").cast("long")
@@ -169,21 +146,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same rows by comparing each template with each line, and each phrase with each place."""
-    sets = [(label, words_of(text)) for label, text in templates]
-    rows = ", ".join(f"('{label}', [{', '.join(repr(w) for w in s)}], {len(s)}, {needed(len(s), threshold)})" for label, s in sets)
+    """The same rows by counting each template's words in each block of each text, and each phrase at each place."""
+    sets = [(label, words_of(text), block_size(text)) for label, text in templates]
+    rows = ", ".join(f"('{label}', [{', '.join(repr(w) for w in s)}], {len(s)}, {needed(len(s), threshold)}, {b})" for label, s, b in sets)
     places = " UNION ALL ".join(
         "SELECT k, '" + label + "' AS label, i - 1 AS pos FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE " + " AND ".join(f"words[i + {j}] = '{p}'" for j, p in enumerate(phrase.split(" ")))
         for phrase, label in PHRASES
     )
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT k, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{word}') AS words FROM d),
+w AS (SELECT k, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM d),
 p AS ({places}),
-t(label, words, size, least) AS (VALUES {rows}),
-b AS (SELECT k, list_distinct(regexp_extract_all(lower(line), '{word}')) AS words FROM d, unnest(string_split(text, chr(10))) AS u(line)),
-f AS (SELECT k, label, len(list_intersect(b.words, t.words)) / size AS c FROM b, t WHERE len(list_intersect(b.words, t.words)) >= least),
+t(label, words, size, least, block) AS (VALUES {rows}),
+v AS (SELECT label, size, least, block, unnest(words) AS word FROM t),
+o AS (SELECT k, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+h AS (SELECT o.k, v.label, v.size, v.least, v.block, o.word, o.pos FROM o JOIN v USING (word)),
+e AS (SELECT k, label FROM h GROUP BY k, label HAVING count(DISTINCT word) >= max(least)),
+g AS (SELECT h.* FROM h JOIN e USING (k, label)),
+b AS (SELECT s.k, s.label, s.size, s.least, s.pos, count(DISTINCT x.word) AS shared
+  FROM g s JOIN g x ON x.k = s.k AND x.label = s.label AND x.pos >= s.pos AND x.pos < s.pos + s.block GROUP BY ALL),
+f AS (SELECT k, label, max(shared) / max(size) AS c FROM b WHERE shared >= least GROUP BY k, label),
 l AS (SELECT k, label FROM f UNION SELECT k, label FROM p)
 SELECT doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
   (SELECT count(*) FROM p WHERE p.k = d.k) AS n_base,
