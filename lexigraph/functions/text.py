@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 # Fixed values ---------------------------------------------------------------------------
 
 #: Tokens that say nothing about a product.
-STOPWORDS = """
-type types string str name value val data id db key node path
-src dist out build version script scripts dependency dependencies option
-options config index util utils const let var return import export from
-function fn func method class interface enum void int bool boolean number
-num float double object obj array arr true false null undefined none
-this self new get set args arg param params result res req error err
-exception item items list map default module modules require async await
-public private protected static final override length size count ref title
-kind layer source field row col tmp temp test tests spec print log
-println todo main init run
-""".split()
+STOPWORDS = (
+    "type", "types", "string", "str", "name", "value", "val", "data", "id", "db", "key", "node", "path",
+    "src", "dist", "out", "build", "version", "script", "scripts", "dependency", "dependencies", "option",
+    "options", "config", "index", "util", "utils", "const", "let", "var", "return", "import", "export", "from",
+    "function", "fn", "func", "method", "class", "interface", "enum", "void", "int", "bool", "boolean", "number",
+    "num", "float", "double", "object", "obj", "array", "arr", "true", "false", "null", "undefined", "none",
+    "this", "self", "new", "get", "set", "args", "arg", "param", "params", "result", "res", "req", "error", "err",
+    "exception", "item", "items", "list", "map", "default", "module", "modules", "require", "async", "await",
+    "public", "private", "protected", "static", "final", "override", "length", "size", "count", "ref", "title",
+    "kind", "layer", "source", "field", "row", "col", "tmp", "temp", "test", "tests", "spec", "print", "log",
+    "println", "todo", "main", "init", "run",
+)
 
 #: Directories that name a layer, not a feature.
-GENERIC_DIRS = """
-src lib internal app apps cmd pkg packages main
-source sources dist build target out vendor node_modules
-test tests transport service services store stores
-repository domain model models dto api core common
-shared util utils helpers config types db database server
-""".split()
+GENERIC_DIRS = (
+    "src", "lib", "internal", "app", "apps", "cmd", "pkg", "packages", "main",
+    "source", "sources", "dist", "build", "target", "out", "vendor", "node_modules",
+    "test", "tests", "transport", "service", "services", "store", "stores",
+    "repository", "domain", "model", "models", "dto", "api", "core", "common",
+    "shared", "util", "utils", "helpers", "config", "types", "db", "database", "server",
+)
 
 #: Headings that are never terms of a product.
 GENERIC_HEADINGS = (
@@ -42,6 +42,8 @@ GENERIC_HEADINGS = (
 CONSTRAINT_WORDS = r"must not|must|cannot|can only|may not|shall|should not|should|require[sd]?|never|always|forbidden|not allowed|mandatory|at most|at least|no more than|only|within \d+"
 CONSTRAINT_STEMS = r"должн|обязан|обязательн|только|нельзя|запрещ|не может|не дол|в течение \d+|не более|не менее|всегда|никогда"
 SCHEMA_TOKENS = r"FK|PK|uuid|varchar"
+#: Of these each sentence with a constraint has one: the words and stems above but for those that follow from another.
+CONSTRAINT_CUES = r"(?iu)must|cannot|may\s+not|shall|should|require|never|always|forbidden|not\s+allowed|mandatory|at\s+most|at\s+least|no\s+more\s+than|only|within\s+\d|должн|обязан|обязательн|только|нельзя|запрещ|не\s+может|не\s+дол|в\s+течение\s+\d|не\s+более|не\s+менее|всегда|никогда"
 
 #: Word boundaries that treat letters of any script alike in every regex engine.
 LEFT, RIGHT = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
@@ -109,12 +111,13 @@ def capitalize(c) -> Column:
 
 
 def cluster_label(ref) -> Column:
-    """The nearest directory that names a feature, else the file's stem, else Misc; first letter upper-case."""
+    """The nearest directory that names a feature, else the file's stem if that is not generic, else Misc; first letter upper-case."""
     parts = F.split(F.substring_index(_c(ref), "#", 1), "/")
     generic = F.array(*[F.lit(d) for d in GENERIC_DIRS])
-    dirs = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: ~is_blank(d) & ~F.array_contains(generic, F.lower(d)))
+    telling = lambda d: ~is_blank(d) & ~F.array_contains(generic, F.lower(d))
+    dirs = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), telling)
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    return capitalize(F.coalesce(F.get(F.reverse(dirs), 0), null_if_blank(stem), F.lit("Misc")))
+    return capitalize(F.coalesce(F.get(F.reverse(dirs), 0), F.when(telling(stem), stem), F.lit("Misc")))
 
 
 def top_segment(path) -> Column:
@@ -223,12 +226,18 @@ def is_prose_rule(s) -> Column:
     """A sentence that states a constraint and is no table row, URL, code or schema line."""
     s = _c(s)
     ticks = F.length(s) - F.length(F.replace(s, F.lit("`"), F.lit("")))
-    return F.length(s).between(12, 240) & s.rlike(CONSTRAINT) & ~s.contains("|") & ~s.contains("://") & (ticks < 4) & ~(s.contains("=") & s.rlike(SCHEMA_TOKEN))
+    return F.length(s).between(12, 240) & ~s.contains("|") & ~s.contains("://") & (ticks < 4) & s.rlike(CONSTRAINT) & ~(s.contains("=") & s.rlike(SCHEMA_TOKEN))
+
+
+def may_have_rules(body) -> Column:
+    """Whether a constraint word stands anywhere, boundaries not looked at: cheap, true for all texts with a rule."""
+    return _c(body).rlike(CONSTRAINT_CUES)
 
 
 def rules_in(body, most: int = 3) -> Column:
-    """The first distinct rule sentences of a body."""
-    return F.slice(F.array_distinct(F.filter(sentences(body), is_prose_rule)), 1, most)
+    """The first distinct rule sentences of a body; bodies without a cue are not cut into sentences."""
+    found = F.slice(F.array_distinct(F.filter(sentences(body), is_prose_rule)), 1, most)
+    return F.when(_c(body).isNotNull(), F.when(may_have_rules(body), found).otherwise(F.array().cast("array<string>")))
 
 
 def rule_ref(sentence) -> Column:
@@ -244,6 +253,11 @@ def snippet(body) -> Column:
 # Verdicts, usage, numbers -----------------------------------------------------------------
 
 
+def json_string(c) -> Column:
+    """A string as a JSON string, quotes, backslashes and control characters escaped."""
+    return F.regexp_extract(F.to_json(F.struct(_c(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
 def json_array_in(reply) -> Column:
     """What stands from the first [ to the last ] of a reply; empty without both."""
     return F.regexp_extract(_c(reply), r"(?s)\[.*\]", 0)

@@ -60,9 +60,16 @@ def dedupe_by_name(concepts: DataFrame, edges: DataFrame, all_self_loops: bool =
 
 
 def parse_verdicts(replies: DataFrame, reply: str, schema) -> DataFrame:
-    """Verdict rows from replies in prose around a JSON array; a reply that does not parse gives none."""
+    """Verdict rows from replies in prose around a JSON array; a reply that does not parse gives none.
+
+    Other columns of replies stay (the batch a reply answers, say). pos is the place of a verdict in its reply, later
+    replies after earlier ones where replies have a column `reply_no`.
+    """
     ddl = f"array<{schema.simpleString()}>"
-    return replies.select(F.explode(F.from_json(json_array_in(reply), ddl)).alias("v")).select("v.*")
+    at = F.col("reply_no").cast("long") * 1_000_000 if "reply_no" in replies.columns else F.lit(0).cast("long")
+    rest = [c for c in replies.columns if c != reply and c not in schema.fieldNames()]
+    rows = replies.select(*rest, F.posexplode(F.from_json(json_array_in(reply), ddl)).alias("_at", "v"))
+    return rows.select(*rest, "v.*", (at + F.col("_at")).alias("pos"))
 
 
 def concept_verdicts(replies: DataFrame, reply: str) -> DataFrame:
@@ -92,10 +99,20 @@ def canonicalize(concepts: DataFrame, edges: DataFrame, candidates: DataFrame, v
 def refine_rules(edges: DataFrame, artifacts: DataFrame, candidates: DataFrame, verdicts: DataFrame, batch: int = 12) -> tuple[DataFrame, DataFrame]:
     """Edges and artifacts after rule verdicts: kept ones confirmed and perhaps reworded, dropped ones rejected.
 
-    candidates: edge_id, rule_id, concept, ref. verdicts: batch, id (1-based in the batch), keep, refined.
+    candidates: edge_id, rule_id, concept, ref, text. verdicts: batch (or none: one reply serves every batch), id
+    (1-based in the batch), keep, refined, and pos for the last of several of one id. A candidate without a verdict
+    stays. A rule is reworded if the trimmed wording is not blank and differs from its text; of several edges of a rule
+    the last decides. Candidates but no verdict at all: ValueError, nothing is changed.
     """
+    if verdicts.isEmpty() and not candidates.isEmpty():
+        raise ValueError("no reply has a verdict; no rule is changed")
     numbered = batches(candidates, [], [F.col("concept"), F.col("ref"), F.col("edge_id")], batch)
-    judged = numbered.join(verdicts.dropDuplicates(["batch", "id"]), ["batch", "id"])
+    keys = [c for c in ("batch", "id") if c in verdicts.columns]
+    order = F.col("pos") if "pos" in verdicts.columns else F.struct("keep", "refined")
+    last = verdicts.groupBy(*keys).agg(F.max_by(F.struct("keep", "refined"), order).alias("v")).select(*keys, "v.*")
+    judged = numbered.join(last, keys)
     decided = judged.select(F.col("edge_id").alias("id"), F.when(F.col("keep"), "confirmed").otherwise("rejected").alias("status"))
-    titles = judged.where("keep and refined <> ''").groupBy(F.col("rule_id").alias("id")).agg(F.max_by(F.substring("refined", 1, 200), F.struct("batch", F.col("edge_id"))).alias("title"))
+    words = utrim(F.coalesce("refined", F.lit("")))
+    reworded = judged.where(F.col("keep") & (words != "") & (words != utrim("text")))
+    titles = reworded.groupBy(F.col("rule_id").alias("id")).agg(F.max_by(F.substring(words, 1, 200), F.struct(F.col("batch"), F.col("id"))).alias("title"))
     return set_status(edges, decided), patch(artifacts, titles)

@@ -15,8 +15,6 @@ from ..schema import key
 from .ranks import last_write
 
 INTRO = "(intro)"
-#: Up to so many forms the vocabulary travels to the sections; beyond, both are shuffled.
-BROADCAST_FORMS = 20_000
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -64,24 +62,36 @@ def _ngrams(n: int):
     return F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
 
 
+def _signs(text, n: int):
+    """All runs of n characters without a letter, digit or underscore."""
+    runs = F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}_]{%d,}" % n), 0)
+    parts = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n)))
+    return F.flatten(F.transform(runs, parts))
+
+
 def dictionary_match(sections: DataFrame, forms: DataFrame) -> DataFrame:
     """ref, idx, concept_id, heading_hit for each concept of which a form stands in a section.
 
-    An equi-join on n-grams of words finds candidates; the form is then verified with its
-    boundaries. The longest form bounds n; forms are a product's vocabulary, read once for
-    that bound. Forms without a letter or digit are compared with each section directly.
+    An equi-join on n-grams of words, and for forms without a letter or digit on runs of as
+    many signs, finds candidates; only (ref, idx, gram) meets the forms, which Spark broadcasts
+    where they are small. The hits of a section, at most the forms, then meet its text, once,
+    and are verified with their boundaries. The longest form bounds n; forms are a product's
+    vocabulary, read once for that bound.
     """
-    forms = forms.withColumn("gram", F.array_join(_tokens("form"), " ")).withColumn("n", F.size(_tokens("form")))
-    sizes = {r["n"]: r["forms"] for r in forms.groupBy("n").agg(F.count("*").alias("forms")).collect()}  # as many as lengths
-    lengths = sorted(n for n in sizes if n > 0)
-    forms = F.broadcast(forms) if sum(sizes.values()) <= BROADCAST_FORMS else forms.hint("shuffle_merge")
+    plain = F.size(_tokens("form")) > 0
+    n = F.when(plain, F.size(_tokens("form"))).otherwise(-F.length("form"))
+    forms = forms.select("concept_id", "form", n.alias("n"), F.when(plain, F.array_join(_tokens("form"), " ")).otherwise(F.lower("form")).alias("gram"))
+    lengths = sorted(r["n"] for r in forms.select("n").distinct().collect())  # as many as lengths of forms
     text = F.concat_ws("\n", F.when(F.col("heading") != INTRO, F.col("heading")), F.col("body"))
-    own = sections.select("ref", "idx", "heading", "body", _tokens(text).alias("words"), text.alias("text"))
-    grams = [_ngrams(n) for n in lengths]
+    own = sections.select("ref", "idx", text.alias("text"), _tokens(text).alias("words"))
+    grams = [_ngrams(n) if n > 0 else _signs(F.col("text"), -n) for n in lengths if n]
     every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    hits = own.select("ref", "idx", "heading", "text", F.explode(every).alias("gram")).join(forms, "gram")
-    pattern = F.concat(F.lit("(?iu)" + T.LEFT + r"\Q"), F.col("form"), F.lit(r"\E" + T.RIGHT))
-    real = hits.where(F.regexp_like("text", pattern))
+    hits = own.select("ref", "idx", F.explode(every).alias("gram")).join(forms.select("gram", "concept_id", "form"), "gram")
+    listed = hits.groupBy("ref", "idx").agg(F.collect_set(F.struct("concept_id", "form")).alias("forms"))
+    met = sections.select("ref", "idx", "heading", text.alias("text")).join(listed, ["ref", "idx"]).select("ref", "idx", "heading", "text", F.inline("forms"))
+    quoted = F.replace("form", F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    pattern = F.concat(F.lit("(?iu)" + T.LEFT + r"\Q"), quoted, F.lit(r"\E" + T.RIGHT))
+    real = met.where(F.regexp_like("text", pattern))
     in_heading = (F.col("heading") != INTRO) & F.regexp_like("heading", pattern)
     return real.groupBy("ref", "idx", "concept_id").agg(F.bool_or(in_heading).alias("heading_hit"))
 

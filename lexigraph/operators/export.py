@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_of, null_if_blank
 from .gates import resolved
+from .ranks import first_per_key
 
 
 def table_counts(concepts: DataFrame, artifacts: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,18 +29,29 @@ def top_terms(mentions: DataFrame, limit: int = 30) -> DataFrame:
     return mentions.groupBy("normalized").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "normalized").limit(limit)
 
 
+def _first_values(ends: DataFrame, value, most: int | None, name: str) -> DataFrame:
+    """id, the first `most` distinct values in order, and how many there are; only those that stay are collected."""
+    own = ends.select("id", value.alias("v")).where("v is not null").distinct()
+    sizes = own.groupBy("id").agg(F.count("*").alias(f"n_{name}"))
+    kept = own if most is None else first_per_key(own, ["id"], [F.col("v")], most)
+    return kept.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias(name)).join(sizes, "id")
+
+
 def export_nodes(concepts: DataFrame, edges: DataFrame, artifacts: DataFrame, files: int = 60, docs: int = 40) -> DataFrame:
     """Each concept with its symbol count, files, documents and rules: ungated, rejected edges too."""
     ends = edges.select("type", F.col("dst_id").alias("id"), "src_id").join(artifacts.select(F.col("id").alias("src_id"), "ref", "title"), "src_id")
-    code = ends.where("type = 'implements'").groupBy("id").agg(F.count("*").alias("symbols"), F.array_sort(F.collect_set(file_of("ref"))).alias("files"))
-    described = ends.where("type = 'describes' and title is not null").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("title")), 1, docs).alias("docs"))
-    ruled = ends.where("type = 'constrains' and title is not null").groupBy("id").agg(F.array_sort(F.collect_list("title")).alias("rules"))
+    of = lambda kind: ends.where(F.col("type") == kind)
+    code = of("implements").groupBy("id").agg(F.count("*").alias("symbols"))
+    listed = [_first_values(of("implements"), file_of("ref"), files, "files"), _first_values(of("describes"), F.col("title"), docs, "docs")]
+    ruled = of("constrains").where("title is not null").groupBy("id").agg(F.array_sort(F.collect_list("title")).alias("rules"))
     none = F.array().cast("array<string>")
-    out = concepts.select("id", "name", "definition", "bounded_context", resolved().alias("resolved")).join(code, "id", "left").join(described, "id", "left").join(ruled, "id", "left")
+    out = concepts.select("id", "name", "definition", "bounded_context", resolved().alias("resolved"))
+    for more in (code, *listed, ruled):
+        out = out.join(more, "id", "left")
     return out.select(
         "id", "name", "definition", "bounded_context", "resolved",
-        F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"), F.coalesce(F.size("files"), F.lit(0)).alias("n_files"),
-        F.coalesce(F.slice("files", 1, files), none).alias("files"), F.coalesce("docs", none).alias("docs"), F.coalesce("rules", none).alias("rules"),
+        F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"), F.coalesce("n_files", F.lit(0)).cast("int").alias("n_files"),
+        *(F.coalesce(c, none).alias(c) for c in ("files", "docs", "rules")),
     )
 
 
@@ -61,8 +73,19 @@ def context_legend(concepts: DataFrame) -> DataFrame:
     return concepts.where(resolved()).groupBy(context.alias("context")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "context")
 
 
-def write_html(nodes: DataFrame, links: DataFrame, template: str, path: str, placeholder: str = "__GRAPH_DATA__") -> None:
-    """A page with the graph's JSON in place of the placeholder: a view of a product's vocabulary, made on the driver."""
-    data = {"nodes": [json.loads(r) for r in nodes.toJSON().collect()], "links": [json.loads(r) for r in links.toJSON().collect()]}
+def write_html(nodes: DataFrame, links: DataFrame, template: str, path: str, placeholder: str = "__GRAPH_DATA__", most: int = 200_000) -> None:
+    """A page with the graph's JSON in place of the placeholder: a view of a product's vocabulary, made on the driver.
+
+    A template without the placeholder and a graph with more than `most` nodes or links are refused: no reader has use
+    for such a page, and the driver does not gather it.
+    """
+    if placeholder not in template:
+        raise ValueError(f"the template has no {placeholder}")
+    data = {}
+    for name, df in (("nodes", nodes), ("links", links)):
+        rows = df.select(F.to_json(F.struct("*")).alias("j")).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} {name}: choose some of the concepts")
+        data[name] = [json.loads(r["j"]) for r in rows]
     with open(path, "w", encoding="utf-8") as f:
         f.write(template.replace(placeholder, json.dumps(data, ensure_ascii=False).replace("</", "<\\/")))

@@ -12,6 +12,10 @@ from .ranks import first_per_key
 LABEL = ("coalesce(concat('concept ', c_name), concat(a_kind, ' ', coalesce(a_title, a_ref)), {end})")
 
 
+#: Up to so many keys travel as a filter.
+MOST_KEYS = 2000
+
+
 def find_concept(concepts: DataFrame, name: str) -> DataFrame:
     """The concept of exactly this name, the one with the least id."""
     return concepts.where(F.col("name") == name).orderBy("id").limit(1)
@@ -44,6 +48,12 @@ def related_concepts(concepts: DataFrame, edges: DataFrame, union: bool = False)
     return both.join(concepts.where(resolved()).select(F.col("id").alias("other_id"), F.col("name").alias("other_name")), "other_id").select("concept_id", "other_id", "other_name", "confidence")
 
 
+def only_keys(df: DataFrame, keys: DataFrame, on: str, most: int = MOST_KEYS) -> DataFrame:
+    """The rows of df with a key in keys: as a filter that reaches the scans if there are few keys, else by a semi-join."""
+    few = [r[0] for r in keys.select(on).distinct().limit(most + 1).collect()]
+    return df.where(F.col(on).isin(few)) if len(few) <= most else df.join(keys.select(on).distinct(), on, "left_semi")
+
+
 def _artifacts_of(edges: DataFrame, artifacts: DataFrame, edge_type: str, kind: str | None) -> DataFrame:
     own = edges.where(F.col("type") == edge_type).where(served(BARS[edge_type])).select(F.col("dst_id").alias("concept_id"), "src_id", "confidence")
     those = artifacts.where(F.col("kind") == kind) if kind else artifacts
@@ -69,20 +79,27 @@ def implementers_by_file(edges: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def concepts_for_path(concepts: DataFrame, edges: DataFrame, artifacts: DataFrame, path: str, strict: bool = True) -> DataFrame:
-    """Concepts that code under a path implements, with the implementing symbols."""
+    """Concepts that code under a path implements, with the implementing symbols.
+
+    The path's symbols choose the edges by their key, so that what makes the edges (an upsert) works on theirs alone.
+    """
     code = artifacts.where(F.col("kind") == "code_symbol").where(on_path("ref", F.lit(path), strict)).select(F.col("id").alias("src_id"), "title")
-    own = edges.where(F.col("type") == "implements").where(served(BARS["implements"])).select("src_id", F.col("dst_id").alias("id"))
+    own = only_keys(edges.where(F.col("type") == "implements"), code, "src_id").where(served(BARS["implements"])).select("src_id", F.col("dst_id").alias("id"))
     symbols = own.join(code, "src_id").groupBy("id").agg(F.array_sort(F.collect_list("title")).alias("symbols"))
     return symbols.join(concepts.select("id", "name", "definition"), "id").select("id", "name", "definition", "symbols")
 
 
 def code_context(concepts: DataFrame, edges: DataFrame, artifacts: DataFrame, path: str, strict: bool = True) -> DataFrame:
-    """concepts_for_path with each concept's rules, documents and related concepts: grouped once and joined."""
+    """concepts_for_path with each concept's rules, documents and related concepts: only those of the concepts found."""
     found = concepts_for_path(concepts, edges, artifacts, path, strict)
+    keys = found.select("id")
+    into = only_keys(edges.where(F.col("type").isin("constrains", "describes")), keys.withColumnRenamed("id", "dst_id"), "dst_id")
+    around = edges.where(F.col("type") == "relates")
+    around = only_keys(around, keys.withColumnRenamed("id", "src_id"), "src_id").union(only_keys(around, keys.withColumnRenamed("id", "dst_id"), "dst_id"))
     listed = lambda df, c, name: df.groupBy("concept_id").agg(F.array_sort(F.collect_list(c)).alias(name)).withColumnRenamed("concept_id", "id")
     none = F.array().cast("array<string>")
     out = found
-    for df, c, name in ((rules_for(edges, artifacts), "title", "rules"), (describing_docs(edges, artifacts), "ref", "docs"), (related_concepts(concepts, edges), "other_name", "related")):
+    for df, c, name in ((rules_for(into, artifacts), "title", "rules"), (describing_docs(into, artifacts), "ref", "docs"), (related_concepts(concepts, around), "other_name", "related")):
         out = out.join(listed(df, c, name), "id", "left").withColumn(name, F.coalesce(name, none))
     return out
 

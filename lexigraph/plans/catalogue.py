@@ -174,7 +174,7 @@ def code_context(spark, d):
     return out.select("id", "name", *(text(c).alias(c) for c in ("symbols", "related", "rules", "docs")))
 
 
-_CALLS = "SELECT DISTINCT s.ref AS src_ref, t.ref AS dst_ref FROM call JOIN artifact s ON src_id=s.id JOIN artifact t ON dst_id=t.id WHERE "
+_CALLS = "SELECT DISTINCT s.ref AS src_ref, t.ref AS dst_ref FROM call JOIN artifact s ON src_id=s.id JOIN artifact t ON dst_id=t.id WHERE status<>'rejected' AND "
 
 
 @query(w("call artifact", f"{_CALLS} starts_with(s.ref,'ASIA/NATION_2') ORDER BY 1,2 LIMIT 40"))
@@ -202,7 +202,7 @@ def search_concepts(spark, d):
 @query(w("concept", "SELECT id, name FROM concept WHERE name=(SELECT min(name) FROM concept) ORDER BY id LIMIT 1"))
 def find_concept(spark, d):
     c = X.concepts(spark, d)
-    return c.join(c.agg(F.min("name").alias("least")), F.col("name") == F.col("least")).orderBy("id").limit(1).select("id", "name")
+    return serve.find_concept(c, c.agg(F.min("name")).first()[0]).select("id", "name")
 
 
 @query(w("concept impl artifact", """, o AS (SELECT c.id, c.name, a.title, a.ref, a.id AS aid, regexp_extract(a.ref,'^(.*)/',1) AS dir FROM concept c JOIN impl ON dst_id=c.id JOIN artifact a ON src_id=a.id WHERE c.definition IS NULL),
@@ -281,10 +281,19 @@ def norm_key(spark, d):
 _LABEL_DIRS = ", ".join(f"'{x}'" for x in T.GENERIC_DIRS)
 
 
-@query(f"SELECT s_suppkey, upper(left(l,1))||substr(l,2) AS label FROM (SELECT s_suppkey, coalesce(list_filter(list_reverse(list_slice(p,1,len(p)-1)), lambda x: trim(x)<>'' AND lower(x) NOT IN ({_LABEL_DIRS}))[1], regexp_replace(p[-1], '\\.[^.]*$', '')) AS l FROM (SELECT s_suppkey, string_split(CASE s_suppkey%3 WHEN 0 THEN 'src/'||lower(replace(s_name,'#','_'))||'/api/x.go' WHEN 1 THEN 'src/lib/'||replace(s_name,'#','_')||'.go' ELSE 'app/feature'||s_suppkey||'/model/t.kt' END, '/') AS p FROM supplier))")
+_LABEL_SQL = f"""SELECT s_suppkey, upper(left(l,1))||substr(l,2) AS label FROM (
+  SELECT s_suppkey, coalesce(list_filter(list_reverse(list_slice(p,1,len(p)-1)), lambda x: trim(x)<>'' AND lower(x) NOT IN ({_LABEL_DIRS}))[1],
+    CASE WHEN trim(stem)<>'' AND lower(stem) NOT IN ({_LABEL_DIRS}) THEN stem END, 'Misc') AS l FROM (
+    SELECT *, regexp_replace(p[-1], '\\.[^.]*$', '') AS stem FROM (
+      SELECT s_suppkey, string_split(CASE s_suppkey%5 WHEN 0 THEN 'src/'||lower(replace(s_name,'#','_'))||'/api/x.go' WHEN 1 THEN 'src/lib/'||replace(s_name,'#','_')||'.go'
+        WHEN 2 THEN 'app/feature'||s_suppkey||'/model/t.kt' WHEN 3 THEN 'src/lib/Util.ts' ELSE 'main.go' END, '/') AS p FROM supplier)))"""
+
+
+@query(_LABEL_SQL)
 def cluster_label(spark, d):
-    k, name = F.col("s_suppkey") % 3, F.replace("s_name", F.lit("#"), F.lit("_"))
-    ref = F.when(k == 0, F.concat(F.lit("src/"), F.lower(name), F.lit("/api/x.go"))).when(k == 1, F.concat(F.lit("src/lib/"), name, F.lit(".go"))).otherwise(F.concat(F.lit("app/feature"), "s_suppkey", F.lit("/model/t.kt")))
+    k, name = F.col("s_suppkey") % 5, F.replace("s_name", F.lit("#"), F.lit("_"))
+    ref = F.when(k == 0, F.concat(F.lit("src/"), F.lower(name), F.lit("/api/x.go"))).when(k == 1, F.concat(F.lit("src/lib/"), name, F.lit(".go")))
+    ref = ref.when(k == 2, F.concat(F.lit("app/feature"), "s_suppkey", F.lit("/model/t.kt"))).when(k == 3, F.lit("src/lib/Util.ts")).otherwise(F.lit("main.go"))
     return X.table(spark, d, "supplier").select("s_suppkey", T.cluster_label(F.concat(ref, F.lit("#f"))).alias("label"))
 
 
@@ -405,7 +414,7 @@ def rule_seeds(spark, d):
 @query(w("hit", "SELECT 1").replace("\nSELECT 1", _RULED + "SELECT rule, concept_id, CASE WHEN id%3=0 THEN 'rejected' WHEN id%5=0 THEN 'proposed' ELSE 'confirmed' END AS status FROM (SELECT rule, concept_id, (row_number() OVER (ORDER BY concept_id, rule, concept_id)-1)%12+1 AS id FROM con)"))
 def refine_apply(spark, d):
     e, a = _rule_graph(spark, d)
-    candidates = e.select(F.col("id").alias("edge_id"), F.col("src_id").alias("rule_id"), F.col("dst_id").alias("concept"), F.col("src_id").alias("ref"))
+    candidates = e.select(F.col("id").alias("edge_id"), F.col("src_id").alias("rule_id"), F.col("dst_id").alias("concept"), F.col("src_id").alias("ref"), F.col("src_id").alias("text"))
     verdicts = batches(candidates, [], [F.col("concept"), F.col("ref"), F.col("edge_id")], 12).where("id % 3 = 0 or id % 5 <> 0").select("batch", "id", (F.col("id") % 3 != 0).alias("keep"), F.lit("").alias("refined"))
     edges, _ = curate.refine_rules(e, a, candidates, verdicts)
     return edges.select(F.col("src_id").alias("rule"), F.col("dst_id").alias("concept_id"), "status")
@@ -420,7 +429,7 @@ def longest_prefix_module(spark, d):
     return code.longest_prefix_module(files, X.modules(spark, d)).select("ref", "module")
 
 
-@query(w("artifact call", "SELECT kind, layer, count(*) AS n FROM (SELECT DISTINCT 'code_symbol' AS kind, 'code' AS layer, ref FROM artifact UNION ALL SELECT DISTINCT 'file', 'code', split_part(ref,'#',1) FROM artifact) GROUP BY 1,2 UNION ALL SELECT 'implements', 'inferred', count(DISTINCT ref) FROM artifact UNION ALL SELECT 'calls', 'deterministic', count(*) FROM (SELECT DISTINCT s.ref, t.ref FROM call JOIN artifact s ON src_id=s.id JOIN artifact t ON dst_id=t.id) UNION ALL SELECT 'concepts', '', count(DISTINCT split_part(ref,'/',1)) FROM artifact"))
+@query(w("artifact call", "SELECT kind, layer, count(*) AS n FROM (SELECT DISTINCT 'code_symbol' AS kind, 'code' AS layer, ref FROM artifact UNION ALL SELECT DISTINCT 'file', 'code', split_part(ref,'#',1) FROM artifact) GROUP BY 1,2 UNION ALL SELECT 'implements', 'inferred', count(DISTINCT ref) FROM artifact UNION ALL SELECT 'calls', 'deterministic', count(*) FROM (SELECT DISTINCT s.ref, t.ref FROM call JOIN artifact s ON src_id=s.id JOIN artifact t ON dst_id=t.id WHERE status<>'rejected') UNION ALL SELECT 'concepts', '', count(DISTINCT split_part(ref,'/',1)) FROM artifact"))
 def codegraph_ingest(spark, d):
     a = X.artifacts(spark, d)
     communities = a.groupBy(F.substring_index("ref", "/", 1).alias("label"), T.file_of("ref").alias("file")).agg(F.collect_list(F.struct(F.lit("func").alias("kind"), F.col("title").alias("name"), T.file_of("ref").alias("file"))).alias("members"))

@@ -75,7 +75,8 @@ def relates(spark: SparkSession, d: str) -> DataFrame:
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("u"), "o_custkey").alias("src_id"), F.concat(F.lit("s"), "l_suppkey").alias("dst_id")).distinct()
-    return pairs.select(F.concat_ws(">", "src_id", "dst_id").alias("id"), "src_id", "dst_id", F.lit("calls").alias("type"), F.lit("deterministic").alias("source"), F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status"))
+    status = F.when(F.col("dst_id").endswith("7"), "rejected").otherwise("confirmed")
+    return pairs.select(F.concat_ws(">", "src_id", "dst_id").alias("id"), "src_id", "dst_id", F.lit("calls").alias("type"), F.lit("deterministic").alias("source"), F.lit(1.0).alias("confidence"), status.alias("status"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +138,8 @@ SQL = {
     "artifact": "SELECT 's'||s_suppkey AS id, r_name||'/'||n_name||'/f'||(s_suppkey%10)||'.go#'||s_name AS ref, s_name AS title FROM supplier JOIN place ON s_nationkey=n_nationkey UNION ALL SELECT 'u'||c_custkey, r_name||'/'||n_name||'/u'||(c_custkey%10)||'.go#'||c_name, c_name FROM customer JOIN place ON c_nationkey=n_nationkey",
     "share": "SELECT DISTINCT l_orderkey AS ref, 'c'||k AS concept_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey JOIN (SELECT p_name AS pn, min(p_partkey) AS k FROM part GROUP BY 1) ON pn=p_name WHERE o_orderpriority='1-URGENT' AND o_orderdate < TIMESTAMP '1995-10-01'",
     "rel": "SELECT a.concept_id AS src_id, b.concept_id AS dst_id, count(*) AS n, least(0.9::DOUBLE, 0.3::DOUBLE+count(*)*0.1::DOUBLE) AS confidence FROM share a JOIN share b ON a.ref=b.ref AND a.concept_id<b.concept_id GROUP BY 1,2 HAVING count(*)>=2",
-    "call": "SELECT DISTINCT 'u'||o_custkey AS src_id, 's'||l_suppkey AS dst_id FROM orders JOIN lineitem ON o_orderkey=l_orderkey",
-    "edge": "SELECT src_id, dst_id, 'implements' AS type, confidence, status FROM impl UNION ALL SELECT src_id, dst_id, 'relates', confidence, 'proposed' FROM rel UNION ALL SELECT src_id, dst_id, 'calls', 1.0::DOUBLE, 'confirmed' FROM call",
+    "call": "SELECT DISTINCT 'u'||o_custkey AS src_id, 's'||l_suppkey AS dst_id, CASE WHEN l_suppkey%10=7 THEN 'rejected' ELSE 'confirmed' END AS status FROM orders JOIN lineitem ON o_orderkey=l_orderkey",
+    "edge": "SELECT src_id, dst_id, 'implements' AS type, confidence, status FROM impl UNION ALL SELECT src_id, dst_id, 'relates', confidence, 'proposed' FROM rel UNION ALL SELECT src_id, dst_id, 'calls', 1.0::DOUBLE, status FROM call",
     "section": "SELECT 'd'||doc_id AS ref, source AS name, split_part(coalesce(text,''), chr(10), 1) AS heading, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10))+1) ELSE '' END AS body FROM documents",
     "form": f"SELECT * FROM (VALUES {_FORMS}) AS t(concept_id, form)",
     "hit": f"SELECT ref, concept_id, bool_or(regexp_matches(heading, '(?i){L}'||form||'{R}')) AS heading_hit FROM section, form WHERE regexp_matches(heading||chr(10)||body, '(?i){L}'||form||'{R}') GROUP BY 1,2",
