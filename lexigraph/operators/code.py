@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,6 +52,12 @@ def with_language(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("lang", F.try_element_at(table, F.regexp_extract(path, r"(\.[^./]*)$", 1)))
 
 
+def _line_numbers(content: str):
+    """The number of the line that holds a place of a text."""
+    ends = [m.start() for m in re.finditer("\n", content)]
+    return lambda at: bisect_left(ends, at) + 1
+
+
 def find_symbols(files: DataFrame) -> DataFrame:
     """path, name, line of declarations in source text (path, lang, content), each name once for a file."""
 
@@ -58,13 +65,13 @@ def find_symbols(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for path, lang, content in frame[["path", "lang", "content"]].itertuples(index=False):
-                seen = set()
+                seen, line_of = set(), _line_numbers(content or "")
                 for pattern in DECLARATIONS.get(lang, ()):
                     for m in re.finditer(pattern, content or "", re.M):
                         name = m[1]
                         if name not in seen and name not in _KEYWORDS:
                             seen.add(name)
-                            rows.append((path, name, content.count("\n", 0, m.start(1)) + 1))
+                            rows.append((path, name, line_of(m.start(1))))
             yield pd.DataFrame(rows, columns=["path", "name", "line"])
 
     own = files.select("path", "lang", "content").where(F.col("lang").isNotNull() & ~F.col("lang").isin(*SKIPPED))
@@ -78,8 +85,9 @@ def find_mentions(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for path, content in frame[["path", "content"]].itertuples(index=False):
+                line_of = _line_numbers(content or "")
                 for m in _TOKEN.finditer(content or ""):
-                    rows.append((path, m.lastgroup, m[0], (content or "").count("\n", 0, m.start()) + 1, m.start()))
+                    rows.append((path, m.lastgroup, m[0], line_of(m.start()), m.start()))
             yield pd.DataFrame(rows, columns=["path", "node", "term", "span", "at"])
 
     own = files.select("path", "lang", "content").where(F.col("lang").isNotNull() & ~F.col("lang").isin(*SKIPPED))

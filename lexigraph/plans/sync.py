@@ -2,66 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .. import schema as S
-from ..operators import code, curate, docs, dml, serve, snapshot
+from ..operators import curate, dml, serve, snapshot
 from ..operators.snapshot import Graph
+from . import ingest
 
 
-def _edges(rows: DataFrame) -> DataFrame:
-    return S.conform(rows.withColumn("id", S.key("src_id", "dst_id", "type")).withColumn("evidence", F.array().cast("array<string>")), S.EDGE)
-
-
-def _put(graph: Graph, artifacts: DataFrame, edges: DataFrame) -> Graph:
-    one = F.lit(1).cast("long")
-    return graph.with_tables(
-        artifacts=S.conform(dml.upsert_artifacts(S.conform(artifacts, S.ARTIFACT).withColumn("_seq", one), graph.artifacts), S.ARTIFACT),
-        edges=S.conform(dml.upsert_edges(S.conform(edges, S.EDGE).withColumn("_seq", one), graph.edges), S.EDGE),
-    )
-
-
-def ingest_code(graph: Graph, exports: DataFrame) -> Graph:
-    """Code-graph exports: artifacts, a concept for each new community label, implements and calls edges."""
-    artifacts, names, edges = code.code_graph(exports)
-    concepts = S.conform(dml.find_or_create_concepts(graph.concepts, names), S.CONCEPT)
-    first = concepts.groupBy(F.col("name").alias("dst")).agg(F.min("id").alias("concept_id"))
-    linked = edges.join(first, "dst", "left").withColumn("dst_id", F.when(F.col("type") == "implements", F.col("concept_id")).otherwise(F.col("dst")))
-    return _put(graph.with_tables(concepts=concepts), artifacts, _edges(linked.select("src_id", "dst_id", "type", "source", "confidence", "status")))
-
-
-def ingest_documents(graph: Graph, documents: DataFrame, source: str = "docs") -> Graph:
-    """Documents (ref, name, content): sections, rules, describes, constrains and relates edges, new aliases."""
-    linked = docs.link_docs(documents, graph.concepts, source)
-    return _put(graph, linked.artifacts, linked.edges).with_tables(concepts=S.conform(dml.add_aliases(graph.concepts, linked.aliases), S.CONCEPT))
-
-
-def sync(graph: Graph, root: str, exports: list[DataFrame], documents: list[DataFrame], concept_verdicts: DataFrame | None = None, rule_verdicts: DataFrame | None = None, gate: float = 0.5, accept_above: float = 0.8) -> Graph:
-    """A new snapshot under root; without verdicts their steps are left out.
+def curate_and_link(graph: Graph, root: str, link: Callable[[Graph], Graph], concept_verdicts: DataFrame | None = None, rule_verdicts: DataFrame | None = None, gate: float = 0.5, accept_above: float = 0.8) -> Graph:
+    """Verdicts on concepts, merging, `link` (documents), verdicts on rules, confirmation; without verdicts their steps are left out.
 
     Each step is written as a version and read again, which cuts its lineage and leaves the last whole one to readers.
     """
     spark = graph.edges.sparkSession
 
-    def written(**tables: DataFrame) -> Graph:
+    def written(graph: Graph, **tables: DataFrame) -> Graph:
         snapshot.write(graph.with_tables(**tables), root)
         return snapshot.read(spark, root)
 
-    for e in exports:
-        graph = ingest_code(graph, e)
-        graph = written()
     if concept_verdicts is not None:
         candidates = serve.candidate_concepts(graph.concepts, graph.edges, graph.artifacts).select("id", "name")
         concepts, edges = curate.canonicalize(graph.concepts, graph.edges, candidates, concept_verdicts, gate)
-        graph = written(concepts=concepts, edges=edges)
+        graph = written(graph, concepts=concepts, edges=edges)
     concepts, edges, _ = curate.dedupe_by_name(graph.concepts, graph.edges)
-    graph = written(concepts=concepts, edges=edges)
-    for d in documents:
-        graph = ingest_documents(graph, d)
-        graph = written()
+    graph = link(written(graph, concepts=concepts, edges=edges))
     if rule_verdicts is not None:
         candidates = serve.candidate_rules(graph.edges, graph.artifacts, graph.concepts)
         edges, artifacts = curate.refine_rules(graph.edges, graph.artifacts, candidates, rule_verdicts)
-        graph = written(edges=edges, artifacts=artifacts)
-    return written(edges=dml.confirm_above(graph.edges, accept_above))
+        graph = written(graph, edges=edges, artifacts=artifacts)
+    return written(graph, edges=dml.confirm_above(graph.edges, accept_above))
+
+
+def sync(graph: Graph, root: str, exports: list[DataFrame], documents: list[DataFrame], concept_verdicts: DataFrame | None = None, rule_verdicts: DataFrame | None = None, gate: float = 0.5, accept_above: float = 0.8) -> Graph:
+    """A new snapshot under root from code-graph exports and documents that are at hand as tables."""
+    spark = graph.edges.sparkSession
+
+    def put(graph: Graph, sources: list[DataFrame], into: Callable) -> Graph:
+        for source in sources:
+            snapshot.write(into(graph, source)[0], root)
+            graph = snapshot.read(spark, root)
+        return graph
+
+    graph = put(graph, exports, ingest.ingest_code_graph)
+    return curate_and_link(graph, root, lambda g: put(g, documents, ingest.ingest_documents), concept_verdicts, rule_verdicts, gate, accept_above)

@@ -38,8 +38,8 @@ def document_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("path").alias("ref"), F.substring_index("path", "/", -1).alias("name"), "content")
 
 
-def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct URLs of a file with one a line; # begins a comment line."""
+def url_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Distinct URLs of one or several files with one a line; # begins a comment line."""
     return spark.read.text(path).select(utrim("value").alias("url")).where("url <> '' and not startswith(url, '#')").distinct()
 
 

@@ -1,7 +1,9 @@
 """Graph operators: gates, calls, merging, verdicts, deletes, upserts, documents, code, files, streams."""
 
 import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigraph import schema as S
@@ -28,42 +30,58 @@ def art(i, kind, ref):
 
 
 def test_gates(spark):
-    concepts = spark.createDataFrame([concept("a", "Auth", "d"), concept("s", "Strong", "d"), concept("w", "Weak", "d"), concept("g", "Ghost")], C)
-    edges = spark.createDataFrame([edge("a", "s", "relates", 0.9), edge("a", "w", "relates", 0.5), edge("a", "g", "relates", 0.9), edge("d1", "a", "describes", 0.9), edge("d2", "a", "describes", 0.6)], E)
-    artifacts = spark.createDataFrame([art("d1", "doc", "a.md#h"), art("d2", "doc", "b.md#x")], A)
-    assert [r["other_name"] for r in serve.related_concepts(concepts, edges).where("concept_id = 'a'").collect()] == ["Strong"]
-    assert [r["ref"] for r in serve.describing_docs(edges, artifacts).collect()] == ["a.md#h"]
+    """Each gate at its bar, under it, confirmed under it, and rejected over it."""
+    names = {"tide": "d", "quay": "d", "rope": "d", "crew": "d", "fog": None, "buoy": " "}
+    concepts = spark.createDataFrame([concept(i, i.title(), d) for i, d in names.items()], C)
+    rows = [edge("tide", "quay", "relates", 0.7), edge("tide", "rope", "relates", 0.69), edge("tide", "fog", "relates", 0.95), edge("tide", "buoy", "relates", 0.95), edge("crew", "tide", "relates", 0.1, "confirmed"), edge("rope", "crew", "relates", 1.0, "rejected")]
+    rows += [edge("n1", "tide", "describes", 0.9), edge("n2", "tide", "describes", 0.89), edge("n3", "tide", "describes", 0.2, "confirmed"), edge("n4", "tide", "describes", 0.99, "rejected")]
+    edges = spark.createDataFrame(rows, E)
+    artifacts = spark.createDataFrame([art(f"n{i}", "doc", f"notes/{i}.md#top") for i in range(1, 5)], A)
+    near = serve.related_concepts(concepts, edges)
+    assert {r["other_name"] for r in near.where("concept_id = 'tide'").collect()} == {"Quay", "Crew"} and near.where("concept_id = 'rope'").count() == 0
+    assert {r["ref"] for r in serve.describing_docs(edges, artifacts).collect()} == {"notes/1.md#top", "notes/3.md#top"}
 
 
 def test_calls_split_by_path(spark):
-    artifacts = spark.createDataFrame([art("l", "code_symbol", "auth.go#Login"), art("h", "code_symbol", "helper.go#Helper"), art("c", "code_symbol", "cli.go#Caller")], A)
-    edges = spark.createDataFrame([edge("l", "h", "calls", 1.0, "confirmed"), edge("c", "l", "calls", 1.0, "confirmed"), edge("l", "l", "calls", 1.0, "rejected")], E)
-    assert [r["dst_ref"] for r in serve.calls_from_path(edges, artifacts, "auth.go").collect()] == ["helper.go#Helper"]
-    assert [r["src_ref"] for r in serve.calls_into_path(edges, artifacts, "auth.go").collect()] == ["cli.go#Caller"]
+    refs = {"a": "lock/gate.go#Open", "b": "lock/gate.go#Shut", "c": "tide/clock.go#Now", "d": "cmd/run.go#Start", "e": "locker/box.go#Put"}
+    artifacts = spark.createDataFrame([art(i, "code_symbol", r) for i, r in refs.items()], A)
+    calls = [edge("a", "c", "calls", 1.0, "confirmed"), edge("d", "a", "calls", 1.0, "proposed"), edge("a", "b", "calls", 1.0, "confirmed"), edge("e", "b", "calls", 1.0, "rejected"), edge("d", "c", "calls", 1.0, "confirmed")]
+    edges = spark.createDataFrame(calls, E)
+    assert [r["dst_ref"] for r in serve.calls_from_path(edges, artifacts, "lock/").collect()] == [refs["b"], refs["c"]]
+    assert [r["src_ref"] for r in serve.calls_into_path(edges, artifacts, "lock/").collect()] == [refs["d"]]
+    assert serve.calls_into_path(edges, artifacts, "tide", limit=1).collect()[0]["src_ref"] == refs["d"]
 
 
 def test_merging_names(spark):
-    concepts = spark.createDataFrame([concept("1", "Secret", "d", ["key"]), concept("2", "Secrets", "d"), concept("3", "Other")], C)
-    edges = spark.createDataFrame([edge("e", "1", "implements", 1.0, "confirmed"), edge("d", "2", "implements", 1.0, "confirmed"), edge("2", "1", "relates", 0.9), edge("x", "x", "calls", 1.0, "confirmed")], E)
+    concepts = spark.createDataFrame([concept("1", "Ferry", "d", ["boat"]), concept("2", "Ferries", "d"), concept("3", "ferry"), concept("4", "Pier")], C)
+    edges = spark.createDataFrame([edge("e", "1", "implements", 1.0, "confirmed"), edge("f", "1", "implements", 0.6), edge("d", "2", "implements", 1.0, "confirmed"), edge("e", "3", "implements", 0.9), edge("2", "1", "relates", 0.9), edge("x", "x", "calls", 1.0, "confirmed")], E)
     kept, moved, mapping = curate.dedupe_by_name(concepts, edges)
-    assert {r["name"] for r in kept.collect()} == {"Secret", "Other"} and mapping.count() == 1
-    assert {(r["src_id"], r["dst_id"]) for r in moved.collect()} == {("e", "1"), ("d", "1"), ("x", "x")}
-    assert serve.resolve_terms(kept, spark.createDataFrame([("secrets",)], "term string")).first()["concept_id"] == "1"
+    assert {r["name"] for r in kept.collect()} == {"Ferry", "Pier"} and {(r["id"], r["survivor"]) for r in mapping.collect()} == {("2", "1"), ("3", "1")}
+    assert {(r["src_id"], r["dst_id"], r["confidence"]) for r in moved.collect()} == {("e", "1", 1.0), ("f", "1", 0.6), ("d", "1", 1.0), ("x", "x", 1.0)}
+    terms = spark.createDataFrame([("ferries",), ("BOAT",), ("Raft",)], "term string")
+    assert {r["term"]: r["concept_id"] for r in serve.resolve_terms(kept, terms).collect()} == {"ferries": "1", "BOAT": "1", "Raft": None}
     again, _, more = curate.dedupe_by_name(kept, moved)
     assert more.count() == 0 and again.count() == 2
-    assert curate.repoint_edges(edges, mapping, all_self_loops=True).count() == 2
+    assert curate.repoint_edges(edges, mapping, all_self_loops=True).where("type = 'calls'").count() == 0
 
 
 def test_rule_verdicts(spark):
-    edges = spark.createDataFrame([edge("r1", "c", "constrains", 0.6), edge("r2", "c", "constrains", 0.6)], E)
-    rules = spark.createDataFrame([art("r1", "rule", "rule:aaa"), art("r2", "rule", "rule:bbb")], A)
-    concepts = spark.createDataFrame([concept("c", "Document", "d")], C)
-    reply = spark.createDataFrame([('ok [{"id":1,"keep":true,"refined":"Completed documents cannot be deleted."},{"id":2,"keep":false}]',)], "reply string")
-    verdicts = curate.rule_verdicts(reply, "reply").withColumn("batch", F.lit(0))
+    """The last verdict of an id holds; blank and equal wordings change nothing; no verdict leaves a rule as it is."""
+    edges = spark.createDataFrame([edge(f"r{i}", "c", "constrains", 0.6) for i in range(1, 6)], E)
+    rules = spark.createDataFrame([(f"r{i}", "rule", "product", "docs", f"rule:{i}", f"ropes number {i} must hold", f"ropes number {i} must hold") for i in range(1, 6)], A)
+    concepts = spark.createDataFrame([concept("c", "Rope", "d")], C)
+    verdicts = [{"id": 1, "keep": False, "refined": "gone"}, {"id": 1, "keep": True, "refined": "  Rope one holds.  "}, {"id": 2, "keep": False}, {"id": 3, "keep": True, "refined": "   "}, {"id": 4, "keep": True, "refined": " ropes number 4 must hold "}]
+    reply = spark.createDataFrame([("here you are " + json.dumps(verdicts) + " bye", 0), ("no array at all", 0)], "reply string, batch int")
     candidates = serve.candidate_rules(edges, rules, concepts)
-    after, renamed = curate.refine_rules(edges, rules, candidates, verdicts)
-    assert {r["src_id"]: r["status"] for r in after.collect()} == {"r1": "confirmed", "r2": "rejected"}
-    assert [r["title"] for r in serve.rules_for(after, renamed).collect()] == ["Completed documents cannot be deleted."]
+    after, renamed = curate.refine_rules(edges, rules, candidates, curate.rule_verdicts(reply, "reply"))
+    assert {r["src_id"]: r["status"] for r in after.collect()} == {"r1": "confirmed", "r2": "rejected", "r3": "confirmed", "r4": "confirmed", "r5": "proposed"}
+    titles = {r["id"]: r["title"] for r in renamed.collect()}
+    assert titles["r1"] == "Rope one holds." and all(titles[f"r{i}"] == f"ropes number {i} must hold" for i in range(2, 6))
+    # without a batch, one reply serves every batch
+    twos, _ = curate.refine_rules(edges, rules, candidates, curate.rule_verdicts(reply, "reply").drop("batch"), batch=2)
+    assert {r["src_id"]: r["status"] for r in twos.collect()} == {"r1": "confirmed", "r2": "rejected", "r3": "confirmed", "r4": "rejected", "r5": "confirmed"}
+    with pytest.raises(ValueError):
+        curate.refine_rules(edges, rules, candidates, curate.rule_verdicts(reply.where("reply like 'no%'"), "reply"))
 
 
 def test_batches_number_all_rows_in_ranges(spark):
@@ -92,12 +110,13 @@ def test_every_rule_gets_its_verdict(spark, monkeypatch):
 
 
 def test_concept_verdicts(spark):
-    concepts = spark.createDataFrame([concept(i, n) for i, n in (("1", "Auth"), ("2", "Junk"), ("3", "Later"))], C)
-    edges = spark.createDataFrame([edge("s", "1", "implements", 0.6), edge("t", "2", "implements", 0.6)], E)
-    reply = spark.createDataFrame([(json.dumps([{"cluster": "Auth", "name": "Sign-in", "definition": "d", "confidence": 0.9}, {"cluster": "Junk", "keep": False}]),)], "reply string")
-    verdicts = curate.concept_verdicts(reply, "reply").withColumn("pos", F.lit(0))
-    kept, left = curate.canonicalize(concepts, edges, concepts.select("id", "name"), verdicts)
-    assert {r["name"]: r["definition"] for r in kept.collect()} == {"Sign-in": "d", "Later": None} and left.count() == 1
+    concepts = spark.createDataFrame([concept(i, n) for i, n in (("1", "Lock"), ("2", "Noise"), ("3", "Later"), ("4", "Doubt"), ("5", "Blank"))], C)
+    edges = spark.createDataFrame([edge("s", i, "implements", 0.6) for i in "12345"], E)
+    verdicts = [{"cluster": "Lock", "keep": False}, {"cluster": "Lock", "name": "Ship lock", "definition": " d ", "confidence": 0.9}, {"cluster": "Noise", "keep": False}, {"cluster": "Doubt", "confidence": 0.49}, {"cluster": "Blank", "name": "  ", "definition": " "}]
+    reply = spark.createDataFrame([(json.dumps(verdicts[:1]), 1), (json.dumps(verdicts[1:]), 2)], "reply string, reply_no int")
+    kept, left = curate.canonicalize(concepts, edges, concepts.select("id", "name"), curate.concept_verdicts(reply, "reply"))
+    assert {r["name"]: r["definition"] for r in kept.collect()} == {"Ship lock": "d", "Later": None, "Blank": None}
+    assert {r["dst_id"] for r in left.collect()} == {"1", "3", "5"}
 
 
 def test_upserts(spark):
@@ -123,49 +142,64 @@ def test_deletes_leave_nothing_dangling(spark):
 
 
 def test_aliases_fold_case(spark):
-    concepts = spark.createDataFrame([concept("1", "Auth", None, ["Login"])], C)
-    extra = spark.createDataFrame([("1", "LOGIN", 1), ("1", "auth", 2), ("1", "Sign-in", 3), ("1", "sign-IN", 4)], "id string, alias string, pos int")
-    assert dml.add_aliases(concepts, extra).first()["aliases"] == ["Login", "Sign-in"]
+    concepts = spark.createDataFrame([concept("1", "Lock", None, ["Gate"])], C)
+    extra = spark.createDataFrame([("1", "GATE", 1), ("1", "lock", 2), ("1", "Sluice", 3), ("1", "sluICE", 4)], "id string, alias string, pos int")
+    assert dml.add_aliases(concepts, extra).first()["aliases"] == ["Gate", "Sluice"]
 
 
 def test_linking_documents(spark):
-    concepts = spark.createDataFrame([concept("1", "RefundWindow", "d", ["returns"]), concept("2", "Invoice", "d")], C)
-    text = "before\n# Refund Window\nIt must close after 30 days. See the invoice.\n## Other\nreturns and Invoice\n"
+    concepts = spark.createDataFrame([concept("1", "TideTable", "d", ["ebb"]), concept("2", "Ferry", "d")], C)
+    text = "before\n# Tide Table\nIt must hang on the wall. See the ferry.\n## Other\nebb and Ferry\n"
     made = docs.link_docs(spark.createDataFrame([("a.md", "a.md", text)], "ref string, name string, content string"), concepts)
-    assert {(r["kind"], r["title"]) for r in made.artifacts.collect()} == {("doc", "Refund Window"), ("doc", "Other"), ("rule", "It must close after 30 days.")}
+    assert {(r["kind"], r["title"]) for r in made.artifacts.collect()} == {("doc", "Tide Table"), ("doc", "Other"), ("rule", "It must hang on the wall.")}
     edges = sorted((r["type"], round(r["confidence"], 2)) for r in made.edges.collect())
     assert edges == [("constrains", 0.6), ("describes", 0.6), ("describes", 0.6), ("describes", 0.6), ("describes", 0.9), ("relates", 0.5)]
-    assert [r["alias"] for r in made.aliases.collect()] == ["Refund Window"]
+    assert [r["alias"] for r in made.aliases.collect()] == ["Tide Table"]
     assert docs.link_docs(spark.createDataFrame([("a", "a", text)], "ref string, name string, content string"), concepts.limit(0)).edges.count() == 0
 
 
+def test_forms_of_all_kinds_are_found_with_their_borders(spark):
+    forms = ["+++", "C++", "a\\E.b", "tide table", "Übung", "--", "x y z w", "$"]
+    concepts = spark.createDataFrame([(str(i), f) for i, f in enumerate(forms)], "concept_id string, form string")
+    texts = ["one +++ two", "a+++b", "++++", "C++ code", "aC++", "see a\\E.b here", "Tide  Table", "TIDE TABLE!", "die übung", "übungen", "a -- b", "x y z w v", "cost $ 5", "cost5$", ""]
+    sections = spark.createDataFrame([("r", i, "$" if t == "C++ code" else "(intro)", t) for i, t in enumerate(texts)], "ref string, idx int, heading string, body string")
+    got = {(r["idx"], r["concept_id"], r["heading_hit"]) for r in docs.dictionary_match(sections, concepts).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        whole = "$\n" + t if t == "C++ code" else t
+        for k, f in enumerate(forms):
+            if re.search(r"(^|[^\w])" + re.escape(f) + r"([^\w]|$)", whole, re.I):
+                want.add((i, str(k), t == "C++ code" and f == "$"))
+    assert got == want and len(want) > 10
+
+
 def test_source_files_symbols_and_staleness(spark, tmp_path):
-    (tmp_path / "auth").mkdir()
+    (tmp_path / "lock").mkdir()
     (tmp_path / "node_modules").mkdir()
-    (tmp_path / "auth/login.go").write_text("package auth\nfunc Login() {}\nfunc Logout() {}\n")
-    (tmp_path / "auth/sample.py").write_text('def validate_refund():\n    "a refund"\n')
+    (tmp_path / "lock/gate.go").write_text("package lock\nfunc Open() {}\nfunc Shut() {}\n")
+    (tmp_path / "lock/pump.py").write_text('def drain_basin():\n    "the basin"\n')
     (tmp_path / "node_modules/x.go").write_text("func Hidden() {}\n")
     (tmp_path / "README.md").write_text("# Hi\n")
     found = sources.source_files(spark, str(tmp_path))
-    assert {r["path"] for r in found.collect()} == {"auth/login.go", "auth/sample.py"}
+    assert {r["path"] for r in found.collect()} == {"lock/gate.go", "lock/pump.py"}
     symbols = code.find_symbols(found)
-    assert {r["name"] for r in symbols.collect()} == {"Login", "Logout", "validate_refund"}
+    assert {r["name"] for r in symbols.collect()} == {"Open", "Shut", "drain_basin"}
     artifacts, names, edges = code.symbol_graph(symbols)
-    assert artifacts.count() == 3 and [r["name"] for r in names.collect()] == ["Auth"] and edges.count() == 3
-    assert code.find_mentions(found).where("normalized like '%refund%'").count() >= 1
+    assert artifacts.count() == 3 and [r["name"] for r in names.collect()] == ["Lock"] and edges.count() == 3
+    assert code.find_mentions(found).where("normalized like '%basin%'").count() >= 1
     assert [r["name"] for r in sources.document_files(spark, str(tmp_path)).collect()] == ["README.md"]
     stored, listed = spark.createDataFrame([("a", 1)], S.SOURCE_FILE), spark.createDataFrame([("a", 2)], S.SOURCE_FILE)
     assert dml.stale_files(stored, listed).count() == 1 and dml.stale_files(listed, listed).count() == 0
 
 
 def test_code_graphs_and_prefixes(spark, tmp_path):
-    (tmp_path / "g.json").write_text(json.dumps({"repo": "r", "extra": 1, "communities": [{"label": "Auth", "members": [{"kind": "func", "name": "Login", "file": "a\\b.go"}]}], "calls": [{"from": "a/b.go#Login", "to": "c.go#Help"}]}))
+    (tmp_path / "g.json").write_text(json.dumps({"repo": "r", "extra": 1, "communities": [{"label": "Lock", "members": [{"kind": "func", "name": "Open", "file": "a\\b.go"}]}], "calls": [{"from": "a/b.go#Open", "to": "c.go#Turn"}]}))
     artifacts, names, edges = code.code_graph(sources.code_graph_export(spark, str(tmp_path / "g.json")))
-    assert {(r["kind"], r["ref"]) for r in artifacts.collect()} == {("file", "a/b.go"), ("code_symbol", "a/b.go#Login"), ("code_symbol", "c.go#Help")}
-    assert artifacts.where("ref = 'a/b.go#Login'").first()["attrs"] == {"symbolKind": "func"} and edges.count() == 2 and names.count() == 1
-    modules = spark.createDataFrame([("core", "src"), ("auth", "src/auth"), ("x", "  ")], "name string, path string")
-    files = spark.createDataFrame([("src/auth/a.go",), ("src/b.go",), ("lib/c.go",)], "file string")
-    assert {r["file"]: r["module"] for r in code.longest_prefix_module(files, modules).collect()} == {"src/auth/a.go": "Auth", "src/b.go": "Core", "lib/c.go": "Lib"}
+    assert {(r["kind"], r["ref"]) for r in artifacts.collect()} == {("file", "a/b.go"), ("code_symbol", "a/b.go#Open"), ("code_symbol", "c.go#Turn")}
+    assert artifacts.where("ref = 'a/b.go#Open'").first()["attrs"] == {"symbolKind": "func"} and edges.count() == 2 and names.count() == 1
+    modules = spark.createDataFrame([("core", "src"), ("lock", "src/lock"), ("x", "  ")], "name string, path string")
+    files = spark.createDataFrame([("src/lock/a.go",), ("src/b.go",), ("lib/c.go",)], "file string")
+    assert {r["file"]: r["module"] for r in code.longest_prefix_module(files, modules).collect()} == {"src/lock/a.go": "Lock", "src/b.go": "Core", "lib/c.go": "Lib"}
 
 
 def test_snapshot_round_trip(spark, tmp_path):
