@@ -164,16 +164,6 @@ def related_union_compat(spark, d):
     return serve.related_concepts(X.concepts(spark, d), X.relates(spark, d), union=True).withColumn("confidence", r6("confidence"))
 
 
-@query(w("concept impl artifact rel", "SELECT 1").replace("\nSELECT 1", f""",
-{_RELATED},
-f AS (SELECT c.id, c.name, string_agg(a.title,'|' ORDER BY a.title) AS symbols FROM impl JOIN artifact a ON src_id=a.id JOIN concept c ON dst_id=c.id WHERE {_SERVED_IMPL} AND starts_with(a.ref,'{PATH}') GROUP BY 1,2),
-r AS (SELECT concept_id, string_agg(n,'|' ORDER BY n) AS related FROM (SELECT DISTINCT concept_id, other_id, name AS n FROM both_ways JOIN concept ON id=other_id WHERE definition IS NOT NULL) GROUP BY 1)
-SELECT f.id, f.name, symbols, coalesce(related,'') AS related, '' AS rules, '' AS docs FROM f LEFT JOIN r ON concept_id=f.id"""))
-def code_context(spark, d):
-    out = serve.code_context(X.concepts(spark, d), X.edges(spark, d), X.artifacts(spark, d), PATH)
-    return out.select("id", "name", *(text(c).alias(c) for c in ("symbols", "related", "rules", "docs")))
-
-
 _CALLS = "SELECT DISTINCT s.ref AS src_ref, t.ref AS dst_ref FROM call JOIN artifact s ON src_id=s.id JOIN artifact t ON dst_id=t.id WHERE status<>'rejected' AND "
 
 
@@ -308,7 +298,7 @@ def lang_tag(spark, d):
     return X.table(spark, d, "supplier").select("s_suppkey", T.language_tag(F.concat("s_name", ext)).alias("tag"))
 
 
-def _html_sql() -> str:
+def html_sql() -> str:
     s = "html"
     for tag in ("script", "style", "noscript", "head"):
         s = f"regexp_replace({s}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
@@ -321,19 +311,11 @@ def _html_sql() -> str:
     return f"SELECT page_id, CASE WHEN contains(html, '<') THEN regexp_replace(regexp_replace({s}, '\\n{{3,}}', chr(10)||chr(10), 'g'), '^\\s+|\\s+$', '', 'g') ELSE html END AS content FROM pages"
 
 
-@query(_html_sql())
+@query(html_sql())
 def html_to_text(spark, d):
     return X.table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("content"))
 
 
-@query(None)
-def page_sections(spark, d):
-    from ..sources.pages import page_documents
-
-    parts = docs.section_artifacts(docs.split_sections(page_documents(X.table(spark, d, "pages"))))
-    return parts.select("ref", "idx", "section", "title", F.length("body").alias("n_chars"))
-
-
 # --- documents ----------------------------------------------------------------------------
 
 _SENTENCES = "s AS (SELECT ref, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw,'^\\s+|\\s+$','','g'),'^[-*•> \\t]+|[-*•> \\t]+$','','g'),'\\s+',' ','g'),'^$','') AS rule FROM (SELECT ref, unnest(l) AS raw, generate_subscripts(l,1) AS pos FROM (SELECT ref, string_split_regex(regexp_replace(body,'([.!?])\\s+','\\1'||chr(10),'g'),'\\n+') AS l FROM section)))"

@@ -73,6 +73,23 @@ def relates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.concat_ws(">", "low", "high").alias("id"), F.col("low").alias("src_id"), F.col("high").alias("dst_id"), F.lit("relates").alias("type"), F.lit("inferred").alias("source"), "confidence", F.lit("proposed").alias("status"))
 
 
+def told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Describes edges of a document for each nation and constrains edges of a rule for each region to parts, and their artifacts."""
+    p = table(spark, d, "part")
+    part = F.concat(F.lit("c"), "p_partkey")
+    doc, rule = F.concat(F.lit("dn"), F.col("p_partkey") % 25), F.concat(F.lit("rr"), F.col("p_partkey") % 5)
+
+    def edge(src, kind, confidence, status):
+        return p.select(F.concat_ws(">", src, part).alias("id"), src.alias("src_id"), part.alias("dst_id"), F.lit(kind).alias("type"), confidence.alias("confidence"), status.alias("status"))
+
+    described = edge(doc, "describes", F.when(F.col("p_size") % 2 == 0, 0.9).otherwise(0.6), F.when(F.col("p_size") % 5 == 0, "rejected").when(F.col("p_size") % 5 == 1, "confirmed").otherwise("proposed"))
+    ruled = edge(rule, "constrains", F.lit(0.6), F.when(F.col("p_size") % 4 == 0, "rejected").otherwise("proposed"))
+    art = lambda k, kind, ref, title: (k.alias("id"), F.lit(kind).alias("kind"), F.lit("product").alias("layer"), F.lit("docs").alias("source"), ref.alias("ref"), title.alias("title"))
+    docs = table(spark, d, "nation").select(*art(F.concat(F.lit("dn"), "n_nationkey"), "doc", F.concat(F.lit("docs/"), "n_name", F.lit(".md")), F.col("n_name")))
+    rules = table(spark, d, "region").select(*art(F.concat(F.lit("rr"), "r_regionkey"), "rule", F.concat(F.lit("rule:"), "r_name"), F.concat(F.lit("Rule of "), "r_name")))
+    return described.union(ruled), docs.union(rules)
+
+
 def calls(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("u"), "o_custkey").alias("src_id"), F.concat(F.lit("s"), "l_suppkey").alias("dst_id")).distinct()
     status = F.when(F.col("dst_id").endswith("7"), "rejected").otherwise("confirmed")
@@ -144,6 +161,7 @@ SQL = {
     "form": f"SELECT * FROM (VALUES {_FORMS}) AS t(concept_id, form)",
     "hit": f"SELECT ref, concept_id, bool_or(regexp_matches(heading, '(?i){L}'||form||'{R}')) AS heading_hit FROM section, form WHERE regexp_matches(heading||chr(10)||body, '(?i){L}'||form||'{R}') GROUP BY 1,2",
     "use": "SELECT epoch_ms(ts) AS ms_ts, ts, event_type AS tool, 'u'||user_id AS q, event_type<>'error' AS hit, 100*CAST(json_extract_string(props,'$.k') AS INT) AS chars, CAST(floor(value) AS BIGINT) AS ms FROM events",
+    "told": "SELECT 'dn'||(p_partkey%25) AS src_id, 'c'||p_partkey AS dst_id, 'describes' AS type, CASE WHEN p_size%2=0 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence, CASE p_size%5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'proposed' END AS status, 'docs/'||n_name||'.md' AS ref, n_name AS title FROM part JOIN nation ON p_partkey%25=n_nationkey UNION ALL SELECT 'rr'||(p_partkey%5), 'c'||p_partkey, 'constrains', 0.6::DOUBLE, CASE WHEN p_size%4=0 THEN 'rejected' ELSE 'proposed' END, 'rule:'||r_name, 'Rule of '||r_name FROM part JOIN region ON p_partkey%5=r_regionkey",
     "prev": "SELECT 'd'||doc_id AS path, n_chars AS mtime FROM documents WHERE doc_id%5<>0",
     "cur": "SELECT 'd'||doc_id AS path, n_chars+CASE WHEN doc_id%11=0 THEN 1 ELSE 0 END AS mtime FROM documents WHERE doc_id%7<>0",
     "module": "SELECT lower(n_name) AS name, r_name||'/'||n_name AS path FROM place WHERE n_name LIKE '%1%' UNION ALL SELECT lower(r_name), r_name FROM region WHERE r_regionkey<3",
