@@ -11,8 +11,9 @@ all rows is no heavier than its tasks; estimates of cells are few and meet the r
 broadcast, behind a count.
 
 One rule serves cells of all sizes: a cell's moments are joined by those of its language as if
-these were `prior` more rows, and a language's by those of all documents in the same way, so a
-small cell is judged mostly by its language and a large one by itself.
+these were `prior` more rows, a language's by those of all documents in the same way, and these
+by independent features with all rows' medians and quartile spreads, so a small cell is judged
+mostly by its language and a large one by itself.
 
 Documents are rejected whose squared distance is beyond a fence: on a logarithmic scale, the
 cell's median and `fence` times the way from its lower quartile to its median, which is at
@@ -160,11 +161,20 @@ def _cell() -> list[Column]:
     return [F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(f"cell_{c}") for c in ("lang", "source")]
 
 
-def _with_parents(sums: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """Each cell's moments (for each start) with those of its language, and these with those of all, as prior more rows."""
+def _plain_moments(rows: DataFrame) -> dict[str, float]:
+    """Moments of one row of independent features with the medians and quartile spreads of all rows."""
+    r = rows.agg(*(F.percentile_approx(f"f{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"c{i}") for i in range(D))).first()
+    q = [r[f"c{i}"] or (0.0, 0.0, 0.0) for i in range(D)]
+    m, v = [x[1] for x in q], [max((x[2] - x[0]) / 1.349, floor) ** 2 for x, floor in zip(q, FLOOR)]
+    return {"n": 1.0, **{f"s{i}": m[i] for i in range(D)}, **{f"q{i}_{j}": m[i] * m[j] + (v[i] if i == j else 0.0) for i, j in PAIRS}}
+
+
+def _with_parents(sums: DataFrame, prior: float, plain: dict[str, float]) -> DataFrame:
+    """Each cell's moments (for each start) with those of its language as prior more rows, these with those of all, and these with plain ones."""
     whole = lambda keys, name: sums.groupBy("start", *keys).agg(*(F.sum(m).alias(f"{name}_{m}") for m in MOMENTS))
     both = sums.join(whole(["cell_lang"], "lang"), ["start", "cell_lang"]).join(whole([], "all"), "start")
-    mixed = [(F.col(m) + prior * (F.col(f"lang_{m}") + prior * F.col(f"all_{m}") / F.col("all_n")) / (F.col("lang_n") + prior)).alias(m) for m in MOMENTS]
+    every = lambda m: (F.col(f"all_{m}") + prior * plain[m]) / (F.col("all_n") + prior)
+    mixed = [(F.col(m) + prior * (F.col(f"lang_{m}") + prior * every(m)) / (F.col("lang_n") + prior)).alias(m) for m in MOMENTS]
     return both.select(*CELL, "start", *mixed)
 
 
@@ -248,13 +258,13 @@ def fit_cells(counts: DataFrame, support: float = SUPPORT, most_steps: int = MOS
     means = materialize(rates(counts), "quality-rates")
     rows = counts.select("*", *_cell()).join(small(means), "cell_lang").select(*CELL, *(f.alias(f"f{i}") for i, f in enumerate(features())))
     rows = materialize(rows, "quality-features")
-    now, keys = _first_estimates(rows), [*CELL, "start"]
+    now, keys, plain = _first_estimates(rows), [*CELL, "start"], _plain_moments(rows)
     for _ in range(most_steps):
         at = rows.join(small(now), CELL).select(*keys, *(f"f{i}" for i in range(D)), _level(distance()).alias("level"))
         most = materialize(_quantile_levels(at.groupBy(*keys, "level").agg(F.count("*").alias("n")), keys, {"most": support}), "quality-levels")
         inner = at.join(small(most), keys).where(F.col("level") <= F.col("most"))
         sums = materialize(inner.groupBy(*keys).agg(*_moments(inner)), "quality-sums")
-        after = materialize(_with_parents(sums, prior).mapInPandas(lambda frames: map(_inverse, frames), ESTIMATE), "quality-step")
+        after = materialize(_with_parents(sums, prior, plain).mapInPandas(lambda frames: map(_inverse, frames), ESTIMATE), "quality-step")
         fell = after.select(*keys, F.col("log_det").alias("after")).join(now.select(*keys, "log_det"), keys).where(F.col("after") < F.col("log_det") - tolerance)
         now = after
         if fell.isEmpty():
