@@ -442,6 +442,13 @@ def test_base_scores_and_gradient(docs, nothing):
     assert lm_scoring.score_documents(nothing, path).count() == 0
 
 
+def windows(ids, counts, vocabulary):
+    inputs, targets, _ = lm_scoring.blocks_of(ids, counts, vocabulary.end_id)
+    at = np.flatnonzero(targets[:, 0] >= 0)
+    x = np.where(inputs < 0, lm_scoring.PAD, vocabulary.symbol[inputs])
+    return np.concatenate([x[at - 1], x[at]], 1), targets[at]
+
+
 def test_model_is_causal_and_learns():
     rng = np.random.default_rng(0)
     vocabulary = lm_scoring.Vocabulary(np.arange(3000, 0, -1), 2999)
@@ -449,34 +456,113 @@ def test_model_is_causal_and_learns():
     x = rng.integers(0, 50, (64, 32))
     target = np.concatenate([x[:, 17:], x[:, :1]], 1) % 40
     weight = np.ones(target.shape, np.float32)
-    logits, _ = lm_scoring.forward(p, x)
+    states, _ = lm_scoring.forward(p, lm_scoring.tables(p), x)
     other = x.copy()
     other[:, 25:] = 7
-    changed, _ = lm_scoring.forward(p, other)
-    same = np.isclose(logits, changed, atol=1e-4).all(1).reshape(64, 16)
+    changed, _ = lm_scoring.forward(p, lm_scoring.tables(p), other)
+    same = np.isclose(states, changed, atol=1e-4).all(1).reshape(64, 16)
     assert same[:, :9].all() and not same[:, 9:].all()
     before, _ = lm_scoring.loss_and_gradient(p, x, target, weight)
-    after, _ = lm_scoring.loss_and_gradient(lm_scoring.train(p, x, target, weight, epochs=30), x, target, weight)
+    after, _ = lm_scoring.loss_and_gradient(lm_scoring.train(p, x, target, weight, epochs=60, batch=64), x, target, weight)
     assert after < before - 0.5
 
 
-def test_every_block_of_every_text_is_trained_on(docs):
-    from tokenizers import Tokenizer
-
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    vocabulary = lm_scoring.Vocabulary(np.arange(6000, 0, -1), 5999)
+    p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * 0.1 for k, v in lm_scoring.initial(vocabulary).items()}
+    x, targets = windows(rng.integers(0, 50, 300), np.array([100, 0, 7, 193]), vocabulary)
+    cell, weight = vocabulary.cell[targets], (targets >= 0).astype(np.float32)
+    _, d = lm_scoring.loss_and_gradient(p, x, cell, weight)
+    for k in p:  # along the gradient itself, where rounding matters least
+        size = np.sqrt((d[k].astype(float) ** 2).sum())
+        if size > 1e-5:
+            step = d[k] / size * 3e-2
+            up, down = (lm_scoring.loss_and_gradient(p | {k: p[k] + sign * step}, x, cell, weight)[0] for sign in (1, -1))
+            assert abs((up - down) / 6e-2 - size) < 0.03 * size + 2e-4, k
+
+
+def test_scores_equal_a_loop_over_tokens():
+    """Each id once, by a plain float64 model of its own window; extreme parameters give numbers, and cells sum to one."""
+    rng = np.random.default_rng(4)
+    vocabulary = lm_scoring.Vocabulary(rng.integers(0, 100, 5000), 4999)
+    counts = np.array([0, 1, 15, 16, 17, 70])
+    ids = rng.integers(0, 4999, counts.sum())
+    for scale in (0.1, 30.0):
+        p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(scale if k in ("near", "key") else 0.1) for k, v in lm_scoring.initial(vocabulary).items()}
+        stream, got = lm_scoring.token_scores(vocabulary, p, lm_scoring.tables(p), ids, counts, step=3)
+        want, at = [], 0
+        q = {k: v.astype(float) for k, v in p.items()}
+        for n in counts:
+            own = ids[at : at + n].tolist() + [vocabulary.end_id]
+            seen = [vocabulary.symbol[i] for i in [vocabulary.end_id, *own[:-1]]]
+            at += n
+            for i, target in enumerate(own):
+                first = max(0, (i // 16 - 1) * 16)
+                e = q["embed"][seen[first : i + 1]]
+                s = e @ q["key"] @ (q["query"].T @ e[-1]) / np.sqrt(lm_scoring.WIDTH) + q["near"][i - np.arange(first, i + 1)]
+                s = np.exp(s - s.max())
+                h = e[-1] + (s / s.sum()) @ (e @ q["value"])
+                h = h + np.maximum(0, h @ q["up"] + q["up_bias"]) @ q["down"]
+                group, member = divmod(int(vocabulary.cell[target]), lm_scoring.MEMBERS)
+                a, b = h @ q["group"] + q["group_bias"], h @ q["member"][group] + q["member_bias"][group]
+                log = a[group] - a.max() - np.log(np.exp(a - a.max()).sum()) + b[member] - b.max() - np.log(np.exp(b - b.max()).sum())
+                want.append((log + vocabulary.share[target]) / np.log(10))
+        assert stream.tolist() == [i for k, n in enumerate(counts) for i in [*ids[counts[:k].sum() : counts[: k + 1].sum()], vocabulary.end_id]]
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=2e-3, atol=2e-3)
+    total = np.bincount(vocabulary.cell, np.exp(vocabulary.share), lm_scoring.CELLS)
+    assert np.allclose(total[total > 0], 1, atol=1e-3)
+
+
+def test_training_takes_its_share_of_every_text(docs):
+    """With a share of one, one round has every block of every training text, once; rounds of a share do not overlap."""
     path = byte_tokens.default_path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    runs = [np.array(r["run"]) for r in lm_scoring.token_material(docs, path).where("run is not null").collect()]
-    got = collections.Counter()
-    for x, targets in map(lm_scoring.windows_of, runs):
-        assert x.shape == (len(targets), 2 * lm_scoring.BLOCK) and (x[1:, : lm_scoring.BLOCK] == x[:-1, lm_scoring.BLOCK :]).all()
-        got.update(targets[targets >= 0].tolist())
-    want = collections.Counter(i for _, text, *_ in ROWS for i in [*t.encode(lower(text), add_special_tokens=False).ids, t.get_vocab_size() - 1])
-    assert got == want
-    ids = np.arange(5000) % 97
-    blocks = lm_scoring.blocks_of(ids, np.array([40, 0, 4960]), 99)
-    x, targets = (np.concatenate(c) for c in zip(*map(lm_scoring.windows_of, lm_scoring.runs_of(*blocks, most=7))))
-    own = np.setdiff1d(np.arange(len(blocks[0])), blocks[2] - 1)
-    assert (targets == blocks[1][own]).all() and (x == np.concatenate([blocks[0][own - 1], blocks[0][own]], 1)).all()
+    encoded = lm_scoring.encode_texts(docs, path).cache()
+    own = lm_scoring.word_ids(path)
+    read = lambda rounds, every: [(r["turn"], r["key"], np.frombuffer(r["window"], "<i4")) for r in lm_scoring.training_windows(encoded, path, rounds, every).collect()]
+    whole = read(1, 1)
+    got = collections.Counter(i for _, _, w in whole for i in w[32:].tolist() if i >= 0)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [[own.coder.ranked.encode_ordinary(" " + w) for w in WORD.findall(lower(t))] for i, t, *_ in ROWS if not held(i)]
+    assert got == collections.Counter(i for t in texts for i in [*(x for w in t for x in w), own.end_id])
+    parts = read(4, 4)
+    assert {t for t, _, _ in parts} == {0, 1, 2, 3} and sorted(w.tobytes() for _, _, w in parts) == sorted(w.tobytes() for _, _, w in whole)
+    assert {r["id"]: r["n"] for r in encoded.where("id is not null").groupBy("id").agg(F.sum("c").alias("n")).collect()} == got
+    encoded.unpersist()
+
+
+def test_memory_counts_what_other_texts_have(spark):
+    """What the memory adds, by a loop over segments; a text of the training part does not see itself."""
+    rows = [(1, False, [(10, 11, -20.0), (11, 12, -30.0)]), (2, False, [(10, 11, -20.0), (11, 13, -25.0)]), (3, True, [(10, 11, -20.0), (11, 14, -5.0)]), (4, False, [(50, 51, -9.0)]), (5, True, [(50, 51, -9.0)]), (6, True, [(60, 61, -9.0)]), (7, True, [(60, 61, -9.0)]), (8, False, [(70, 71, -1.0)])]
+    scored = spark.createDataFrame(rows, "row_key long, held_out boolean, pairs array<struct<ctx: long, seg: long, net: double>>")
+    got = {r["row_key"]: r["x"] for r in lm_scoring.remembered(scored).groupBy("row_key").agg(F.sum("recalled").alias("x")).collect()}
+    c, all_c, all_n = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, held, pairs in rows:
+        for t, s, _ in pairs:
+            c[t, s] += not held
+            all_c[t] += not held
+            all_n[t] += 1
+    for key, held, pairs in rows:
+        want = 0.0
+        for t, s, net in pairs:
+            if all_n[t] > 1 and all_c[t]:
+                mine, every = c[t, s] - (not held), all_c[t] - (not held)
+                want += (np.log10(mine + 10**net) if mine else net) - np.log10(every + 1) - net
+        assert abs(got.get(key, 0.0) - want) < 1e-9
+
+
+def test_copies_score_apart_from_texts_that_stand_once(spark):
+    """Of new texts, those that occur twice in the training part are far likelier than those that stand once."""
+    r = random.Random(9)
+    new = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(300))
+    once, twice = [new() for _ in range(30)], [new() for _ in range(10)]
+    texts = once + twice + twice
+    rows = [(i, t) for i, t in zip((i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2), texts)]
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), byte_tokens.default_path("byte_bpe_50k.json")).collect()
+    score = {r["doc_id"]: r["score"] / r["n_tokens"] for r in out}
+    ids = [i for i, _ in rows]
+    assert min(score[i] for i in ids[30:]) > 0.5 * max(score[i] for i in ids[:30])
+    assert all(abs(score[a] - score[b]) < 1e-4 for a, b in zip(ids[30:40], ids[40:]))
 
 
 def test_automaton_keeps_words_that_begin_with_nul(spark):
