@@ -223,10 +223,13 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
 
     A key in more than 1 / share of these rows is dealt over as many salts as it has such shares: its rows by a hash of
     themselves, its entry in the table once for each. There are at most `share` such keys, so the list of them that is
-    broadcast (keys and numbers of salts) is bounded, and the table grows by at most 2 * share rows.
+    broadcast (keys and numbers of salts) is bounded, and the table grows by at most 2 * share rows. Where there is none,
+    or few rows in all, it is a plain join.
     """
     table = table.where(" and ".join(f"{k} is not null" for k in keys))
-    total = table.agg(F.sum(count)).first()[0] or 0
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    if total is None or total <= SMALL_ROWS or most * share <= total:  # few rows, or no key that is hot
+        return rows.join(table, keys, how)
     salts = (F.floor(F.col(count) * share / F.lit(max(1, total))) + 1).cast("int")
     hot = F.broadcast(table.select(*keys, salts.alias("_salts")).where("_salts > 1"))
     mine = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")

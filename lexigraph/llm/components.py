@@ -29,3 +29,18 @@ def connected_components(links: DataFrame) -> DataFrame:
         labels = after.select("b", "component", "degree")
         if not after.where("component <> was").limit(1).count():
             return labels.select(F.col("b").alias("node"), "component")
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, component) after links (a, b) of their nodes join components: only components are looked at, not nodes."""
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    times = lambda c: links.groupBy(c).agg(F.count("*").alias("times"))
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        ends = join_counted(ends, side(c).join(times(c), c), [c], "times").drop("times")
+    pairs = materialize(ends.where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "cc-pairs")
+    if pairs.isEmpty():
+        return parts
+    sizes = parts.groupBy("component").agg(F.count("*").alias("times"))
+    new = connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("now")).join(sizes, "component")
+    return materialize(join_counted(parts, new, ["component"], "times", "left").select("node", F.coalesce("now", "component").alias("component")), "cc-parts")

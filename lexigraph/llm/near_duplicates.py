@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, join_counted, map_batches, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
-from .components import connected_components
+from .components import merged
 
 BANDS, ROWS, THRESHOLD_PERCENT, SLACK = 36, 5, 80, 7.0
 RARE, PARTS = 10, 64
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = THRESHOLD_PERCEN
     few = materialize(classes.drop("bands").join(wanted, "class_id", "left_semi"), "nd-candidates")
     sets = materialize(full_sets(docs, few.select("class_id", "doc_id", "text_key"), words), "nd-sets")
 
-    tried = links = None
+    tried = None
     parts = few.select(F.col("class_id").alias("node"), F.col("class_id").alias("component"))
     for turn in ("low", "high", "all"):
         placed = members.join(parts, members["class_id"] == parts["node"], "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
@@ -283,9 +283,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = THRESHOLD_PERCEN
             continue
         tried = pairs if tried is None else tried.union(pairs)
         found = materialize(verified(materialize(likely_pairs(pairs, few, percent, count), "nd-likely"), sets, percent), "nd-links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            parts = connected_components(links)
+        parts = merged(parts, found)
 
     whole = classes.join(parts, classes["class_id"] == parts["node"], "left").select("class_id", "times", "doc_id", "text_key", F.coalesce("component", "class_id").alias("component"))
     whole = materialize(whole, "nd-whole")

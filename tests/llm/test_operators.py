@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigraph.llm import bpe_automaton, byte_tokens, components, flac, language_id, licenses, lm_scoring, near_duplicates, packing, quality, sharding, substrings
+from lexigraph.llm import bpe_automaton, byte_tokens, common, components, flac, language_id, licenses, lm_scoring, near_duplicates, packing, quality, sharding, substrings
 
 R = random.Random(3)
 FRAGMENTS = "an the ing tion er ou re on st ha".split()
@@ -245,7 +245,25 @@ def test_components_of_stars_chains_and_loops(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links + [(None, 4)], "a long, b long")).collect()}
-    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    want = {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert got == want
+    parts = spark.createDataFrame([(x, x) for x in want], "node long, component long")
+    for some in (links[:300], links[300:], links[:5]):
+        parts = components.merged(parts, spark.createDataFrame([x for x in some if x[0] != x[1]], "a long, b long"))
+    assert {r["node"]: r["component"] for r in parts.collect()} == want
+
+
+def test_salted_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_ROWS", 10)
+    rows = [(1 if i % 3 else i, i, "x" * (i % 5)) for i in range(3000)] + [(None, -1, "n")]
+    left = spark.createDataFrame(rows, "k long, i long, t string")
+    counts = collections.Counter(r[0] for r in rows if r[0] != 6)
+    table = spark.createDataFrame([(k, f"v{k}", n) for k, n in counts.items()], "k long, v string, n long")
+    for how in ("inner", "left"):
+        got = common.join_counted(left, table, ["k"], "n", how)
+        assert got.columns == ["k", "i", "t", "v", "n"]
+        want = [(k, i, t, f"v{k}" if k is not None and k != 6 else None, counts[k] if k is not None and k != 6 else None) for k, i, t in rows if how == "left" or k is not None and k != 6]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
 def test_open_pairs_lose_no_link(spark):
