@@ -85,9 +85,15 @@ def whole_text(name: str = "text") -> Column:
 SMALL_ROWS = 100_000
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df has at most so many rows."""
+    most = SMALL_ROWS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """df to be broadcast if it has at most so many (slim) rows, else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def own_names(columns: list[str], added) -> dict[str, str]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, map_batches, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
+from .common import documents, is_small, join_counted, map_batches, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
 from .components import merged
 
 BANDS, ROWS, THRESHOLD_PERCENT, SLACK = 36, 5, 80, 7.0
@@ -168,12 +168,12 @@ def estimate(r_a: np.ndarray, r_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
 
 
 def _sides(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
-    """pairs with columns of both their classes, a centre of many pairs salted."""
-    slim = pairs.select("a", "b")
+    """pairs (a written table) with columns of both their classes, a centre of many pairs salted."""
+    few, slim = is_small(pairs), pairs.select("a", "b")
     for c in ("a", "b"):
+        own = classes.select(F.col("class_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
         times = slim.groupBy(c).agg(F.count("*").alias("times"))
-        own = classes.select(F.col("class_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)).join(times, c)
-        pairs = join_counted(pairs, own, [c], "times").drop("times")
+        pairs = pairs.join(own, c) if few else join_counted(pairs, own.join(times, c), [c], "times").drop("times")
     return pairs
 
 

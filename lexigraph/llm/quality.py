@@ -4,8 +4,8 @@ For each (language, source) cell a minimum-covariance-determinant estimate of th
 and scatter of transformed text statistics is made over all its documents. From several
 deterministic starts (medians and quartile spreads alone, and with the correlations of spatial
 signs and of bounded scores) concentration steps keep the share `support` of the rows with the
-least Mahalanobis distance and estimate anew from them, until no determinant falls by more
-than `tolerance`; of each cell's starts the one with the least determinant stays. Each step is
+least Mahalanobis distance and estimate anew from them, until determinants fall by less than
+`tolerance` on average (or `most_steps`); of each cell's starts the one with the least determinant stays. Each step is
 two aggregations over slim rows, combined before they are shuffled, so a cell with a third of
 all rows is no heavier than its tasks; estimates of cells are few and meet the rows by
 broadcast, behind a count.
@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_batches, materialize, pieces, small, text_bytes, with_own_names, word_hashes, word_spans
+from .common import documents, is_small, map_batches, materialize, pieces, small, text_bytes, with_own_names, word_hashes, word_spans
 
-SUPPORT, MOST_STEPS, TOLERANCE, PRIOR, FENCE, TYPICAL_WORDS, WINDOW = 0.75, 10, 1e-2, 100.0, 3.5, 100, 8
+SUPPORT, MOST_STEPS, TOLERANCE, PRIOR, FENCE, TYPICAL_WORDS, WINDOW = 0.75, 12, 1e-2, 100.0, 3.5, 100, 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_punct", "n_digits")
 FEATURES = ("log_words", "word_length", "symbols", "upper", "punct", "repeats")
@@ -259,16 +259,18 @@ def fit_cells(counts: DataFrame, support: float = SUPPORT, most_steps: int = MOS
     rows = counts.select("*", *_cell()).join(small(means), "cell_lang").select(*CELL, *(f.alias(f"f{i}") for i, f in enumerate(features())))
     rows = materialize(rows, "quality-features")
     now, keys, plain = _first_estimates(rows), [*CELL, "start"], _plain_moments(rows)
+    near = F.broadcast if is_small(now) else lambda df: df  # estimates and levels of cells are as many in each step
+    last = float("inf")
     for _ in range(most_steps):
-        at = rows.join(small(now), CELL).select(*keys, *(f"f{i}" for i in range(D)), _level(distance()).alias("level"))
-        most = materialize(_quantile_levels(at.groupBy(*keys, "level").agg(F.count("*").alias("n")), keys, {"most": support}), "quality-levels")
-        inner = at.join(small(most), keys).where(F.col("level") <= F.col("most"))
+        at = rows.join(near(now), CELL).select(*keys, *(f"f{i}" for i in range(D)), _level(distance()).alias("level"))
+        most = _quantile_levels(at.groupBy(*keys, "level").agg(F.count("*").alias("n")), keys, {"most": support})
+        inner = at.join(near(most), keys).where(F.col("level") <= F.col("most"))
         sums = materialize(inner.groupBy(*keys).agg(*_moments(inner)), "quality-sums")
-        after = materialize(_with_parents(sums, prior, plain).mapInPandas(lambda frames: map(_inverse, frames), ESTIMATE), "quality-step")
-        fell = after.select(*keys, F.col("log_det").alias("after")).join(now.select(*keys, "log_det"), keys).where(F.col("after") < F.col("log_det") - tolerance)
-        now = after
-        if fell.isEmpty():
+        now = materialize(_with_parents(sums, prior, plain).mapInPandas(lambda frames: map(_inverse, frames), ESTIMATE), "quality-step")
+        volume = now.agg(F.avg("log_det")).first()[0]
+        if volume is None or volume > last - tolerance:  # on average no determinant falls any more
             break
+        last = volume
     names = [c for c in now.columns if c != "start"]
     best = now.groupBy(*CELL).agg(F.min_by(F.struct(*names[2:]), F.struct("log_det", "start")).alias("best")).select(*CELL, "best.*")
     best = materialize(best, "quality-best")

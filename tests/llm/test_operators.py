@@ -229,7 +229,9 @@ def test_all_pairs_of_a_small_table_agree(spark):
     assert links and all(got[i]["component_id"] == label[i] and got[i]["n_shingles"] == len(sets[i]) for i in sets)
 
 
-def test_components_of_stars_chains_and_loops(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_components_of_stars_chains_and_loops(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SMALL_ROWS", most)
     rng = random.Random(6)
     links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000), (3001, 3000), (3001, 3000)]
     links += [(rng.randint(5000, 5200), rng.randint(5000, 5200)) for _ in range(150)]
@@ -733,3 +735,45 @@ def test_of_equal_or_null_ids_one_keeps_its_unit(spark):
     assert sorted(line in r["text"].split("\n") for r in out if r["doc_id"] is None) == [False, False, True]
     assert sum((line + " also") in r["text"] for r in out if r["doc_id"] == 4) == 1
     assert [r["doc_id"] for r in out if "very many" in r["text"]] == [10] and all(r["own_N_Removed"] == "user's" for r in out)
+
+
+def test_tables_of_integers_hold_what_was_put():
+    rng, table, held = np.random.default_rng(1), bpe_automaton.IntTable(4), {}
+    for size in (1, 10, 300, 5000, 20):
+        keys = np.setdiff1d(rng.integers(0, 2**62, size), np.array(list(held), np.int64))
+        table.put(keys, np.arange(len(keys)) + len(held))
+        held.update(zip(keys.tolist(), range(len(held), len(held) + len(keys))))
+        asked = np.concatenate([np.array(list(held), np.int64), rng.integers(0, 2**62, 50)])
+        assert table.get(asked).tolist() == [held.get(k, -1) for k in asked.tolist()]
+    assert table.get(np.zeros(0, np.int64)).tolist() == []
+
+
+def test_chunks_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = byte_tokens.default_path("byte_bpe_50k.json")
+    t, r = Tokenizer.from_file(path), random.Random(5)
+    pieces = ["the", " ", "  ", "\n", "\t", "it's", "Ünï", "\u3000", "\xa0", "\x1c", "<|endoftext|>", "12", "!?", "\0", "\U0001f600", "a" * 300, "\r\n", "'ll"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    for most in (900_000, 50):
+        own = byte_tokens.ChunkCoder(path, most)
+        for at in range(0, len(texts), 100):
+            ids, counts = own.encode(texts[at : at + 100])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts[at : at + 100]]
+
+
+def test_words_are_encoded_as_they_stand_after_a_blank(spark):
+    path = byte_tokens.default_path("byte_bpe_50k.json")
+    r = random.Random(6)
+    letters = ["a", "B", "é", "\xa0", "\u3000", "\x1d", "'s", "9", "<|endoftext|>", "\U0001f600", "\0"]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(800)]
+    own = lm_scoring.WordIds(path)
+    import pyarrow as pa
+
+    for at in (0, 400, 0):
+        data, offsets = lm_scoring.text_bytes(pa.array([" ".join(words[at : at + 400])]))
+        start, end, _ = lm_scoring.word_spans(data, offsets)
+        ids, size = own.ids_of(own.entries(data, start, end))
+        want = [own.coder.ranked.encode_ordinary(" " + w.encode().lower().decode()) for w in words[at : at + 400]]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+        assert np.flatnonzero(own.begins[ids]).tolist() == (np.cumsum(size) - size).tolist()
