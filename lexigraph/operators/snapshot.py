@@ -6,6 +6,7 @@ import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 
@@ -39,6 +40,13 @@ def write(graph: Graph, root: str) -> str:
     return version
 
 
+def _known(graph: Graph) -> Graph:
+    """The graph with values outside the domains read as their defaults."""
+    known = lambda c, domain, name: S.known_or_default(F.col(c), domain, S.DEFAULTS[name]).alias(c)
+    artifacts = graph.artifacts.withColumns({"kind": known("kind", S.ARTIFACT_KINDS, "kind"), "layer": known("layer", S.LAYERS, "layer")})
+    return graph.with_tables(artifacts=artifacts, concepts=graph.concepts.withColumn("status", known("status", S.CONCEPT_STATUSES, "concept_status")))
+
+
 def read(spark: SparkSession, root: str) -> Graph:
     version = spark.read.schema("version string, schema int").json(f"{root}/current").first()["version"]
-    return Graph(**{name: S.conform(spark.read.schema(s).parquet(f"{root}/{version}/{name}"), s) for name, s in TABLES.items()})
+    return _known(Graph(**{name: S.conform(spark.read.schema(s).parquet(f"{root}/{version}/{name}"), s) for name, s in TABLES.items()}))
