@@ -298,6 +298,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 written = own.written([t or "" for t in part.column("text").to_pylist()])
                 rows = [(ids.count(" ") + 1 if ids else 0, digest(ids), digest(decoded)) for ids, decoded in written]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
+        own.cache.clear()
+        own.words.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

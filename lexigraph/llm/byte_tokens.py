@@ -62,10 +62,14 @@ class ChunkCoder:
         self.most = most
         self._clear()
 
+    def forget(self) -> None:
+        """Gives up what is cached, at the end of a task: the worker goes on to others."""
+        self._clear()
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _room(self, name: str, n: int) -> None:
         own = getattr(self, name)

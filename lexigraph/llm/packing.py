@@ -82,6 +82,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int =
                         end = min(n + 1, start + length)
                         out.append((doc_id, start, end - start, zlib.crc32(data[4 * start : 4 * end]), n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+        own.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, cut, PIECES)
