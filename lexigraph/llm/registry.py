@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, flac, language_id, licenses, lm_scoring, near_duplicates, packing, quality, sharding, substrings
+from . import bpe_automaton, flac, grid_codes, language_id, licenses, lm_scoring, near_duplicates, ngram_join, packing, quality, sharding, substrings, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_quality_rules": quality.op8,
     "op9_packing": packing.op9,
     "op10_sharding": sharding.op10,
+    "op11_grid_codes": grid_codes.op11,
+    "op12_ngram_join": ngram_join.op12,
+    "op13_whitening": whitening.op13,
 }
 
 ORACLE_SQL = {
     "op2_license_scan": licenses.op2_sql(),
+    "op11_grid_codes": grid_codes.op11_sql(),
+    "op12_ngram_join": ngram_join.op12_sql(),
 }
