@@ -5,6 +5,8 @@ Deltas carry `_seq` where the last write wins. Nothing depends on row order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +98,34 @@ def delete_concepts(concepts: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
     return concepts.join(ids.select("id"), "id", "left_anti"), delete_touching(edges, ids)
 
 
+def file_artifacts(artifacts: DataFrame, paths: DataFrame) -> DataFrame:
+    """The ids of code artifacts of the files (column path)."""
+    owned = artifacts.where("source = 'code'").withColumn("_file", F.substring_index("ref", "#", 1))
+    return owned.join(paths.select(F.col("path").alias("_file")).distinct(), "_file", "left_semi").where(in_file("ref", "_file")).select("id")
+
+
+def edges_touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that begin or end at an id; one that does both comes once."""
+    own = ids.select(F.col("id").alias("_at")).distinct()
+    begin = edges.join(own, edges["src_id"] == F.col("_at"), "left_semi")
+    end = edges.join(own, edges["dst_id"] == F.col("_at"), "left_semi").join(own, F.col("src_id") == F.col("_at"), "left_anti")
+    return begin.unionByName(end)
+
+
+def merge(stored: DataFrame, delta: DataFrame, keys: list[str], upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """stored (one row a key) after an upsert of a delta, and the rows that it made.
+
+    Only stored rows with a key of the delta are aggregated; the others pass by an anti-join, in which the keys
+    travel to them where they are few, so that a large stored table is neither sorted nor shuffled.
+    """
+    own = delta.select(*keys).distinct()
+    made = upsert(delta, stored.join(own, keys, "left_semi"))
+    return stored.join(own, keys, "left_anti").unionByName(made.select(*stored.columns)), made
+
+
 def delete_file_artifacts(artifacts: DataFrame, edges: DataFrame, mentions: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Code artifacts of the files (column path) gone, with their edges and mentions."""
-    owned = artifacts.where("source = 'code'").withColumn("_file", F.substring_index("ref", "#", 1))
-    gone = owned.join(paths.select(F.col("path").alias("_file")).distinct(), "_file", "left_semi").where(in_file("ref", "_file")).select("id")
+    gone = file_artifacts(artifacts, paths)
     return artifacts.join(gone, "id", "left_anti"), delete_touching(edges, gone), mentions.join(gone.select(F.col("id").alias("artifact_id")), "artifact_id", "left_anti")
 
 

@@ -20,6 +20,8 @@ ARTIFACT = _struct("id string not null, kind string not null, layer string not n
 MENTION = _struct("id string not null, artifact_id string not null, term string not null, normalized string not null, span int")
 EDGE = _struct("id string not null, src_id string not null, dst_id string not null, type string not null, source string not null, confidence double not null, evidence array<string>, status string not null")
 SOURCE_FILE = _struct("path string not null, mtime long not null")
+#: Files that a reader other than the one of symbols has read.
+READ_FILE = _struct("reader string not null, path string not null, mtime long not null")
 USAGE_EVENT = _struct("ts long not null, tool string not null, q string, hit boolean, chars int, ms long")
 VERDICT_CONCEPT = _struct("cluster string not null, keep boolean, name string, definition string, bounded_context string, aliases array<string>, confidence double")
 VERDICT_RULE = _struct("id int not null, keep boolean, refined string")
