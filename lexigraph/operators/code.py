@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import key
+from .scopes import declarations, tokens
 
 #: Languages by file extension, case counts (fixed values).
 LANGUAGES = {
@@ -42,8 +39,7 @@ DECLARATIONS = {
     "c": (rf"\b(?:struct|enum)[ \t]+{_NAME}[ \t]*\{{", _C_LIKE),
     "cpp": (rf"\b(?:class|struct|enum)[ \t]+{_NAME}", _C_LIKE),
 }
-_KEYWORDS = {"if", "for", "while", "switch", "return", "else", "catch", "new", "do", "try"}
-_TOKEN = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/|\#[^\n]*|--[^\n]*)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<identifier>[A-Za-z_$][\w$]*)""", re.S)
+_KEYWORDS = ("if", "for", "while", "switch", "return", "else", "catch", "new", "do", "try")
 
 
 def with_language(files: DataFrame, path: str = "path") -> DataFrame:
@@ -52,46 +48,18 @@ def with_language(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("lang", F.try_element_at(table, F.regexp_extract(path, r"(\.[^./]*)$", 1)))
 
 
-def _line_numbers(content: str):
-    """The number of the line that holds a place of a text."""
-    ends = [m.start() for m in re.finditer("\n", content)]
-    return lambda at: bisect_left(ends, at) + 1
+def _readable(files: DataFrame) -> DataFrame:
+    return files.select("path", "lang", "content").where(F.col("lang").isNotNull() & ~F.col("lang").isin(*SKIPPED))
 
 
 def find_symbols(files: DataFrame) -> DataFrame:
-    """path, name, line of declarations in source text (path, lang, content), each name once for a file."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for path, lang, content in frame[["path", "lang", "content"]].itertuples(index=False):
-                seen, line_of = set(), _line_numbers(content or "")
-                for pattern in DECLARATIONS.get(lang, ()):
-                    for m in re.finditer(pattern, content or "", re.M):
-                        name = m[1]
-                        if name not in seen and name not in _KEYWORDS:
-                            seen.add(name)
-                            rows.append((path, name, line_of(m.start(1))))
-            yield pd.DataFrame(rows, columns=["path", "name", "line"])
-
-    own = files.select("path", "lang", "content").where(F.col("lang").isNotNull() & ~F.col("lang").isin(*SKIPPED))
-    return own.mapInPandas(run, "path string, name string, line int").where(T.is_symbol_name("name"))
+    """path, name, line, owner of declarations in source text (path, lang, content), each name once for a scope of a file."""
+    return declarations(_readable(files), DECLARATIONS, _KEYWORDS).where(T.is_symbol_name("name"))
 
 
 def find_mentions(files: DataFrame) -> DataFrame:
     """path, node, term, normalized, span of identifiers, comments and strings; of one normalised term of a node type in a file the last stays."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for path, content in frame[["path", "content"]].itertuples(index=False):
-                line_of = _line_numbers(content or "")
-                for m in _TOKEN.finditer(content or ""):
-                    rows.append((path, m.lastgroup, m[0], line_of(m.start()), m.start()))
-            yield pd.DataFrame(rows, columns=["path", "node", "term", "span", "at"])
-
-    own = files.select("path", "lang", "content").where(F.col("lang").isNotNull() & ~F.col("lang").isin(*SKIPPED))
-    found = own.mapInPandas(run, "path string, node string, term string, span int, at int")
+    found = tokens(_readable(files))
     found = found.withColumn("term", F.when(F.col("node") == "identifier", F.col("term")).otherwise(T.clean_literal("term")))
     found = found.withColumn("normalized", T.mention_term("term")).where("normalized is not null")
     last = found.groupBy("path", "node", "normalized").agg(F.max(F.struct("at", "term", "span")).alias("x"))
@@ -99,9 +67,10 @@ def find_mentions(files: DataFrame) -> DataFrame:
 
 
 def symbol_graph(symbols: DataFrame, confidence: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Artifacts, clusters as concept names, and implements edges (by concept name) of path, name."""
-    own = symbols.select(F.concat("path", F.lit("#"), "name").alias("ref"), "name", T.cluster_label("path").alias("cluster")).distinct()
-    artifacts = own.select(key(F.lit("code"), "ref").alias("id"), F.lit("code_symbol").alias("kind"), F.lit("code").alias("layer"), F.lit("code").alias("source"), "ref", F.col("name").alias("title"))
+    """Artifacts, clusters as concept names, and implements edges (by concept name) of path, name, owner; of owners of one name the least."""
+    own = symbols.groupBy(F.concat("path", F.lit("#"), "name").alias("ref"), "name", T.cluster_label("path").alias("cluster")).agg(F.min("owner").alias("owner"))
+    attrs = F.map_concat(F.create_map(F.lit("via"), F.lit("pattern")), F.when(F.col("owner").isNotNull(), F.create_map(F.lit("owner"), F.col("owner"))).otherwise(F.create_map().cast("map<string,string>")))
+    artifacts = own.select(key(F.lit("code"), "ref").alias("id"), F.lit("code_symbol").alias("kind"), F.lit("code").alias("layer"), F.lit("code").alias("source"), "ref", F.col("name").alias("title"), attrs.alias("attrs"))
     edges = own.select(key(F.lit("code"), "ref").alias("src_id"), F.col("cluster").alias("concept"), F.lit("implements").alias("type"), F.lit("inferred").alias("source"), F.lit(confidence).alias("confidence"), F.lit("proposed").alias("status"))
     return artifacts, own.select(F.col("cluster").alias("name")).distinct(), edges
 
