@@ -10,8 +10,7 @@ breaks. A letter of a script without blanks between words counts as a word. Of e
 the whole corpus the earliest stays: the one in the document with the smallest doc_id (nulls
 last; of equal ones that with the least hash of id and text), and there the first, with those
 that overlap it. The others are removed, each with the white space
-after it; a short line that is in no unit goes with them if both its neighbours go. Offsets of
-what is kept refer to the original text, in characters.
+after it; a short line goes only with a run or paragraph that is repeated. Offsets of what is kept refer to the original text, in characters.
 
 Digests are combined before they are shuffled, so a line that a third of all documents share
 is as many rows as there are tasks; in the join with its first occurrence it is salted. Only (digest, document, unit number) rows are shuffled to
@@ -105,9 +104,6 @@ def keep(text: str, gone: set[int], least_words: int = LEAST_WORDS) -> tuple[str
             if n in gone:
                 flags[first : last + 1] = [True] * (last + 1 - first)
     own = sum(flags)
-    for i in range(1, len(parts) - 1):
-        if parts[i][2] is None and flags[i - 1] and flags[i + 1]:
-            flags[i] = True
     spans, at = [], 0
     for i, flag in enumerate(flags):
         if flag:
