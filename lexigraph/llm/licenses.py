@@ -82,7 +82,7 @@ def _places_of(words: Column, parts: list[str], label: str) -> Column:
 
 
 def containment_join(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, label and the greatest containment of the template in a block of the text; rows: of text_words, written."""
+    """doc_id, text_key, label, the greatest containment of the template in a block of the text, and that block's first start and length; rows: of text_words, written."""
     spark = rows.sparkSession
     sets = {label: words_of(text) for label, text in templates}
     own = rows.where(F.size("hits") > 0).select("doc_id", "text_key", "n_words", "hits", F.array_distinct("hits.word").alias("words"))
@@ -113,18 +113,29 @@ def containment_join(rows: DataFrame, templates=TEMPLATES, threshold: float = TH
     c, o = candidates.alias("c"), own.select("doc_id", "text_key", "hits").dropDuplicates(["doc_id", "text_key"]).alias("o")
     both = c.join(o, F.col("c.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("c.text_key") == F.col("o.text_key")))
     placed = both.select("c.doc_id", "c.text_key", "label", "own", "size", "least", "block", F.inline("o.hits")).where(F.array_contains("own", F.col("word")))
-    placed = placed.select("doc_id", "text_key", "label", "size", "least", "word", (F.col("at") / F.col("block")).alias("at"))
+    placed = placed.select("doc_id", "text_key", "label", "size", "least", "block", "word", F.col("at").cast("long").alias("start"), (F.col("at") / F.col("block")).alias("at"))
     block = "collect_set(word) OVER (PARTITION BY doc_id, text_key, label ORDER BY at RANGE BETWEEN CURRENT ROW AND 0.999999D FOLLOWING)"
-    found = placed.select("doc_id", "text_key", "label", "size", "least", F.expr(f"size({block})").alias("shared"))
-    best = found.where("shared >= least").groupBy("doc_id", "text_key", "label").agg((F.max("shared") / F.max("size")).alias("containment"))
-    return best
+    found = placed.select("doc_id", "text_key", "label", "size", "least", "block", "start", F.expr(f"size({block})").alias("shared")).where("shared >= least")
+    best = found.groupBy("doc_id", "text_key", "label").agg(F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("b"), F.first("size").alias("size"), F.first("block").cast("long").alias("block"))
+    return best.select("doc_id", "text_key", "label", (F.col("b.shared") / F.col("size")).alias("containment"), (-F.col("b.back")).alias("start"), "block")
+
+
+def unsurpassed(found: Column) -> Column:
+    """Of the labels (label, containment, start, block) of a document, those whose best block meets none of a greater containment.
+
+    Passages of one family share most of their words, so a block often holds enough of several; its label is the fullest.
+    """
+    meets = lambda x, o: (o["start"] < x["start"] + x["block"]) & (x["start"] < o["start"] + o["block"])
+    return F.filter(found, lambda x: ~F.exists(found, lambda o: (o["containment"] > x["containment"]) & meets(x, o)))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: word count, base phrase places and labels, labels of templates found, score."""
     rows = materialize(text_words(docs, templates), "license-words")
     found = containment_join(rows, templates, threshold)
-    found = found.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    listed = F.collect_list(F.struct("label", "containment", "start", "block"))  # as many as templates at most
+    found = found.groupBy("doc_id", "text_key").agg(listed.alias("all"), F.max("containment").alias("best"))
+    found = found.select("doc_id", "text_key", F.transform(unsurpassed(F.col("all")), lambda x: x["label"]).alias("found"), "best")
     base = rows.select("doc_id", "text_key", "n_words", "places")
     joined = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.text_key") == F.col("f.text_key")), "left")
     labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
@@ -165,8 +176,10 @@ e AS (SELECT k, label FROM h GROUP BY k, label HAVING count(DISTINCT word) >= ma
 g AS (SELECT h.* FROM h JOIN e USING (k, label)),
 b AS (SELECT s.k, s.label, s.size, s.least, s.pos, count(DISTINCT x.word) AS shared
   FROM g s JOIN g x ON x.k = s.k AND x.label = s.label AND x.pos >= s.pos AND x.pos < s.pos + s.block GROUP BY ALL),
-f AS (SELECT k, label, max(shared) / max(size) AS c FROM b WHERE shared >= least GROUP BY k, label),
-l AS (SELECT k, label FROM f UNION SELECT k, label FROM p)
+m AS (SELECT k, label, max(shared) AS top FROM b WHERE shared >= least GROUP BY k, label),
+f AS (SELECT b.k, b.label, max(top / size) AS c, min(pos) AS pos, max(block) AS block FROM b JOIN m ON m.k = b.k AND m.label = b.label AND shared = top GROUP BY b.k, b.label),
+n AS (SELECT k, label FROM f x WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.k = x.k AND o.c > x.c AND o.pos < x.pos + x.block AND x.pos < o.pos + o.block)),
+l AS (SELECT k, label FROM n UNION SELECT k, label FROM p)
 SELECT doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
   (SELECT count(*) FROM p WHERE p.k = d.k) AS n_base,
   (SELECT min(pos) FROM p WHERE p.k = d.k) AS first_word,

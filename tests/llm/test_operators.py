@@ -89,13 +89,19 @@ def test_shards_are_minimal_and_whole(docs, nothing):
 
 
 def labels_by_hand(words, templates=licenses.TEMPLATES):
-    found = set()
+    """Labels of blocks with enough words of a template, but for those whose first best block meets a fuller one."""
+    found = []
     for label, text in templates:
         own, block = set(licenses.words_of(text)), licenses.block_size(text)
         least = licenses.needed(len(own), 0.8)
-        if len(own & set(words)) >= least and any(w in own and len(own & set(words[i : i + block])) >= least for i, w in enumerate(words)):
-            found.add(label)
-    return found
+        at = [i for i, w in enumerate(words) if w in own]
+        if len({words[i] for i in at}) < least:
+            continue
+        shared = {i: len({words[j] for j in at if i <= j < i + block}) for i in at}
+        if max(shared.values()) >= least:
+            start = min(i for i in at if shared[i] == max(shared.values()))
+            found.append((label, max(shared.values()) / len(own), start, start + block))
+    return {x[0] for x in found if not any(o[1] > x[1] and o[2] < x[3] and x[2] < o[3] for o in found)}
 
 
 def test_license_labels_and_places(docs, nothing):
@@ -126,6 +132,36 @@ def test_licenses_in_code_comments_and_torn_ones(spark):
         assert set(x["labels"].split(",")) - {""} == labels_by_hand(words) | set(x["base_labels"].split(",")) - {""}
 
 
+def test_of_licenses_in_one_block_the_fullest_stays(spark):
+    by = dict(licenses.TEMPLATES)
+    rows = [by["gpl-2.0-header"], by["mit-disclaimer"], by["gpl-2.0-header"] + " " + prose(200) + " " + by["gpl-3.0-header"], by["isc"], by["postgresql"]]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert "gpl-2.0-header" in got[0] and not got[0] & {"agpl-3.0", "gpl-3.0-header", "lgpl-2.1-header"}
+    assert "mit-disclaimer" in got[1] and "bsd-disclaimer" not in got[1]
+    assert {"gpl-2.0-header", "gpl-3.0-header"} <= got[2] and "agpl-3.0" not in got[2]
+    assert "isc" in got[3] and "postgresql" in got[4] and "isc" not in got[4]
+
+
+def test_text_that_stands_nowhere_else_is_kept(spark):
+    line = " ".join(word() for _ in range(12))
+    rows = [(1, line), (2, f"{line}\nUnique fact 42\n{line}"), (3, f"{line}\nshort\n\nother"), (4, f"a b\n{line}\nc d")]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == line and got[2]["text"] == "Unique fact 42\n" and got[3]["text"] == "short\n\nother" and got[4]["text"] == "a b\nc d"
+    assert got[2]["n_removed"] == 2 and [(s["start"], s["end"]) for s in got[2]["kept_spans"]] == [(len(line) + 1, len(line) + 16)]
+
+
+def test_every_language_has_a_dictionary(spark):
+    """Few distinct texts among very many rows, and texts that share all their lines."""
+    german = "der Hund und die Katze gehen heute nicht über die Straße, weil es dort zu laut ist"
+    french = "le chat et le chien ne vont pas dans la rue\nparce que le soleil est trop haut"
+    rows = [(f"the house by the river number {i} was sold to {word()} and {word()} last year", "en") for i in range(300)] + [(german, "de")] * 5000 + [(french, "fr"), (french + "\n", "fr")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    found = language_id.fit_dictionaries(docs)
+    assert sorted(found) == ["de", "en", "fr"] and "hund" in found["de"].decode() and "soleil" in found["fr"].decode()
+    asked = spark.createDataFrame([(1, "die Katze und der Hund gehen heute nicht über die Straße"), (2, "le chien et le chat ne vont pas dans la rue"), (3, "the house by the river was sold last year")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.classify(asked, found).orderBy("doc_id").collect()] == ["de", "fr", "en"]
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_equal_brute_force(docs, nothing, words):
     got = {(r["doc_id"], r["n_shingles"]): r for r in near_duplicates.near_duplicates(docs, words).collect()}
