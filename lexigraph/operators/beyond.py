@@ -30,13 +30,20 @@ def decayed(edges: DataFrame, age_days: str, half_life: float) -> DataFrame:
     return edges.withColumn("decayed", F.col("confidence") * F.pow(F.lit(0.5), F.col(age_days) / F.lit(half_life)))
 
 
+def _directed():
+    """Whether a vector has a direction: its squares sum to a positive finite number."""
+    size = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.col("embedding").isNotNull() & (size > 0) & (size < float("inf"))
+
+
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4096) -> DataFrame:
     """query_id, vec_id, similarity of the k most similar vectors of each query by cosine, itself left out.
 
     A stated query set against all vectors, in blocks of at most `most` queries: a block travels to the vectors, each
-    task keeps its best k for each query (ties by the least vec_id), and only those meet. Null vectors are left out.
+    task keeps its best k for each query (ties by the least vec_id), and only those meet. Vectors that are null or have no
+    direction (all zero, or with a component that is not finite) are left out, as queries and as neighbours.
     """
-    own = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), "embedding")
+    own = queries.where(_directed()).select(F.col("vec_id").alias("query_id"), "embedding")
     blocks = max(1, -(-own.count() // most))
     best = None
     for block in range(blocks):
@@ -44,7 +51,7 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, most: int =
         if not len(part):
             continue
         ids, q = part["query_id"].to_numpy(), np.array(part["embedding"].tolist(), np.float64)
-        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(partial(_best_of_task, ids, q / np.linalg.norm(q, axis=1, keepdims=True), k), "query_id long, vec_id long, similarity double")
+        found = vectors.where(_directed()).select("vec_id", "embedding").mapInArrow(partial(_best_of_task, ids, q / np.linalg.norm(q, axis=1, keepdims=True), k), "query_id long, vec_id long, similarity double")
         best = found if best is None else best.union(found)
     if best is None:
         return own.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double")

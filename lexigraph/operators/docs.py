@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..schema import key
 from .ranks import last_write
+from .scratch import stored
 
 INTRO = "(intro)"
 
@@ -52,14 +53,7 @@ def vocabulary_forms(concepts: DataFrame, least: int = 3) -> DataFrame:
 
 
 def _tokens(c):
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-
-
-def _ngrams(n: int):
-    if n == 1:
-        return F.col("words")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+    return F.filter(F.split(F.lower(F.translate(c, "\u0130", "i")), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
 def _signs(text, n: int):
@@ -69,30 +63,69 @@ def _signs(text, n: int):
     return F.flatten(F.transform(runs, parts))
 
 
-def dictionary_match(sections: DataFrame, forms: DataFrame) -> DataFrame:
+#: Up to so many words of forms are looked for where the sections are; of more, the sections' words meet them in a join.
+MOST_ANCHORS = 5000
+
+
+def _present(words, wanted: list[str] | None):
+    """Of an array of words the distinct ones, only those wanted if there is a list."""
+    return F.array_distinct(words) if wanted is None else F.array_distinct(F.filter(words, lambda w: w.isin(wanted)))
+
+
+def _short_list(df: DataFrame, column: str, most: int) -> list[str] | None:
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
+def anchored_forms(sections: DataFrame, forms: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
+    """forms (concept_id, form) with anchor, the word by which each is looked for, and sure, whether that word is all of it.
+
+    The anchor of a form of several words is the one that the fewest sections have (of equal ones the first by the
+    alphabet), that of a form without a letter or digit is the form. sections: ref, idx, text.
+    """
+    rows = forms.select("concept_id", "form", _tokens(F.col("form")).alias("words"))
+    several = rows.where(F.size("words") > 1).select(F.explode("words").alias("word")).distinct()
+    wanted = _short_list(several, "word", most)
+    if wanted == []:
+        anchor = F.col("words")[0]
+    else:
+        own = sections.select(F.explode(_present(_tokens(F.col("text")), wanted)).alias("word"))
+        counts = (own if wanted is not None else own.join(several, "word", "left_semi")).groupBy("word").agg(F.count("*").alias("n"))
+        each = rows.where(F.size("words") > 1).select("concept_id", "form", F.explode("words").alias("word")).join(counts, "word", "left")
+        rarest = each.groupBy("concept_id", "form").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("least"))
+        rows = rows.join(rarest.select("concept_id", "form", "least.word"), ["concept_id", "form"], "left")
+        anchor = F.coalesce("word", F.col("words")[0])
+    sure = (F.size("words") == 1) & F.col("form").rlike(r"^[\p{L}\p{N}_]+$")
+    return rows.select("concept_id", "form", F.when(F.size("words") > 0, anchor).otherwise(F.lower("form")).alias("anchor"), sure.alias("sure"), (F.size("words") == 0).alias("signs"))
+
+
+def dictionary_match(sections: DataFrame, forms: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
     """ref, idx, concept_id, heading_hit for each concept of which a form stands in a section.
 
-    An equi-join on n-grams of words, and for forms without a letter or digit on runs of as
-    many signs, finds candidates; only (ref, idx, gram) meets the forms, which Spark broadcasts
-    where they are small. The hits of a section, at most the forms, then meet its text, once,
-    and are verified with their boundaries. The longest form bounds n; forms are a product's
-    vocabulary, read once for that bound.
+    Forms are indexed by their rarest word. A section shows its distinct words, of which those that anchor a form
+    meet its forms; a form that is one word is found by that, others are verified with their boundaries. Where the
+    anchors are few, they are looked up where the text is, the forms are broadcast by Spark, and no text is
+    shuffled. Otherwise (ref, idx, word) meets the index, and the hits of a section, at most the forms, meet its text once.
     """
-    plain = F.size(_tokens("form")) > 0
-    n = F.when(plain, F.size(_tokens("form"))).otherwise(-F.length("form"))
-    forms = forms.select("concept_id", "form", n.alias("n"), F.when(plain, F.array_join(_tokens("form"), " ")).otherwise(F.lower("form")).alias("gram"))
-    lengths = sorted(r["n"] for r in forms.select("n").distinct().collect())  # as many as lengths of forms
     text = F.concat_ws("\n", F.when(F.col("heading") != INTRO, F.col("heading")), F.col("body"))
-    own = sections.select("ref", "idx", text.alias("text"), _tokens(text).alias("words"))
-    grams = [_ngrams(n) if n > 0 else _signs(F.col("text"), -n) for n in lengths if n]
-    every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    hits = own.select("ref", "idx", F.explode(every).alias("gram")).join(forms.select("gram", "concept_id", "form"), "gram")
-    listed = hits.groupBy("ref", "idx").agg(F.collect_set(F.struct("concept_id", "form")).alias("forms"))
-    met = sections.select("ref", "idx", "heading", text.alias("text")).join(listed, ["ref", "idx"]).select("ref", "idx", "heading", "text", F.inline("forms"))
+    own = sections.select("ref", "idx", "heading", text.alias("text"))
+    forms = stored(anchored_forms(own, forms, most), "forms")
+    lengths = sorted(r[0] for r in forms.where("signs").select(F.length("form")).distinct().collect())  # as many as lengths of forms
+    anchors = _short_list(forms.where("not signs"), "anchor", most)
+    words = _present(_tokens(F.col("text")), anchors)
+    for n in lengths:
+        words = F.concat(words, F.array_distinct(_signs(F.col("text"), n)))
+    told = forms.select("concept_id", "form", "anchor", "sure")
+    if anchors is not None:
+        met = own.select("ref", "idx", "heading", "text", F.explode(words).alias("anchor")).join(told, "anchor")
+    else:
+        hits = own.select("ref", "idx", F.explode(words).alias("anchor")).join(told, "anchor")
+        listed = hits.groupBy("ref", "idx").agg(F.collect_set(F.struct("concept_id", "form", "anchor", "sure")).alias("forms"))
+        met = own.join(listed, ["ref", "idx"]).select("ref", "idx", "heading", "text", F.inline("forms"))
     quoted = F.replace("form", F.lit(r"\E"), F.lit(r"\E\\E\Q"))
     pattern = F.concat(F.lit("(?iu)" + T.LEFT + r"\Q"), quoted, F.lit(r"\E" + T.RIGHT))
-    real = met.where(F.regexp_like("text", pattern))
-    in_heading = (F.col("heading") != INTRO) & F.regexp_like("heading", pattern)
+    real = met.where(F.col("sure") | F.regexp_like("text", pattern))
+    in_heading = (F.col("heading") != INTRO) & F.when(F.col("sure"), F.array_contains(_tokens(F.col("heading")), F.col("anchor"))).otherwise(F.regexp_like("heading", pattern))
     return real.groupBy("ref", "idx", "concept_id").agg(F.bool_or(in_heading).alias("heading_hit"))
 
 
@@ -102,11 +135,25 @@ def describes_edges(matches: DataFrame, sections: DataFrame) -> DataFrame:
     return own.groupBy("section", "concept_id").agg(F.max_by(F.when(F.col("heading_hit"), F.lit(0.9)).otherwise(F.lit(0.6)), "idx").alias("confidence"))
 
 
-def cooccurrences(matches: DataFrame, least: int = 2) -> DataFrame:
-    """Concept pairs and the sections they share: a self-join on the section, bounded by a section's concepts."""
-    a = matches.select("ref", "idx", F.col("concept_id").alias("low"))
-    b = matches.select("ref", "idx", F.col("concept_id").alias("high"))
-    pairs = a.join(b, ["ref", "idx"]).where("low < high").groupBy("low", "high").agg(F.count("*").alias("n"))
+def cooccurrences(matches: DataFrame, least: int = 2, block: int = 64) -> DataFrame:
+    """Concept pairs and the sections they share, where these are at least `least`.
+
+    Two passes: concepts in fewer sections than that have no such pair and drop out, and sections with one concept left
+    with them. The concepts of a section are then dealt into blocks of about `block`, and each pair of its blocks is
+    one row group of the join, so a hub section is many small ones; pairs are counted before they are shuffled.
+    """
+    kept = matches.select("ref", "idx", "concept_id").distinct()
+    often = kept.groupBy("concept_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("concept_id")
+    kept = kept.join(often, "concept_id", "left_semi")
+    sizes = kept.groupBy("ref", "idx").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = kept.join(sizes, ["ref", "idx"]).withColumn("own", F.pmod(F.xxhash64("concept_id"), blocks).cast("int"))
+    dealt = stored(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))), "section-blocks")
+    key = [F.col("ref"), F.col("idx"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    a = dealt.select(*key, F.col("concept_id").alias("low"), F.col("own").alias("low_block"))
+    b = dealt.select(*key, F.col("concept_id").alias("high"), F.col("own").alias("high_block"))
+    met = a.join(b, ["ref", "idx", "i", "j"]).where((F.col("low") < F.col("high")) & ((F.col("i") == F.col("j")) | (F.col("low_block") != F.col("high_block"))))
+    pairs = met.groupBy("low", "high").agg(F.count("*").alias("n"))
     return pairs.where(F.col("n") >= least).withColumn("confidence", T.relates_confidence("n"))
 
 
@@ -135,7 +182,7 @@ def link_docs(docs: DataFrame, concepts: DataFrame, source: str = "docs") -> Lin
     artifact, the last body stays.
     """
     sections = section_artifacts(split_sections(docs))
-    matches = dictionary_match(sections, vocabulary_forms(concepts)).persist()
+    matches = stored(dictionary_match(sections, vocabulary_forms(concepts)), "matches")
     hit = sections.join(matches.select("ref", "idx").distinct(), ["ref", "idx"], "left_semi")
     art = lambda kind, ref, title, body: (key(F.lit(source), ref).alias("id"), F.lit(kind).alias("kind"), F.lit("product").alias("layer"), F.lit(source).alias("source"), ref.alias("ref"), title.alias("title"), body.alias("body"), F.create_map().cast("map<string,string>").alias("attrs"))
     last = last_write(hit.select("section", "idx", "title", "body"), ["section"], ["idx"])

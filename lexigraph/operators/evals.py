@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,38 @@ def paired(cells: DataFrame, base: str, other: str) -> DataFrame:
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
-    """Two-sided exact p of b against c discordant pairs, at most 1."""
+    """Two-sided exact p of b against c discordant pairs, at most 1.
+
+    Up to 1,000 pairs the terms C(n, k) / 2**n are summed from the first one on, which is exact but for rounding. Of more
+    the first would underflow: the terms are summed relative to the last, the greatest, from it downwards, and the last
+    is told by its logarithm, which Stirling's series gives.
+    """
     n, least = b + c, F.least(b, c)
-    # terms C(n, k) * 0.5 ** n for k up to min(b, c), each from the one before
-    first = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.pow(F.lit(0.5), n.cast("double")).alias("sum"))
+
+    def log_factorial(k: Column) -> Column:
+        """ln k!: by the series from 10 on, by a product below."""
+        x = k.cast("double") + 1
+        series = (x - 0.5) * F.log(x) - x + 0.5 * F.log(F.lit(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+        small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(10)]), F.least(k, F.lit(9)).cast("int") + 1)
+        return F.when(k < 10, small).otherwise(series)
 
     def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * k.cast("double") / (n - k + 1).cast("double")  # C(n, k - 1) / C(n, k)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    def up(acc: Column, k: Column) -> Column:
         term = acc["term"] * (n - k + 1).cast("double") / k.cast("double")
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    ks = F.when(least >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(least, F.lit(1)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), 2 * F.aggregate(ks, first, step, lambda a: a["sum"]))
+    def steps(first: Column, last: Column, by: int) -> Column:
+        return F.when(least >= 1, F.sequence(first.cast("long"), last.cast("long"), F.lit(by).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    both = lambda x: F.struct(x.alias("term"), x.alias("sum"))
+    top = F.greatest(least, F.lit(1))
+    exact = F.aggregate(steps(F.lit(1), top, 1), both(F.pow(F.lit(0.5), n.cast("double"))), up, lambda a: a["sum"])
+    last = log_factorial(n) - log_factorial(least) - log_factorial(n - least) - n.cast("double") * F.log(F.lit(2.0))
+    relative = F.aggregate(steps(top, F.lit(1), -1), both(F.lit(1.0)), step, lambda a: a["sum"])
+    return F.least(F.lit(1.0), 2 * F.when(n <= 1000, exact).otherwise(F.exp(last + F.log(relative))))
 
 
 def arm_deltas(cells: DataFrame, base: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import directory_of, file_of, is_blank
 from .gates import BARS, not_rejected, on_path, resolved, served
 from .ranks import first_per_key
+from .scratch import stored
 
 LABEL = ("coalesce(concat('concept ', c_name), concat(a_kind, ' ', coalesce(a_title, a_ref)), {end})")
 
@@ -91,7 +92,7 @@ def concepts_for_path(concepts: DataFrame, edges: DataFrame, artifacts: DataFram
 
 def code_context(concepts: DataFrame, edges: DataFrame, artifacts: DataFrame, path: str, strict: bool = True) -> DataFrame:
     """concepts_for_path with each concept's rules, documents and related concepts: only those of the concepts found."""
-    found = concepts_for_path(concepts, edges, artifacts, path, strict)
+    found = stored(concepts_for_path(concepts, edges, artifacts, path, strict), "found")
     keys = found.select("id")
     into = only_keys(edges.where(F.col("type").isin("constrains", "describes")), keys.withColumnRenamed("id", "dst_id"), "dst_id")
     around = edges.where(F.col("type") == "relates")

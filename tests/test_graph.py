@@ -286,3 +286,60 @@ def test_configuration():
     known.add(registry.Connector("docs", "Markdown", registry.DOC, lambda: None))
     first, second = known.split_by_phase(config.sources)
     assert [s["type"] for s in first] == ["other"] and [s["type"] for s in second] == ["docs"]
+
+
+def test_exact_p_values_of_many_pairs(spark):
+    """Against sums of exact integers, up to 100,000 pairs."""
+    from fractions import Fraction
+    from math import comb
+
+    pairs = [(600, 600), (2000, 2000), (560, 640), (1100, 1300), (9, 0), (10, 10), (11, 3), (0, 1200), (5, 1195)]
+    df = spark.createDataFrame([*pairs, (50_000, 50_000), (49_500, 50_500), (49_000, 51_000)], "b long, c long")
+    got = {(r["b"], r["c"]): r["p"] for r in df.select("b", "c", evals.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()}
+    for b, c in pairs:
+        want = min(1.0, float(Fraction(2 * sum(comb(b + c, k) for k in range(min(b, c) + 1)), 2 ** (b + c))))
+        assert got[b, c] == pytest.approx(want, rel=1e-9), (b, c)
+    assert got[50_000, 50_000] == 1.0 and got[49_500, 50_500] == pytest.approx(0.0015812, rel=1e-3) and 0 < got[49_000, 51_000] < 1e-9
+
+
+def test_vectors_without_a_direction_have_no_neighbours(spark):
+    rows = [(i, [1.0, i / 100]) for i in range(100)] + [(200 + i, [0.0, 0.0]) for i in range(3)] + [(300, None), (301, [float("nan"), 1.0]), (302, [float("inf"), 1.0]), (303, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = beyond.nearest_vectors(df.where("vec_id in (0, 50, 200, 301)"), df, 5)
+    assert sorted((r["query_id"], r["vec_id"]) for r in got.collect()) == [(0, i) for i in range(1, 6)] + [(50, i) for i in (48, 49, 51, 52, 53)]
+
+
+@pytest.mark.parametrize("most", [5000, 0])
+def test_dictionary_of_anchors_equals_the_search_for_every_form(spark, most):
+    import random
+
+    r = random.Random(4)
+    words = ["tide", "Table", "quay", "the", "of", "C++", "--", "rope_1", "über", "a.b", "Ebb", "flow"]
+    text = lambda n: "".join(r.choice(words) + r.choice([" ", " ", "  ", "\n", ".", "-"]) for _ in range(n))
+    forms = [(str(i % 9), f) for i, f in enumerate(dict.fromkeys([*words, *(" ".join(r.sample(words, 2)) for _ in range(25)), "the tide of", "of-the", "+++"]))]
+    rows = [("r", i, text(2) if i % 3 else docs.INTRO, text(r.randint(0, 40)) if i % 7 else None) for i in range(60)]
+    sections = spark.createDataFrame(rows, "ref string, idx int, heading string, body string")
+    want = {}
+    for ref, idx, heading, body in rows:
+        whole = "\n".join(x for x in (None if heading == docs.INTRO else heading, body) if x is not None)
+        for concept, form in forms:
+            find = lambda t: re.search(r"(^|[^\w])" + re.escape(form) + r"([^\w]|$)", t, re.I)
+            if find(whole):
+                want[idx, concept] = want.get((idx, concept), False) or bool(heading != docs.INTRO and find(heading))
+    got = docs.dictionary_match(sections, spark.createDataFrame(forms, "concept_id string, form string"), most)
+    assert {(x["idx"], x["concept_id"]): x["heading_hit"] for x in got.collect()} == want and len(want) > 100
+
+
+def test_pairs_of_a_hub_section_are_dealt_in_blocks(spark):
+    """A section with 300 concepts, most of them nowhere else: only pairs with support are made."""
+    rows = [("hub", 0, f"c{i:03d}") for i in range(300)] + [("b", i, f"c{j:03d}") for i in range(3) for j in range(40)] + [("lone", i, f"c{250 + i}") for i in range(5)]
+    df = spark.createDataFrame(rows + rows[:10], "ref string, idx int, concept_id string")
+    want = {}
+    for ref, idx in {(a, b) for a, b, _ in rows}:
+        own = sorted(c for a, b, c in rows if (a, b) == (ref, idx))
+        for i, x in enumerate(own):
+            for y in own[i + 1 :]:
+                want[x, y] = want.get((x, y), 0) + 1
+    want = {k: n for k, n in want.items() if n >= 2}
+    for block in (64, 7):
+        assert {(r["low"], r["high"]): r["n"] for r in docs.cooccurrences(df, block=block).collect()} == want
