@@ -14,8 +14,8 @@ it: the commonest ids have a cell each, ids of like spelling in one group; the o
 the last group's cells, in which an id has its share of the cell's count. Ids and cells come
 from counts over all training documents. Training is Adam in each partition, then a weighted
 mean of the partitions' parameters (a sum in integers, so that it does not vary), in rounds.
-Round r of `rounds` trains on its own 1 / `train_every` of all blocks of all training texts,
-by a hash of row and block, so training grows with the text (documented parameters).
+Every block of every training text is trained on once: round r of `rounds` has its own share of
+them, by a hash of row and block.
 
 Scoring: a text's ids lie in blocks of half a context; each block is scored once, with the
 block before it as context (the first has masked padding), so windows overlap by half and
@@ -25,8 +25,9 @@ batch; the mask lets a position see itself, what is before it, and no padding.
 Memory: a text's ids are cut into segments where a hash of two ids says so, about `SEGMENT`
 ids each. c(s | t) is the number of training texts in which s follows the first t; a segment
 that follows the first t of its text has the probability (c(s | t) + p) / (sum of c(. | t) + 1),
-p being the model's. What is counted follows the corpus. A text of the training part is left out of the
-counts that score it, so its score tells what the rest of the corpus knows of it.
+p being the model's. What it adds to the model's score is a column of its own, `recalled`; the score is the
+attention model's alone. What is counted follows the corpus. A text of the training part is left out of the
+counts that recall it, so `recalled` tells what the rest of the corpus knows of it.
 
 Defined cases: a null text counts as empty and has the end token alone; a null doc_id is in
 the training part; without any training document all counts are 0 and the model is as
@@ -51,7 +52,7 @@ END_WORD = np.int64(1)  # stands for the end token among word hashes
 TOP_WORDS = 200_000
 INPUTS, SHARED, WIDTH, HIDDEN, GROUPS, MEMBERS, BLOCK = 1024, 128, 32, 64, 32, 32, 16
 PAD, CELLS = INPUTS + SHARED, GROUPS * MEMBERS
-ROUNDS, TRAIN_EVERY, BATCH, RATE, PART_WINDOWS = 2, 32, 512, 6e-3, 16384
+ROUNDS, BATCH, RATE, PART_WINDOWS = 2, 64, 6e-3, 16384
 SEGMENT = 64
 _SPACE = re.compile(r"[\s\x1c-\x1f]")
 _ID = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 1 << 17, dtype=np.uint64) | np.uint64(1)
@@ -432,7 +433,7 @@ def _ids_in(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // kind.itemsize
 
 
-def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> DataFrame:
+def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     """turn, key and the ids of a window (the block before, the own one, its targets; -1: none) for each round's blocks."""
     schema = pa.schema([("turn", pa.int32()), ("key", pa.int64()), ("window", pa.binary())])
 
@@ -445,12 +446,10 @@ def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS, every:
                 size = np.diff(np.append(first, len(inputs) + 1)) - 1
                 at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 key = mix64(np.repeat(part.column("row_key").to_numpy().view(np.uint64), size) + (at - np.repeat(first, size)).astype(np.uint64) * _STEP)
-                turn = (key % np.uint64(every)).astype(np.int32)
-                take = np.flatnonzero(turn < rounds)
-                at = at[take]
+                turn = (key % np.uint64(rounds)).astype(np.int32)
                 raw = np.concatenate([inputs[at - 1], np.where(targets[at] < 0, -1, inputs[at]), targets[at]], 1)
                 data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * raw.shape[1] * 4).astype(np.int32)), pa.py_buffer(raw.astype("<i4").tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(turn[take]), pa.array((key[take] >> np.uint64(1)).view(np.int64)), data], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array((key >> np.uint64(1)).view(np.int64)), data], schema=schema)
 
     rows = encoded.where("ids is not null and not held_out").select("row_key", "ids")
     return map_batches(rows, run, "turn int, key long, window binary")
@@ -459,7 +458,7 @@ def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS, every:
 FIXED_POINT = float(1 << 20)
 
 
-def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> tuple[Vocabulary, dict]:
+def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[Vocabulary, dict]:
     """The vocabulary and the parameters, from the training rows of encoded texts."""
     words = word_ids(path)
     counts = np.zeros(words.size, np.int64)
@@ -467,7 +466,7 @@ def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS, every: int = TRAIN_
         counts[r["id"]] = r["n"]
     vocabulary = Vocabulary(counts, words.end_id, words.alike)
     p = initial(vocabulary)
-    windows = materialize(training_windows(encoded, path, rounds, every), "lm-windows")
+    windows = materialize(training_windows(encoded, path, rounds), "lm-windows")
     sizes = {r["turn"]: r["n"] for r in windows.groupBy("turn").agg(F.count("*").alias("n")).collect()}  # as many as rounds
     for turn in range(rounds):
         start = flat(p)
@@ -523,14 +522,14 @@ def segments(stream: np.ndarray, counts: np.ndarray, length: int = SEGMENT) -> t
 SCORED = "doc_id long, row_key long, held_out boolean, n_tokens long, n_top long, base_top double, rare array<long>, net double, pairs array<struct<ctx: long, seg: long, net: double>>"
 
 
-def score_documents(docs: DataFrame, path: str, modulus: int = 7, fold: int = 2, rounds: int = ROUNDS, train_every: int = TRAIN_EVERY) -> DataFrame:
+def score_documents(docs: DataFrame, path: str, modulus: int = 7, fold: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """Base and model scores of every document, learnt from those outside the held-out fold."""
     encoded = materialize(encode_texts(docs, path, modulus, fold), "lm-encoded")
     counts = materialize(encoded.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, unit = sums["n"], float(np.log10(sums["n"] + sums["v"] + 1))
     top, found = top_words(counts)
-    vocabulary, p = fit(encoded, path, rounds, train_every)
+    vocabulary, p = fit(encoded, path, rounds)
     pair = pa.struct([("ctx", pa.int64()), ("seg", pa.int64()), ("net", pa.float64())])
 
     def run(batches):
@@ -573,7 +572,8 @@ def score_documents(docs: DataFrame, path: str, modulus: int = 7, fold: int = 2,
         (F.col("n_top") + F.col("hits") / F.col("times")).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base_top") + F.col("more") / F.col("times")).alias("base_score"),
-        (F.col("net") + F.col("recalled") / F.col("times")).alias("score"),
+        F.col("net").alias("score"),
+        (F.col("recalled") / F.col("times")).alias("recalled"),
     )
 
 

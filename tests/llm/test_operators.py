@@ -570,18 +570,18 @@ def test_scores_equal_a_loop_over_tokens():
     assert np.allclose(total[total > 0], 1, atol=1e-3)
 
 
-def test_training_takes_its_share_of_every_text(docs):
-    """With a share of one, one round has every block of every training text, once; rounds of a share do not overlap."""
+def test_training_takes_every_block_of_every_text_once(docs):
+    """One round has every block of every training text, once; several rounds have them all, and none twice."""
     path = byte_tokens.default_path("byte_bpe_50k.json")
     encoded = lm_scoring.encode_texts(docs, path).cache()
     own = lm_scoring.word_ids(path)
-    read = lambda rounds, every: [(r["turn"], r["key"], np.frombuffer(r["window"], "<i4")) for r in lm_scoring.training_windows(encoded, path, rounds, every).collect()]
-    whole = read(1, 1)
+    read = lambda rounds: [(r["turn"], r["key"], np.frombuffer(r["window"], "<i4")) for r in lm_scoring.training_windows(encoded, path, rounds).collect()]
+    whole = read(1)
     got = collections.Counter(i for _, _, w in whole for i in w[32:].tolist() if i >= 0)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     texts = [[own.coder.ranked.encode_ordinary(" " + w) for w in WORD.findall(lower(t))] for i, t, *_ in ROWS if not held(i)]
     assert got == collections.Counter(i for t in texts for i in [*(x for w in t for x in w), own.end_id])
-    parts = read(4, 4)
+    parts = read(4)
     assert {t for t, _, _ in parts} == {0, 1, 2, 3} and sorted(w.tobytes() for _, _, w in parts) == sorted(w.tobytes() for _, _, w in whole)
     assert {r["id"]: r["n"] for r in encoded.where("id is not null").groupBy("id").agg(F.sum("c").alias("n")).collect()} == got
     encoded.unpersist()
@@ -615,12 +615,29 @@ def test_copies_score_apart_from_texts_that_stand_once(spark):
     texts = once + twice + twice
     rows = [(i, t) for i, t in zip((i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2), texts)]
     out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), byte_tokens.default_path("byte_bpe_50k.json")).collect()
-    score = {r["doc_id"]: r["score"] / r["n_tokens"] for r in out}
+    score = {r["doc_id"]: (r["score"] + r["recalled"]) / r["n_tokens"] for r in out}
+    alone = {r["doc_id"]: r["score"] / r["n_tokens"] for r in out}
     ids = [i for i, _ in rows]
+    assert all(abs(alone[a] - alone[b]) < 1e-4 for a, b in zip(ids[30:40], ids[40:]))
     assert min(score[i] for i in ids[30:]) > 0.5 * max(score[i] for i in ids[:30])
     assert all(abs(score[a] - score[b]) < 1e-4 for a, b in zip(ids[30:40], ids[40:]))
 
 
+def test_training_gains_on_texts_held_out(spark, monkeypatch):
+    """Held-out texts of the given tables: far likelier than without training, and near the counts that need not spell a word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = byte_tokens.default_path("byte_bpe_50k.json")
+
+    def held():
+        r = lm_scoring.score_documents(docs, path).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score"), F.sum(F.col("score") + F.col("recalled"))).first()
+        return [x / r[0] for x in r[1:]]
+
+    base, trained, recalled = held()
+    monkeypatch.setattr(lm_scoring, "fit", lambda encoded, path, rounds, real=lm_scoring.fit: real(encoded, path, 0))
+    untrained = held()[1]
+    assert trained > untrained + 1.5 and trained > base - 0.15 and recalled > base
+
+
 def test_automaton_keeps_words_that_begin_with_nul(spark):
     from tokenizers import Tokenizer
 
