@@ -35,20 +35,19 @@ TOKENS = rf"(?sU)(?:{_LINE}|/\*.*?\*/|\#[^\n]*+|--[^\n]*+)|{_QUOTED}|[A-Za-z_$][
 
 def _by_language(table: dict, make) -> Column:
     """make(value) of the language of a row, or of the entry None."""
-    rest = make(table[None]) if None in table else None
     own = reduce(lambda c, kv: c.when(F.col("lang") == kv[0], make(kv[1])), ((k, v) for k, v in table.items() if k), F)
-    return own if rest is None else own.otherwise(rest)
+    return own if None not in table else make(table[None]) if own is F else own.otherwise(make(table[None]))
 
 
-def blanked(content: str = "content") -> Column:
-    """The text with comments and strings as spaces, line breaks kept."""
+def blanked(languages=tuple(HIDDEN), content: str = "content") -> Column:
+    """The text, of one of these languages, with comments and strings as spaces, line breaks kept."""
 
     def blank(hidden: str) -> Column:
         pieces = F.regexp_extract_all(content, F.lit(rf"(?s)(?:{hidden})|{_REST}"), 0)
         mark = lambda t: (F.length(t) > 1) & t.rlike("^(?://|/\\*|--|#|[\"'`])")
         return F.array_join(F.transform(pieces, lambda t: F.when(mark(t), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
 
-    return _by_language(HIDDEN, blank)
+    return _by_language({k: v for k, v in HIDDEN.items() if k is None or k in languages}, blank)
 
 
 def _declared(patterns: dict[str, tuple[str, ...]], text: Column) -> Column:
@@ -117,10 +116,15 @@ def declarations(files: DataFrame, patterns: dict[str, tuple[str, ...]], skip: t
     patterns: for each language, expressions whose first group is a name. A name that stands several times in one
     scope of a file counts once, at its first place.
     """
-    known = files.where(F.col("lang").isin(*patterns) & F.col("content").isNotNull()).select("path", "lang", blanked().alias("text"))
-    braces = {k: v for k, v in patterns.items() if k not in INDENTED}
-    indents = {k: v for k, v in patterns.items() if k in INDENTED}
-    rows = _in_braces(known.where(~F.col("lang").isin(*INDENTED)), braces, skip).unionByName(_by_indent(known.where(F.col("lang").isin(*INDENTED)), indents, skip))
+    there = {r[0] for r in files.select("lang").distinct().collect()}  # as many as languages; the others' patterns are not compiled
+    parts = []
+    for make, own in ((_in_braces, {k: v for k, v in patterns.items() if k not in INDENTED and k in there}), (_by_indent, {k: v for k, v in patterns.items() if k in INDENTED and k in there})):
+        if own:
+            known = files.where(F.col("lang").isin(*own) & F.col("content").isNotNull())
+            parts.append(make(known.select("path", "lang", blanked(own).alias("text")), own, skip))
+    if not parts:
+        return files.sparkSession.createDataFrame([], "path string, name string, line int, owner string")
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy("path", "owner", "name").agg(F.min(F.struct("line", "pos", "at")).alias("first")).select("path", "name", "first.line", "owner")
 
 
