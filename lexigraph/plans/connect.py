@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import snapshot
 from ..operators.snapshot import Graph
 from ..sources import files as S
+from ..sources.code_graphs import code_graphs
 from ..sources.pages import page_documents
 from ..sources.registry import CODE, DOC, Config, Connector, Registry, parse_config
 from . import ingest
@@ -51,7 +52,7 @@ def builtin() -> Registry:
     known = Registry()
     known.add(Connector("symbols", "declarations of a source tree as candidate concepts, incremental", CODE, _of_path(S.source_tree, ingest.ingest_symbols)))
     known.add(Connector("code", "mentions of terms in a source tree", CODE, _of_path(S.source_tree, ingest.ingest_mentions)))
-    known.add(Connector("codegraph", "resolved code graph, a JSON export", CODE, _of_path(S.code_graph_export, ingest.ingest_code_graph)))
+    known.add(Connector("codegraph", "resolved code graph, a JSON export", CODE, _of_path(code_graphs, ingest.ingest_code_graph)))
     known.add(Connector("astindex", "external symbol index, exported tables", CODE, _of_path(S.symbol_index, lambda graph, index: ingest.ingest_symbol_index(graph, *index))))
     known.add(Connector("docs", "Markdown documents: describes, rules, relations", DOC, _of_path(S.document_files, ingest.ingest_documents)))
     known.add(Connector("web", "fetched web pages: describes, rules, relations", DOC, _web))
