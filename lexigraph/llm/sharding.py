@@ -10,8 +10,8 @@ shard count, not by the rows.
 A group above the fair share of what is left (a hot text) gets a shard of its own first, so
 that it does not set the capacity of all others.
 
-Defined cases: a null text counts as empty (size 16, crc 0); equal rows are numbered side by
-side; an empty table gives an empty result; more shards than groups leave shards empty.
+Defined cases: a null text counts as empty (size 16, crc 0); equal rows are counted first and
+numbered in chunks, so a row may come any number of times; an empty table gives an empty result; more shards than groups leave shards empty.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, whole_text
 
 KEY_BITS, FIRST_BITS, STEP_BITS = 60, 12, 6
-ROWS_PER_SLOT_BUCKET = 20_000
+ROWS_PER_SLOT_BUCKET, ROWS_PER_CHUNK = 20_000, 1_000
 
 
 class RangeTree:
@@ -126,24 +126,31 @@ def assign(key: Column, alone: list[int], cuts: list[int]) -> Column:
     return shard.cast("int")
 
 
-def number_slots(rows: DataFrame, order: list[str], per_bucket: int = ROWS_PER_SLOT_BUCKET) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard, numbering buckets of a shard apart and adding what lies before."""
-    n = rows.count()
+def number_slots(rows: DataFrame, order: list[str], per_bucket: int = ROWS_PER_SLOT_BUCKET, chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Rows of shard, order and times as so many rows with a slot, gapless from 0 in each shard.
+
+    Equal rows are counted, not carried, until they are numbered: in chunks that are dealt to buckets of a shard, each
+    bucket numbered apart and moved by what lies before it.
+    """
+    n = rows.agg(F.sum("times")).first()[0] or 0
     buckets = max(1, 1 << max(0, math.ceil(math.log2(max(1, n / per_bucket)))))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = rows.withColumn("_i", F.row_number().over(Window.partitionBy("shard", "_b").orderBy(*order)) - 1)
-    return inside.join(before, ["shard", "_b"]).withColumn("slot", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
+    each = rows.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / chunk)))).withColumn("_n", F.least(F.lit(chunk), F.col("times") - F.col("_c") * chunk))
+    each = each.withColumn("_b", F.pmod(F.xxhash64(*order, "_c"), F.lit(buckets)).cast("int"))
+    sizes = each.groupBy("shard", "_b").agg(F.sum("_n").alias("_all"))
+    before = sizes.select("shard", "_b", (F.sum("_all").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_all")).alias("_before"))
+    inside = each.withColumn("_i", F.sum("_n").over(Window.partitionBy("shard", "_b").orderBy(*order, "_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    start = F.col("_before") + F.col("_i")
+    return inside.join(before, ["shard", "_b"]).withColumn("slot", F.explode(F.sequence(start, start + F.col("_n") - 1))).drop("_b", "_c", "_n", "_i", "_before", "times")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, key and shard of every document (written once, slim), with slots."""
     text = whole_text()
-    slim = materialize(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(text).alias("key")), "shard-rows")
-    groups = materialize(slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(text).alias("key"))
+    slim = materialize(slim.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("times")), "shard-rows")
+    groups = materialize(slim.groupBy("key").agg(F.sum(F.col("size") * F.col("times")).alias("bytes"), F.sum("times").alias("rows")), "shard-groups")
     alone, cuts, _ = shard_plan(groups, shards)
-    return number_slots(slim.withColumn("shard", assign(F.col("key"), alone, cuts)), ["doc_id", "text_crc32", "size"])
+    return number_slots(slim.withColumn("shard", assign(F.col("key"), alone, cuts)), ["doc_id", "text_crc32", "size", "key"])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
