@@ -16,7 +16,8 @@ Equal sets are one class, so exact copies cost one row. In a bucket, not all pai
 a star joins all members to one centre, verified stars are turned into components, a second
 star from another centre follows, and only members of a bucket that are then still in
 different components are compared with one another, where exact bounds on what they can share
-leave room for a link. Joins on buckets, classes and centres are salted where one is hot.
+leave room for a link. Joins on buckets, shingles, classes and centres are salted where one is
+hot, and a large bucket's last comparison is dealt into tiles by bands of set sizes and blocks of members.
 
 Defined cases: null or blank texts have no shingles and stay alone; a text with fewer words
 than a shingle has its words as one shingle; rows that repeat doc_id and text are one
@@ -36,7 +37,7 @@ from .common import documents, is_small, join_counted, map_batches, materialize,
 from .components import merged
 
 BANDS, ROWS, THRESHOLD_PERCENT, SLACK = 36, 5, 80, 7.0
-RARE, PARTS = 10, 64
+RARE, PARTS, BLOCK = 10, 64, 2000
 MANTISSA_BITS, EMPTY = 10, 0xFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,7 +212,23 @@ def _reaches(shared, n_a, n_b, percent: int):
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def open_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RARE, parts: int = PARTS) -> DataFrame:
+def tiles(rows: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """rows (bucket, class_id, n and more) twice, with a column `tile` in which each two rows of a bucket meet exactly once in either order, if their sizes allow a link.
+
+    Sizes n are in bands as wide as the threshold lets linked sizes differ, so only bands side by side meet. The members of a
+    bucket are dealt into blocks of about `block`; a tile is a band, a block of the first and one of the second.
+    """
+    crowd = materialize(rows.groupBy("bucket").agg(F.count("*").alias("members")), "nd-crowds")
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    dealt = join_counted(rows, crowd, ["bucket"], "members").withColumn("blocks", blocks).drop("members")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / percent))).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = F.transform(every, lambda j: F.struct(F.col("band").alias("band"), F.col("own").alias("i"), j.alias("j")))
+    second = F.flatten(F.transform(every, lambda i: F.transform(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda band: F.struct(band.alias("band"), i.alias("i"), F.col("own").alias("j")))))
+    return tuple(dealt.withColumn("tile", F.explode(x)).drop("blocks", "own", "band") for x in (first, second))
+
+
+def open_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RARE, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of classes that share a bucket, are in different components, and can reach the threshold.
 
     Exact bounds discard the others before they are made. A shingle is rare if at most `rare`
@@ -220,12 +237,13 @@ def open_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RAR
     at most the sum, over parts of the shingles' hash range, of the lesser number of common
     shingles each has there.
     """
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    left = materialize(placed.join(mixed, "bucket", "left_semi").select("bucket", "class_id", "component"), "nd-open")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("bucket", "members")
+    left = materialize(join_counted(placed, materialize(mixed, "nd-mixed"), ["bucket"], "members").select("bucket", "class_id", "component"), "nd-open")
     classes = left.groupBy("class_id").agg(F.min("component").alias("component"))
     each = materialize(sets.join(classes, "class_id").select("class_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "nd-open-shingles")
-    seldom = each.groupBy("shingle").agg(F.count("*").alias("seen")).where(F.col("seen") <= rare).select("shingle", "seen")
-    marked = materialize(each.join(seldom, "shingle", "left"), "nd-marked")
+    times = materialize(each.groupBy("shingle").agg(F.count("*").alias("times")), "nd-open-times")
+    marked = join_counted(each, times, ["shingle"], "times").withColumn("seen", F.when(F.col("times") <= rare, F.col("times"))).drop("times")
+    marked = materialize(marked, "nd-marked")
     part = F.pmod("shingle", F.lit(parts))
     common = F.col("seen").isNull()
     sizes = marked.groupBy("class_id").agg(F.first("n").alias("n"), F.count_if(common).cast("int").alias("common"), F.array(*[F.count_if(common & (part == i)).cast("int") for i in range(parts)]).alias("held"))
@@ -239,12 +257,12 @@ def open_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RAR
     met = met.join(has("class_id", "k"), "class_id").join(has("other", "other_k"), "other")
     met = met.where(_reaches(F.col("shared") + F.least("k", "other_k"), F.col("n"), F.col("other_n"), percent)).select(*_ordered("class_id", "other"))
 
-    one = left.join(sizes, "class_id").where(_reaches(F.col("common"), F.col("n"), F.col("common"), percent))
-    two = one.select("bucket", *(F.col(c).alias(f"other_{c}") for c in ("class_id", "component", "n", "common", "held")))
+    one, two = tiles(materialize(left.join(sizes, "class_id").where(_reaches(F.col("common"), F.col("n"), F.col("common"), percent)), "nd-near"), percent, block)
+    two = two.select("bucket", "tile", *(F.col(c).alias(f"other_{c}") for c in ("class_id", "component", "n", "common", "held")))
     least = F.aggregate(F.zip_with("held", "other_held", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     cheap = _reaches(F.least("common", "other_common"), F.col("n"), F.col("other_n"), percent)
     fits = F.when((F.col("component") < F.col("other_component")) & cheap, _reaches(least, F.col("n"), F.col("other_n"), percent)).otherwise(False)
-    near = one.join(two, "bucket").where(fits).select(*_ordered("class_id", "other_class_id"))
+    near = one.join(two, ["bucket", "tile"]).where(fits).select(*_ordered("class_id", "other_class_id"))
     return met.union(near).distinct()
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -830,3 +831,59 @@ def test_words_are_encoded_as_they_stand_after_a_blank(spark):
         want = [own.coder.ranked.encode_ordinary(" " + w.encode().lower().decode()) for w in words[at : at + 400]]
         assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
         assert np.flatnonzero(own.begins[ids]).tolist() == (np.cumsum(size) - size).tolist()
+
+
+def test_slots_of_a_row_that_comes_very_often(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = rows.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 90).alias("text")))
+    out = sharding.shard_documents(rows, 5).cache()
+    assert out.count() == 100_500 and out.select("shard", "slot").distinct().count() == 100_500
+    assert all(r["low"] == 0 and r["high"] == r["n"] - 1 for r in out.groupBy("shard").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.count("*").alias("n")).collect())
+    assert out.where("doc_id is null").select("shard").distinct().count() == 1
+    # no window sees more than its bucket: equal rows are dealt to many
+    few = spark.createDataFrame([(0, "a", 0, 0, 7_001), (0, "b", 0, 0, 1), (1, "c", 0, 0, 3)], "shard int, doc_id string, text_crc32 long, size long, times long")
+    slots = sharding.number_slots(few, ["doc_id", "text_crc32", "size"], per_bucket=100, chunk=10).collect()
+    assert sorted((r["shard"], r["slot"]) for r in slots) == [(0, i) for i in range(7_002)] + [(1, i) for i in range(3)]
+    assert collections.Counter(r["doc_id"] for r in slots) == {"a": 7_001, "b": 1, "c": 3}
+
+
+def test_tiles_meet_each_pair_once(spark):
+    rng = random.Random(5)
+    rows = [(b, c, rng.choice([1, 4, 5, 79, 80, 100, 125, 126, 1000])) for b in range(3) for c in range(60 if b else 400)]
+    one, two = near_duplicates.tiles(spark.createDataFrame(rows, "bucket long, class_id long, n int"), 80, block=50)
+    two = two.select("bucket", "tile", F.col("class_id").alias("other"), F.col("n").alias("m"))
+    met = one.join(two, ["bucket", "tile"]).where("100 * least(n, m) >= 80 * greatest(n, m)")
+    got = collections.Counter((r["bucket"], r["class_id"], r["other"]) for r in met.collect())
+    want = {(b, c, d) for b, c, n in rows for e, d, m in rows if b == e and 100 * min(n, m) >= 80 * max(n, m)}
+    assert set(got) == want and set(got.values()) == {1}
+    assert one.groupBy("bucket", "tile").count().agg(F.max("count")).first()[0] <= 80
+
+
+def test_near_duplicates_with_a_hot_bucket_and_shingle(spark, monkeypatch):
+    """Thousands of documents in one bucket with one common passage, every join salted and every bucket tiled."""
+    monkeypatch.setattr(common, "SMALL_ROWS", 10)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for j in rng.sample(range(60), rng.choice([0, 1, 2, 5, 9])):
+            own[j] = f"v{rng.randrange(12)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(base)) for i in range(1500)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    sets = {t: {tuple(t.split()[i : i + 2]) for i in range(59)} for _, t in rows}
+    distinct, parent = list(sets), {}
+    first = {}
+    for i, t in rows:
+        first[t] = min(first.get(t, i), i)
+    find = lambda x: x if parent.get(x, x) == x else find(parent[x])
+    for a, b in itertools.combinations(distinct, 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            parent[find(a)] = find(b)
+    least = {}
+    for t in distinct:
+        least[find(t)] = min(least.get(find(t), 1 << 60), first[t])
+    assert got == {i: least[find(t)] for i, t in rows}
+    assert len(set(got.values())) > 20
