@@ -15,7 +15,8 @@ the last group's cells, in which an id has its share of the cell's count. Ids an
 from counts over all training documents. Training is Adam in each partition, then a weighted
 mean of the partitions' parameters (a sum in integers, so that it does not vary), in rounds.
 Every block of every training text is trained on once: round r of `rounds` has its own share of
-them, by a hash of row and block.
+them, by a hash of row and run of blocks. Runs of ids are what is shuffled; windows are made of them where they are
+trained on, and a task sends one sum of its partitions' parameters.
 
 Scoring: a text's ids lie in blocks of half a context; each block is scored once, with the
 block before it as context (the first has masked padding), so windows overlap by half and
@@ -53,6 +54,8 @@ TOP_WORDS = 200_000
 INPUTS, SHARED, WIDTH, HIDDEN, GROUPS, MEMBERS, BLOCK = 1024, 128, 32, 64, 32, 32, 16
 PAD, CELLS = INPUTS + SHARED, GROUPS * MEMBERS
 ROUNDS, BATCH, RATE, PART_WINDOWS = 2, 64, 6e-3, 16384
+#: Blocks of a run of ids, and partitions that one task trains one after the other.
+RUN, TASK_PARTS = 16, 8
 SEGMENT = 64
 _SPACE = re.compile(r"[\s\x1c-\x1f]")
 _ID = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 1 << 17, dtype=np.uint64) | np.uint64(1)
@@ -433,26 +436,64 @@ def _ids_in(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // kind.itemsize
 
 
-def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
-    """turn, key and the ids of a window (the block before, the own one, its targets; -1: none) for each round's blocks."""
-    schema = pa.schema([("turn", pa.int32()), ("key", pa.int64()), ("window", pa.binary())])
+RUNS = "turn int, key long, head boolean, run binary"
+
+
+def training_runs(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
+    """turn, key, head (a text's first) and the ids of each run of `RUN` blocks: the block before it, but at the head, its inputs and its last target."""
+    names = ["turn", "key", "head", "run"]
 
     def run(batches):
         own = word_ids(path)
         for batch in batches:
             for part in pieces(batch, "ids"):
                 ids, counts = _ids_in(part.column("ids"), own.kind)
-                inputs, targets, first = blocks_of(ids, counts, own.end_id)
-                size = np.diff(np.append(first, len(inputs) + 1)) - 1
-                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                key = mix64(np.repeat(part.column("row_key").to_numpy().view(np.uint64), size) + (at - np.repeat(first, size)).astype(np.uint64) * _STEP)
-                turn = (key % np.uint64(rounds)).astype(np.int32)
-                raw = np.concatenate([inputs[at - 1], np.where(targets[at] < 0, -1, inputs[at]), targets[at]], 1)
-                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * raw.shape[1] * 4).astype(np.int32)), pa.py_buffer(raw.astype("<i4").tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array((key >> np.uint64(1)).view(np.int64)), data], schema=schema)
+                # the end id, a text's ids, the end id
+                begin = np.cumsum(counts + 2) - (counts + 2)
+                stream = np.full(len(ids) + 2 * len(counts), own.end_id, own.kind)
+                stream[np.repeat(begin + 1 - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
+                size = -(-(counts + 1) // (RUN * BLOCK))
+                number = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                at, end = np.repeat(begin, size), np.repeat(begin + counts + 2, size)
+                a = at + np.maximum(0, number * RUN * BLOCK - BLOCK)
+                b = np.minimum(at + (number + 1) * RUN * BLOCK + 1, end)
+                key = mix64(np.repeat(part.column("row_key").to_numpy().view(np.uint64), size) + number.astype(np.uint64) * _STEP)
+                data = [stream[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(rounds)).astype(np.int32)), pa.array((key >> np.uint64(1)).view(np.int64)), pa.array(number == 0), pa.array(data, pa.binary())], names=names)
 
     rows = encoded.where("ids is not null and not held_out").select("row_key", "ids")
-    return map_batches(rows, run, "turn int, key long, window binary")
+    return map_batches(rows, run, RUNS)
+
+
+def windows_of(runs: list[bytes], head: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the windows of all runs' blocks (the block before, the own one, its targets; -1: none), and how many each run has."""
+    size = np.fromiter(map(len, runs), np.int64, len(runs)) // kind.itemsize
+    ids = np.frombuffer(b"".join(runs), kind).astype(np.int32)
+    blocks = -(-(size - 1 - np.where(head, 0, BLOCK)) // BLOCK)
+    first = np.cumsum(blocks + 1) - (blocks + 1)  # of each run the block before it, or padding
+    inputs, targets = np.full(int((blocks + 1).sum()) * BLOCK, -1, np.int32), np.full(int((blocks + 1).sum()) * BLOCK, -1, np.int32)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat((first + head) * BLOCK, size) + place
+    last = np.repeat(size, size) - 1
+    inputs[at[place < last]] = ids[place < last]
+    targets[at[place > 0] - 1] = ids[place > 0]
+    inputs, targets = inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK)
+    own = np.repeat(first + 1 - (np.cumsum(blocks) - blocks), blocks) + np.arange(int(blocks.sum()))
+    return np.concatenate([inputs[own - 1], inputs[own], targets[own]], 1), blocks
+
+
+def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
+    """turn, key and the ids of a window (the block before, the own one, its targets; -1: none) for each block of the runs."""
+    schema = pa.schema([("turn", pa.int32()), ("key", pa.int64()), ("window", pa.binary())])
+
+    def run(batches):
+        kind = word_ids(path).kind
+        for batch in batches:
+            windows, blocks = windows_of(batch.column("run").to_pylist(), batch.column("head").to_numpy(zero_copy_only=False), kind)
+            columns = [np.repeat(batch.column(c).to_numpy(), blocks) for c in ("turn", "key")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([w.astype("<i4").tobytes() for w in windows], pa.binary())], schema=schema)
+
+    return map_batches(training_runs(encoded, path, rounds), run, "turn int, key long, window binary")
 
 
 FIXED_POINT = float(1 << 20)
@@ -466,25 +507,40 @@ def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[Vocabulary
         counts[r["id"]] = r["n"]
     vocabulary = Vocabulary(counts, words.end_id, words.alike)
     p = initial(vocabulary)
-    windows = materialize(training_windows(encoded, path, rounds), "lm-windows")
-    sizes = {r["turn"]: r["n"] for r in windows.groupBy("turn").agg(F.count("*").alias("n")).collect()}  # as many as rounds
+    blocks = F.ceil((F.octet_length("ids") / words.kind.itemsize + 1) / BLOCK)
+    total = encoded.where("ids is not null and not held_out").agg(F.sum(blocks)).first()[0] or 0
     for turn in range(rounds):
         start = flat(p)
 
         def run(batches, start=start, turn=turn):
-            held = [b"".join(b.column("window").to_pylist()) for b in batches]
-            raw = np.frombuffer(b"".join(held), "<i4").reshape(-1, 3 * BLOCK)
-            if len(raw):
-                x = np.where(raw[:, : 2 * BLOCK] < 0, PAD, vocabulary.symbol[raw[:, : 2 * BLOCK]])
-                goal = raw[:, 2 * BLOCK :]
-                p = train(shaped(start), x, vocabulary.cell[goal], (goal >= 0).astype(np.float32), seed=turn)
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([np.rint(len(x) * FIXED_POINT * flat(p).astype(np.float64)).astype(np.int64)], pa.list_(pa.int64()))], names=["weight", "parameters"])
-
-        if sizes.get(turn):
+            kind, runs, heads = word_ids(path).kind, [], []
+            for b in batches:
+                runs += b.column("run").to_pylist()
+                heads.append(b.column("head").to_numpy(zero_copy_only=False))
+            if not runs:
+                return
+            head = np.concatenate(heads)
+            ends = np.cumsum(-(-(np.fromiter(map(len, runs), np.int64, len(runs)) // kind.itemsize - 1 - np.where(head, 0, BLOCK)) // BLOCK))
+            parts = max(1, int(ends[-1]) // PART_WINDOWS)
+            cuts = np.searchsorted(ends, ends[-1] * np.arange(1, parts) // parts).tolist()
+            n, held = 0, 0
+            for a, b in zip([0, *cuts], [*cuts, len(runs)]):
+                if b > a:
+                    raw, _ = windows_of(runs[a:b], head[a:b], kind)
+                    x = np.where(raw[:, : 2 * BLOCK] < 0, PAD, vocabulary.symbol[raw[:, : 2 * BLOCK]])
+                    goal = raw[:, 2 * BLOCK :]
+                    p = train(shaped(start), x, vocabulary.cell[goal], (goal >= 0).astype(np.float32), seed=turn)
+                    n, held = n + len(x), held + np.rint(len(x) * FIXED_POINT * flat(p).astype(np.float64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([held], pa.list_(pa.int64()))], names=["weight", "parameters"])
+
+        if total:
             # equal keys lie together and in order, so a lost task trains the same again
-            rows = windows.where(F.col("turn") == turn).select("key", "window").repartition(max(1, sizes[turn] // PART_WINDOWS), "key").sortWithinPartitions("key", "window")
+            rows = training_runs(encoded, path, rounds).where(F.col("turn") == turn).select("key", "head", "run")
+            rows = rows.repartition(max(1, int(total) // rounds // (PART_WINDOWS * TASK_PARTS)), "key").sortWithinPartitions("key", "head", "run")
             trained = map_batches(rows, run, "weight long, parameters array<long>").select("weight", F.posexplode("parameters").alias("at", "x"))
-            mean = trained.groupBy("at").agg(F.sum("x").alias("x"), F.sum("weight").alias("n")).toPandas()  # as many rows as parameters
+            mean = trained.groupBy("at").agg(F.sum("x").alias("x"), F.sum("weight").alias("n")).toPandas()  # as many rows as parameters, or none: all runs may be of other rounds
+            if not len(mean):
+                continue
             start = start.copy()
             start[mean["at"].to_numpy()] = mean["x"].to_numpy(np.float64) / mean["n"].to_numpy(np.float64) / FIXED_POINT
             p = shaped(start)

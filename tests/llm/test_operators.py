@@ -588,6 +588,22 @@ def test_training_takes_every_block_of_every_text_once(docs):
     encoded.unpersist()
 
 
+def test_training_shuffles_ids_and_not_windows(spark):
+    """Runs hold an id in about two bytes, once but for what stands before them, and give the windows that blocks of whole texts give."""
+    path = byte_tokens.default_path("byte_bpe_50k.json")
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in zip((i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2), (0, 1, 5, 60, 700, 3000))]
+    encoded = lm_scoring.encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), path).cache()
+    own, want, n = lm_scoring.word_ids(path), [], 0
+    for r in encoded.where("ids is not null").collect():
+        ids = np.frombuffer(r["ids"], own.kind)
+        n += len(ids) + 1
+        inputs, targets, _ = lm_scoring.blocks_of(ids, np.array([len(ids)]), own.end_id)
+        want += [np.concatenate([inputs[k - 1], np.where(targets[k] < 0, -1, inputs[k]), targets[k]]).astype("<i4").tobytes() for k in range(1, len(inputs))]
+    assert sorted(bytes(r["window"]) for r in lm_scoring.training_windows(encoded, path).collect()) == sorted(want)
+    assert sum(len(r["run"]) for r in lm_scoring.training_runs(encoded, path).collect()) < 2.5 * n
+    encoded.unpersist()
+
+
 def test_memory_counts_what_other_texts_have(spark):
     """What the memory adds, by a loop over segments; a text of the training part does not see itself."""
     rows = [(1, False, [(10, 11, -20.0), (11, 12, -30.0)]), (2, False, [(10, 11, -20.0), (11, 13, -25.0)]), (3, True, [(10, 11, -20.0), (11, 14, -5.0)]), (4, False, [(50, 51, -9.0)]), (5, True, [(50, 51, -9.0)]), (6, True, [(60, 61, -9.0)]), (7, True, [(60, 61, -9.0)]), (8, False, [(70, 71, -1.0)])]
