@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .bpe_automaton import IntTable
 from .byte_tokens import byte_letters, coder, default_path
-from .common import documents, held_out_fold, join_counted, map_batches, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
+from .common import _LOWER, documents, held_out_fold, join_counted, map_batches, materialize, mix64, pieces, text_bytes, whole_text, word_hashes, word_spans
 
 END_WORD = np.int64(1)  # stands for the end token among word hashes
 TOP_WORDS = 200_000
@@ -57,7 +57,7 @@ ROUNDS, BATCH, RATE, PART_WINDOWS = 2, 64, 6e-3, 16384
 #: Blocks of a run of ids, and partitions that one task trains one after the other.
 RUN, TASK_PARTS = 16, 8
 SEGMENT = 64
-_SPACE = re.compile(r"[\s\x1c-\x1f]")
+_SPACE, _ODD = re.compile(r"[\s\x1c-\x1f]"), re.compile(r"[^\S ]|[\x1c-\x1f]")
 _ID = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 1 << 17, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +97,16 @@ class WordIds:
         self.table, self.n, self.used = IntTable(14), 0, 0
         self.flat, self.start, self.length, self.key = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
+    def _encode(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of n words, each with a blank before it, and how many each has."""
+        ranked = self.coder.ranked
+        if ranked is not None and not _ODD.search(text):
+            ids = np.array(ranked.encode_ordinary(text), np.int64)
+            return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+        got = self._encode_each(text[1:].split(" "))
+        return np.concatenate(got), np.fromiter(map(len, got), np.int64, n)
+
+    def _encode_each(self, words: list[str]) -> list[list[int]]:
         ranked = self.coder.ranked
         if ranked is None:
             return [e.ids for e in self.coder.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
@@ -118,10 +127,14 @@ class WordIds:
         if len(missing):
             new, at = np.unique(hashes[missing], return_index=True)
             at = missing[at]
-            words = [data[a:b].tobytes().lower().decode() for a, b in zip(start[at].tolist(), end[at].tolist())]
-            got = self._encode(words)
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.concatenate(got).astype(self.kind)
+            length = end[at] - start[at] + 1  # with the blank
+            stops = np.cumsum(length)
+            own = np.repeat(start[at] - 1 - (stops - length), length)
+            own += np.arange(stops[-1])
+            letters = _LOWER[data[own]]
+            letters[stops - length] = 32
+            ids, size = self._encode(letters.tobytes().decode(), len(at))
+            ids = ids.astype(self.kind)
             begin = np.cumsum(size) - size
             for name, values in (("flat", ids), ("start", begin + self.used), ("length", size), ("key", id_hashes(ids, begin))):
                 own, at = getattr(self, name), self.used if name == "flat" else self.n
@@ -246,6 +259,9 @@ class Vocabulary:
 SHAPES = {"embed": (PAD + 1, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "near": (2 * BLOCK,), "up": (WIDTH, HIDDEN), "up_bias": (HIDDEN,), "down": (HIDDEN, WIDTH), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, WIDTH, MEMBERS), "member_bias": (GROUPS, MEMBERS)}
 
 
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+
 def initial(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     scale = {"embed": 0.3, "near": 0.0, "up_bias": 0.0, "group": 0.05, "member": 0.05}
@@ -257,154 +273,208 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
-def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
+def views(x: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters that lie one after the other in x, not copied."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
+        out[k] = x[at : at + n].reshape(s)
         at += n
     return out
 
 
+def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v.astype(np.float32) for k, v in views(x).items()}
+
+
 _I, _J = np.arange(BLOCK)[:, None], np.arange(2 * BLOCK)[None, :]
 _DISTANCE = np.clip(_I + BLOCK - _J, 0, None)
 _FUTURE = np.where(_J > _I + BLOCK, np.float32(-1e9), np.float32(0))
+#: Of each input symbol the places of its embedding in a flat array of pairs of numbers.
+_PAIRS = np.arange((PAD + 1) * (WIDTH // 2)).reshape(PAD + 1, WIDTH // 2)
+
+
+def tables(p: dict) -> np.ndarray:
+    """The map from an embedding to what it is compared with others' embeddings by: the queries' times the keys'."""
+    return p["query"] @ p["key"].T / np.float32(np.sqrt(WIDTH))
+
 
+def _rows(x: np.ndarray) -> np.ndarray:
+    """Rows (a multiple of BLOCK) in runs of 8 blocks or one: of small products numpy makes more in a second than of large and narrow ones."""
+    return x.reshape(-1, BLOCK if len(x) % (8 * BLOCK) else 8 * BLOCK, x.shape[-1])
 
-def tables(p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Of each input symbol the query and embedding, and the key and value, side by side."""
-    e = p["embed"]
-    return np.concatenate([e @ p["query"] / np.float32(np.sqrt(WIDTH)), e], 1), np.concatenate([e @ p["key"], e @ p["value"]], 1)
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x @ y for many rows x."""
+    return (_rows(x) @ np.ascontiguousarray(y)).reshape(len(x), -1)
+
+
+def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y for many rows x and y."""
+    return (_rows(x).transpose(0, 2, 1) @ _rows(y)).sum(0)
+
+
+def _plain(total: np.ndarray) -> bool:
+    """Whether sums of exponentials are neither too large nor too small."""
+    return not total.size or bool(total.min() > 1e-30 and total.max() < np.inf)
 
 
 def _attention(p: dict, s: np.ndarray, padded: np.ndarray) -> np.ndarray:
     """Weights of the keys from scores s, each row's sum 1; the future and padding have none."""
-    near = p["near"][_DISTANCE]
+    near = p["near"][_DISTANCE] + _FUTURE
     with np.errstate(over="ignore", invalid="ignore"):
         e = np.exp(s)
-        e *= np.exp(near + _FUTURE)
+        e *= np.exp(near)
         e[padded, :, :BLOCK] = 0
-        total = e.sum(-1, keepdims=True)
-    if not (np.isfinite(total).all() and (total > 1e-30).all()):  # too large or small for plain sums
-        s = s + (near + _FUTURE)
+        total = e @ np.ones(2 * BLOCK, np.float32)
+    if not _plain(total):
+        s = s + near
         s[padded, :, :BLOCK] = -1e9
         s -= s.max(-1, keepdims=True)
         e = np.exp(s)
-        total = e.sum(-1, keepdims=True)
-    e /= total
+        total = e.sum(-1)
+    e *= (1 / total)[:, :, None]
     return e
 
 
-def forward(p: dict, own: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Last hidden states for the last BLOCK positions of windows x of 2 * BLOCK symbols, and what the gradient needs.
+def forward(p: dict, own: np.ndarray, x: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """Last hidden states for the last BLOCK positions of windows x of 2 * BLOCK symbols, in that order of rows, and what the gradient needs.
 
-    A window's first block is padding as a whole or not at all; padding at its end is only seen by itself.
+    A window's first block is padding as a whole or not at all; padding at its end is only seen by itself. Keys'
+    and values' maps are applied to queries and to sums of what is seen, so not to each place that is seen.
     """
-    w = WIDTH
-    a, c = np.take(own[0], x[:, BLOCK:], axis=0), np.take(own[1], x, axis=0)
-    e = _attention(p, a[:, :, :w] @ c[:, :, :w].transpose(0, 2, 1), x[:, 0] == PAD)
-    seen = (e @ c[:, :, w:]).reshape(-1, w)
-    h = a[:, :, w:].reshape(-1, w) + seen
-    u = h @ p["up"]
+    c = np.take(p["embed"], x, axis=0)
+    a = c[:, BLOCK:] @ own
+    across = c.transpose(0, 2, 1).copy()
+    e = _attention(p, a @ across, x[:, 0] == PAD)
+    met = (e @ c).reshape(-1, WIDTH)
+    h = _times(met, p["value"])
+    h += c[:, BLOCK:].reshape(-1, WIDTH)
+    h = h if order is None else np.take(h, order, axis=0)
+    u = _times(h, p["up"])
     u += p["up_bias"]
     np.maximum(u, 0, out=u)
-    return h + u @ p["down"], (a, c, e, h, u)
+    g = _times(u, p["down"])
+    g += h
+    return g, (a, c, across, e, met, h, u)
 
 
-def _levels(p: dict, g: np.ndarray, cell: np.ndarray) -> tuple:
-    """Logits of all groups, and of the members of each row's own group, there in the order of groups."""
+def _by_group(cell: np.ndarray) -> tuple:
+    """The order of rows by their cell's group, each one's group and member in it, and the groups that are there with their bounds."""
+    order = np.argsort((cell // MEMBERS).astype(np.uint8), kind="stable")
+    cell = np.take(cell, order).astype(np.int64)
     group, member = cell // MEMBERS, cell % MEMBERS
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    bounds = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist()
-    ordered, z = g[order], np.empty((len(g), MEMBERS), np.float32)
-    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if b > a:
-            np.matmul(ordered[a:b], p["member"][k], out=z[a:b])
-            z[a:b] += p["member_bias"][k]
-    first = g @ p["group"]
+    ends = np.searchsorted(group, np.arange(1, GROUPS + 1)).tolist()
+    return order, group, member, [(k, a, b) for k, a, b in zip(range(GROUPS), [0, *ends], ends) if b > a]
+
+
+def _levels(p: dict, g: np.ndarray, group: np.ndarray, bounds: list) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all groups, and of the members of each row's own group, of rows in the order of groups."""
+    z = np.empty((len(g), MEMBERS), np.float32)
+    for k, a, b in bounds:
+        np.dot(g[a:b], p["member"][k], out=z[a:b])
+    z += np.take(p["member_bias"], group, axis=0)
+    first = _times(g, p["group"])
     first += p["group_bias"]
-    return first, z, order, bounds, group, member[order], ordered
+    return first, z
 
 
-def _log_sums(z: np.ndarray) -> np.ndarray:
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of rows up to a factor, their sums, and the logarithms of the sums without that factor."""
     with np.errstate(over="ignore"):
-        total = np.exp(z) @ np.ones(z.shape[1], np.float32)
-    if np.isfinite(total).all() and (total > 1e-30).all():
-        return np.log(total)
+        e = np.exp(z)
+        total = e @ np.ones(z.shape[1], np.float32)
+    if _plain(total):
+        return e, total, np.log(total)
     top = z.max(1)
-    return np.log(np.exp(z - top[:, None]).sum(1)) + top
+    e = np.exp(z - top[:, None])
+    total = e.sum(1)
+    return e, total, np.log(total) + top
 
 
 def log_probability(p: dict, g: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """The log probability of each row's cell."""
-    first, z, order, _, group, member, _ = _levels(p, g, cell)
+    order, group, member, bounds = _by_group(cell)
+    first, z = _levels(p, np.take(g, order, axis=0), group, bounds)
     rows = np.arange(len(g))
-    out = first[rows, group] - _log_sums(first)
-    out[order] += z[rows, member] - _log_sums(z)
-    return out
-
-
-def _scatter(where: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows of values by where."""
-    order = np.argsort(where, kind="stable")
-    at = where[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
+    out = np.empty(len(g), np.float32)
+    out[order] = first.ravel()[rows * GROUPS + group] - _exponentials(first)[2] + z.ravel()[rows * MEMBERS + member] - _exponentials(z)[2]
     return out
 
 
-def loss_and_gradient(p: dict, x: np.ndarray, cell: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-    """Mean cross entropy of cells where weight is 1, and its gradient."""
-    g, (a, c, e, h, u) = forward(p, tables(p), x)
-    t, wt = cell.ravel(), weight.ravel()
-    share = (wt / max(1.0, float(wt.sum())))[:, None].astype(np.float32)
-    first, z, order, bounds, group, member, ordered = _levels(p, g, t)
-    rows = np.arange(len(t))
-    log_first, log_z = _log_sums(first), _log_sums(z)
-    loss = float(((log_first - first[rows, group]) * share[:, 0]).sum() + ((log_z - z[rows, member]) * share[order, 0]).sum())
-    d1, d2 = np.exp(first - log_first[:, None]), np.exp(z - log_z[:, None])
-    d1[rows, group] -= 1
-    d2[rows, member] -= 1
-    d1 *= share
-    d2 *= share[order]
-    d = {"group": g.T @ d1, "group_bias": d1.sum(0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
-    dg, more = d1 @ p["group"].T, np.empty_like(g)
-    for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
-        if j > i:
-            d["member"][k], d["member_bias"][k] = ordered[i:j].T @ d2[i:j], d2[i:j].sum(0)
-            more[i:j] = d2[i:j] @ p["member"][k].T
-    dg[order] += more
-    du = (dg @ p["down"].T) * (u > 0)
-    d["down"], d["up"], d["up_bias"] = u.T @ dg, h.T @ du, du.sum(0)
-    dh = dg + du @ p["up"].T
-    w, n = WIDTH, len(x)
-    dseen = dh.reshape(n, BLOCK, w)
-    ds = dseen @ c[:, :, w:].transpose(0, 2, 1)
-    ds = e * (ds - (ds * e).sum(-1, keepdims=True))
-    d["near"] = np.bincount(_DISTANCE.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-    d_qe = np.concatenate([ds @ c[:, :, :w], dseen], 2).reshape(-1, 2 * w)
-    d_kv = np.concatenate([ds.transpose(0, 2, 1) @ a[:, :, :w], e.transpose(0, 2, 1) @ dseen], 2).reshape(-1, 2 * w)
-    d_qe, d_kv = _scatter(x[:, BLOCK:].ravel(), d_qe, PAD + 1), _scatter(x.ravel(), d_kv, PAD + 1)
-    d_q, d_k, d_v, embed = d_qe[:, :w] / np.float32(np.sqrt(w)), d_kv[:, :w], d_kv[:, w:], p["embed"]
-    d["query"], d["key"], d["value"] = embed.T @ d_q, embed.T @ d_k, embed.T @ d_v
-    d["embed"] = d_qe[:, w:] + d_q @ p["query"].T + d_k @ p["key"].T + d_v @ p["value"].T
+def loss_and_gradient(p: dict, x: np.ndarray, cell: np.ndarray, weight: np.ndarray, d: dict | None = None) -> tuple[float, dict]:
+    """Mean cross entropy of cells where weight is 1, and its gradient, written to d if given."""
+    d = views(np.empty(SIZE, np.float32)) if d is None else d
+    p = {k: v.astype(np.float32, copy=False) for k, v in p.items()}
+    w, n, wt = WIDTH, len(x), weight.ravel()
+    order, group, member, bounds = _by_group(cell.ravel())
+    own = tables(p)
+    g, (a, c, across, e, met, h, u) = forward(p, own, x, order)
+    share = np.take(wt / np.float32(max(1.0, float(wt.sum()))), order).astype(np.float32)
+    first, z = _levels(p, g, group, bounds)
+    rows, ones = np.arange(len(g)), np.ones(len(g), np.float32)
+    at_group, at_member = rows * GROUPS + group, rows * MEMBERS + member
+    (d1, sum_1, log_1), (d2, sum_2, log_2) = _exponentials(first), _exponentials(z)
+    loss = float((log_1 - first.ravel()[at_group] + log_2 - z.ravel()[at_member]) @ share)
+    d1 *= (share / sum_1)[:, None]
+    d2 *= (share / sum_2)[:, None]
+    d1.ravel()[at_group] -= share
+    d2.ravel()[at_member] -= share
+    d["group"][:], d["group_bias"][:] = _sums(g, d1), ones @ d1
+    back, more = p["member"].transpose(0, 2, 1).copy(), np.empty_like(g)
+    d["member"][:], d["member_bias"][:] = 0, 0
+    for k, i, j in bounds:
+        np.dot(g[i:j].T, d2[i:j], out=d["member"][k])
+        np.dot(ones[i:j], d2[i:j], out=d["member_bias"][k])
+        np.dot(d2[i:j], back[k], out=more[i:j])
+    more += _times(d1, p["group"].T)
+    du = _times(more, p["down"].T)
+    du *= u > 0
+    d["down"][:], d["up"][:], d["up_bias"][:] = _sums(u, more), _sums(h, du), ones @ du
+    more += _times(du, p["up"].T)
+    dh = np.empty_like(more)
+    dh[order] = more
+    d["value"][:] = _sums(met, dh)
+    dmet = _times(dh, p["value"].T).reshape(n, BLOCK, w)
+    ds = dmet @ across
+    ds *= e
+    ds -= e * (ds @ np.ones(2 * BLOCK, np.float32))[:, :, None]
+    d["near"][:] = np.bincount(_DISTANCE.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), 2 * BLOCK)
+    da = (ds @ c).reshape(-1, w)
+    dc = ds.transpose(0, 2, 1) @ a
+    dc += e.transpose(0, 2, 1) @ dmet
+    dh += _times(da, own.T)
+    dc[:, BLOCK:] += dh.reshape(n, BLOCK, w)
+    both = _sums(c[:, BLOCK:].reshape(-1, w), da) / np.float32(np.sqrt(w))  # of the product of the queries' and keys' maps
+    d["query"][:], d["key"][:] = both @ p["key"], both.T @ p["query"]
+    d["embed"][:] = 0
+    np.add.at(d["embed"].reshape(-1).view(np.complex64), np.take(_PAIRS, x, axis=0).ravel(), dc.reshape(-1).view(np.complex64))
     return loss, d
 
 
 def train(p: dict, x: np.ndarray, cell: np.ndarray, weight: np.ndarray, epochs: int = 1, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> dict:
     """Adam over the windows, in a random order each epoch, its rate falling to a tenth."""
-    now, m, v = flat(p), np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32), 0.0
+    now, d, m, v, step = flat(p), *(np.zeros(SIZE, np.float32) for _ in range(4))
+    own, into = views(now), views(d)
     rng, t, last = np.random.default_rng(seed), 0, epochs * -(-len(x) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
-            own = order[at : at + batch]
-            d = flat(loss_and_gradient(shaped(now), x[own], cell[own], weight[own])[1])
+            rows = order[at : at + batch]
+            loss_and_gradient(own, x[rows], cell[rows], weight[rows], into)
             t += 1
-            m = 0.9 * m + 0.1 * d
-            v = 0.98 * v + 0.02 * d * d
-            now = now - np.float32(rate * (1 - 0.9 * t / last) / (1 - 0.9**t)) * m / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)
+            # m and v are the means of gradients and their squares, over 0.1 and 0.02
+            m *= np.float32(0.9)
+            m += d
+            d *= d
+            v *= np.float32(0.98)
+            v += d
+            unit = np.sqrt(0.02 / (1 - 0.98**t))
+            np.sqrt(v, out=step)
+            step += np.float32(1e-8 / unit)
+            np.divide(m, step, out=step)
+            step *= np.float32(rate * (1 - 0.9 * t / last) * 0.1 / (1 - 0.9**t) / unit)
+            now -= step
     return shaped(now)
 
 
@@ -547,7 +617,7 @@ def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[Vocabulary
     return vocabulary, p
 
 
-def token_scores(vocabulary: Vocabulary, p: dict, own: tuple, ids: np.ndarray, counts: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def token_scores(vocabulary: Vocabulary, p: dict, own: np.ndarray, ids: np.ndarray, counts: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """All targets of the texts (ids and end ids, in order) and the log10 probability of each: every id once, in its own block."""
     inputs, targets, _ = blocks_of(ids, counts, vocabulary.end_id)
     x = np.where(inputs < 0, PAD, vocabulary.symbol[inputs]).astype(np.int32)

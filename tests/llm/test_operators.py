@@ -539,6 +539,33 @@ def test_gradient_is_that_of_the_loss():
             assert abs((up - down) / 6e-2 - size) < 0.03 * size + 2e-4, k
 
 
+def test_training_steps_equal_plain_ones_without_tables_of_all_symbols():
+    """Gradients fill the array they are given, Adam in place equals a plain one, and no step makes keys and values of every symbol."""
+    rng = np.random.default_rng(8)
+    vocabulary = lm_scoring.Vocabulary(np.arange(6000, 0, -1), 5999)
+    x, targets = windows(rng.integers(0, 3000, 2900), np.array([1400, 0, 70, 1430]), vocabulary)
+    cell, weight = vocabulary.cell[targets], (targets >= 0).astype(np.float32)
+    start = lm_scoring.initial(vocabulary)
+    assert lm_scoring.tables(start).size < lm_scoring.PAD  # a map, not a row of numbers for each symbol
+    into = np.full(lm_scoring.SIZE, 7, np.float32)  # what stood there before is gone
+    for n in (1, 8, 13):  # of rows in runs of one block and of eight
+        one, d = lm_scoring.loss_and_gradient(start, x[:n], cell[:n], weight[:n], lm_scoring.views(into))
+        parts = [lm_scoring.loss_and_gradient(start, x[i : i + 1], cell[i : i + 1], weight[i : i + 1]) for i in range(n)]
+        share = [weight[i].sum() / weight[:n].sum() for i in range(n)]
+        assert abs(one - sum(a * loss for a, (loss, _) in zip(share, parts))) < 1e-4
+        assert np.allclose(into, sum(a * lm_scoring.flat(g).astype(float) for a, (_, g) in zip(share, parts)), atol=1e-5)
+    now, m, v, t, order = lm_scoring.flat(start).astype(float), 0.0, 0.0, 0, np.random.default_rng(3).permutation(len(x))
+    last = -(-len(x) // 64)
+    for at in range(0, len(x), 64):
+        own = order[at : at + 64]
+        g = lm_scoring.flat(lm_scoring.loss_and_gradient(lm_scoring.shaped(now), x[own], cell[own], weight[own])[1]).astype(float)
+        t += 1
+        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
+        now = now - lm_scoring.RATE * (1 - 0.9 * t / last) / (1 - 0.9**t) * m / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)
+    got = lm_scoring.flat(lm_scoring.train(start, x, cell, weight, seed=3))
+    assert np.abs(got - now).mean() < 1e-5 and np.abs(got - lm_scoring.flat(start)).mean() > 1e-3
+
+
 def test_scores_equal_a_loop_over_tokens():
     """Each id once, by a plain float64 model of its own window; extreme parameters give numbers, and cells sum to one."""
     rng = np.random.default_rng(4)
