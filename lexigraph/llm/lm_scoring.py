@@ -506,11 +506,40 @@ def _ids_in(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // kind.itemsize
 
 
+def packed(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as bytes, and where each begins and the last one ends: seven bits of the rank a byte, the last byte of an id under 128, so frequent ids have one."""
+    r = rank[ids]
+    size = np.ones(len(r), np.int64)
+    for bits in range(7, int(rank.max(initial=0)).bit_length(), 7):
+        size += r >= 1 << bits
+    bounds = np.append(0, np.cumsum(size))
+    out = np.empty(bounds[-1], np.uint8)
+    out[bounds[1:] - 1] = r & 127
+    for k in range(1, int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        out[bounds[own + 1] - 1 - k] = r[own] >> 7 * k & 127 | 128
+    return out, bounds
+
+
+def unpacked(data: bytes, by_rank: np.ndarray) -> np.ndarray:
+    """The ids that were packed."""
+    data = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(data < 128)
+    size, rank = np.diff(last, prepend=-1), data[last].astype(np.int64)
+    for k in range(1, int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        rank[own] |= (data[last[own] - k].astype(np.int64) & 127) << 7 * k
+    return by_rank[rank]
+
+
 RUNS = "turn int, key long, head boolean, run binary"
 
 
-def training_runs(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
-    """turn, key, head (a text's first) and the ids of each run of `RUN` blocks: the block before it, but at the head, its inputs and its last target."""
+def training_runs(encoded: DataFrame, path: str, rounds: int = ROUNDS, turn: int | None = None, rank: np.ndarray | None = None) -> DataFrame:
+    """turn, key, head (a text's first) and the ids of each run of `RUN` blocks: the block before it, but at the head, its inputs and its last target.
+
+    Of one turn if given; the ids packed if their ranks are given.
+    """
     names = ["turn", "key", "head", "run"]
 
     def run(batches):
@@ -528,18 +557,27 @@ def training_runs(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> DataFr
                 a = at + np.maximum(0, number * RUN * BLOCK - BLOCK)
                 b = np.minimum(at + (number + 1) * RUN * BLOCK + 1, end)
                 key = mix64(np.repeat(part.column("row_key").to_numpy().view(np.uint64), size) + number.astype(np.uint64) * _STEP)
+                turns = (key % np.uint64(rounds)).astype(np.int32)
+                mine = slice(None) if turn is None else turns == turn
+                a, b = a[mine], b[mine]
+                if rank is not None:
+                    stream, bounds = packed(stream, rank)
+                    a, b = bounds[a], bounds[b]
                 data = [stream[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(rounds)).astype(np.int32)), pa.array((key >> np.uint64(1)).view(np.int64)), pa.array(number == 0), pa.array(data, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(turns[mine]), pa.array((key[mine] >> np.uint64(1)).view(np.int64)), pa.array(number[mine] == 0), pa.array(data, pa.binary())], names=names)
 
     rows = encoded.where("ids is not null and not held_out").select("row_key", "ids")
     return map_batches(rows, run, RUNS)
 
 
-def windows_of(runs: list[bytes], head: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the windows of all runs' blocks (the block before, the own one, its targets; -1: none), and how many each run has."""
-    size = np.fromiter(map(len, runs), np.int64, len(runs)) // kind.itemsize
-    ids = np.frombuffer(b"".join(runs), kind).astype(np.int32)
-    blocks = -(-(size - 1 - np.where(head, 0, BLOCK)) // BLOCK)
+def blocks_in(size: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """How many blocks runs of so many ids have."""
+    return -(-(size - 1 - np.where(head, 0, BLOCK)) // BLOCK)
+
+
+def windows_of(ids: np.ndarray, size: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the windows of all blocks of runs of so many ids (the block before, the own one, its targets; -1: none), and how many each run has."""
+    blocks = blocks_in(size, head)
     first = np.cumsum(blocks + 1) - (blocks + 1)  # of each run the block before it, or padding
     inputs, targets = np.full(int((blocks + 1).sum()) * BLOCK, -1, np.int32), np.full(int((blocks + 1).sum()) * BLOCK, -1, np.int32)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
@@ -559,14 +597,14 @@ def training_windows(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> Dat
     def run(batches):
         kind = word_ids(path).kind
         for batch in batches:
-            windows, blocks = windows_of(batch.column("run").to_pylist(), batch.column("head").to_numpy(zero_copy_only=False), kind)
+            windows, blocks = windows_of(*_ids_in(batch.column("run"), kind), batch.column("head").to_numpy(zero_copy_only=False))
             columns = [np.repeat(batch.column(c).to_numpy(), blocks) for c in ("turn", "key")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([w.astype("<i4").tobytes() for w in windows], pa.binary())], schema=schema)
 
     return map_batches(training_runs(encoded, path, rounds), run, "turn int, key long, window binary")
 
 
-FIXED_POINT = float(1 << 20)
+FIXED_POINT, SENT = float(1 << 20), 16
 
 
 def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[Vocabulary, dict]:
@@ -577,43 +615,49 @@ def fit(encoded: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[Vocabulary
         counts[r["id"]] = r["n"]
     vocabulary = Vocabulary(counts, words.end_id, words.alike)
     p = initial(vocabulary)
+    by_rank = np.argsort(-counts, kind="stable").astype(np.int32)
+    rank = np.empty_like(by_rank)
+    rank[by_rank] = np.arange(len(rank))
     blocks = F.ceil((F.octet_length("ids") / words.kind.itemsize + 1) / BLOCK)
     total = encoded.where("ids is not null and not held_out").agg(F.sum(blocks)).first()[0] or 0
+    names = [f"x{i}" for i in range(SENT)]
     for turn in range(rounds):
         start = flat(p)
 
         def run(batches, start=start, turn=turn):
-            kind, runs, heads = word_ids(path).kind, [], []
+            runs, heads = [], []
             for b in batches:
                 runs += b.column("run").to_pylist()
                 heads.append(b.column("head").to_numpy(zero_copy_only=False))
             if not runs:
                 return
             head = np.concatenate(heads)
-            ends = np.cumsum(-(-(np.fromiter(map(len, runs), np.int64, len(runs)) // kind.itemsize - 1 - np.where(head, 0, BLOCK)) // BLOCK))
+            bounds = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+            size = np.add.reduceat(np.frombuffer(b"".join(runs), np.uint8) < 128, np.append(0, bounds[:-1]), dtype=np.int64)
+            ends = np.cumsum(blocks_in(size, head))
             parts = max(1, int(ends[-1]) // PART_WINDOWS)
             cuts = np.searchsorted(ends, ends[-1] * np.arange(1, parts) // parts).tolist()
             n, held = 0, 0
             for a, b in zip([0, *cuts], [*cuts, len(runs)]):
                 if b > a:
-                    raw, _ = windows_of(runs[a:b], head[a:b], kind)
+                    raw, _ = windows_of(unpacked(b"".join(runs[a:b]), by_rank), size[a:b], head[a:b])
                     x = np.where(raw[:, : 2 * BLOCK] < 0, PAD, vocabulary.symbol[raw[:, : 2 * BLOCK]])
                     goal = raw[:, 2 * BLOCK :]
                     p = train(shaped(start), x, vocabulary.cell[goal], (goal >= 0).astype(np.float32), seed=turn)
                     n, held = n + len(x), held + np.rint(len(x) * FIXED_POINT * flat(p).astype(np.float64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([held], pa.list_(pa.int64()))], names=["weight", "parameters"])
+            at = np.arange(0, SIZE, SENT)
+            sent = np.append(held, np.zeros(-SIZE % SENT, np.int64)).reshape(-1, SENT)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), n)), *(pa.array(c) for c in np.ascontiguousarray(sent.T))], names=["at", "weight", *names])
 
         if total:
             # equal keys lie together and in order, so a lost task trains the same again
-            rows = training_runs(encoded, path, rounds).where(F.col("turn") == turn).select("key", "head", "run")
+            rows = training_runs(encoded, path, rounds, turn, rank).select("key", "head", "run")
             rows = rows.repartition(max(1, int(total) // rounds // (PART_WINDOWS * TASK_PARTS)), "key").sortWithinPartitions("key", "head", "run")
-            trained = map_batches(rows, run, "weight long, parameters array<long>").select("weight", F.posexplode("parameters").alias("at", "x"))
-            mean = trained.groupBy("at").agg(F.sum("x").alias("x"), F.sum("weight").alias("n")).toPandas()  # as many rows as parameters, or none: all runs may be of other rounds
+            trained = map_batches(rows, run, ", ".join(f"{c} long" for c in ["at", "weight", *names]))
+            mean = trained.groupBy("at").agg(F.sum("weight").alias("weight"), *(F.sum(c).alias(c) for c in names)).toPandas().sort_values("at")  # as many numbers as parameters, or none: all runs may be of other rounds
             if not len(mean):
                 continue
-            start = start.copy()
-            start[mean["at"].to_numpy()] = mean["x"].to_numpy(np.float64) / mean["n"].to_numpy(np.float64) / FIXED_POINT
-            p = shaped(start)
+            p = shaped((mean[names].to_numpy(np.float64) / mean[["weight"]].to_numpy(np.float64) / FIXED_POINT).ravel()[:SIZE])
     return vocabulary, p
 
 
@@ -650,8 +694,8 @@ SCORED = "doc_id long, row_key long, held_out boolean, n_tokens long, n_top long
 
 def score_documents(docs: DataFrame, path: str, modulus: int = 7, fold: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """Base and model scores of every document, learnt from those outside the held-out fold."""
-    encoded = materialize(encode_texts(docs, path, modulus, fold), "lm-encoded")
-    counts = materialize(encoded.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "word-counts")
+    encoded = materialize(encode_texts(docs, path, modulus, fold), "lm-encoded", "zstd")
+    counts = materialize(encoded.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "word-counts", "zstd")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, unit = sums["n"], float(np.log10(sums["n"] + sums["v"] + 1))
     top, found = top_words(counts)
@@ -684,7 +728,7 @@ def score_documents(docs: DataFrame, path: str, modulus: int = 7, fold: int = 2,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), part.column("held_out"), pa.array(n + 1), pa.array(np.add.reduceat(known, first, dtype=np.int64)), pa.array(base), rare, pa.array(total), pairs], names=["doc_id", "row_key", "held_out", "n_tokens", "n_top", "base_top", "rare", "net", "pairs"])
 
     rows = encoded.where("ids is not null").select("doc_id", "row_key", "held_out", "n_words", "ids")
-    scored = materialize(map_batches(rows, run, SCORED), "lm-scored")
+    scored = materialize(map_batches(rows, run, SCORED), "lm-scored", "zstd")
     met = scored.select("row_key", F.explode("rare").alias("word")).join(counts, "word").select("row_key", F.log10(F.col("c") + 1.0).alias("more"), F.lit(1).alias("hits"), F.lit(0.0).alias("recalled"), F.lit(0).alias("times"))
     recalled = remembered(scored).select("row_key", F.lit(0.0).alias("more"), F.lit(0).alias("hits"), "recalled", F.lit(0).alias("times"))
     once = scored.select("row_key", F.lit(0.0).alias("more"), F.lit(0).alias("hits"), F.lit(0.0).alias("recalled"), F.lit(1).alias("times"))
@@ -706,9 +750,9 @@ def score_documents(docs: DataFrame, path: str, modulus: int = 7, fold: int = 2,
 def remembered(scored: DataFrame) -> DataFrame:
     """row_key and what the memory adds to the score, for each segment whose context other texts have."""
     pairs = scored.select("row_key", "held_out", F.inline("pairs"))
-    seen = materialize(pairs.groupBy("ctx", "seg").agg(F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("n")), "lm-segments")
+    seen = materialize(pairs.groupBy("ctx", "seg").agg(F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("n")), "lm-segments", "zstd")
     contexts = seen.groupBy("ctx").agg(F.sum("c").alias("all_c"), F.sum("n").alias("all_n")).where("all_n > 1 and all_c > 0")
-    known = materialize(seen.join(contexts, "ctx").select("ctx", "seg", "n", "c", "all_c"), "lm-known")
+    known = materialize(seen.join(contexts, "ctx").select("ctx", "seg", "n", "c", "all_c"), "lm-known", "zstd")
     met = join_counted(pairs, known, ["ctx", "seg"], "n")
     own = F.when(F.col("held_out"), 0).otherwise(1)
     c, every, p = F.col("c") - own, F.col("all_c") - own, F.pow(F.lit(10.0), F.col("net"))

@@ -631,6 +631,29 @@ def test_training_shuffles_ids_and_not_windows(spark):
     encoded.unpersist()
 
 
+def test_frequent_ids_are_shuffled_in_a_byte(spark):
+    """Packed ids come back, and packed runs hold the same ids in fewer bytes."""
+    rank = np.random.default_rng(2).permutation(70_000).astype(np.int32)
+    by_rank = np.argsort(rank)
+    for ids in (np.zeros(0, int), by_rank[[0, 127, 128, 16383, 16384, 69_999]], np.arange(70_000)):
+        data, bounds = lm_scoring.packed(ids, rank)
+        assert np.array_equal(lm_scoring.unpacked(data.tobytes(), by_rank), ids) and len(bounds) == len(ids) + 1
+        assert np.diff(bounds).tolist() == [1 + (r >= 128) + (r >= 16384) for r in rank[ids]]
+    path = byte_tokens.default_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "the old and the new of the same " * 90) for i in range(6)], "doc_id long, text string")
+    encoded = lm_scoring.encode_texts(docs, path).cache()
+    own = lm_scoring.word_ids(path)
+    used = np.unique(np.concatenate([np.frombuffer(r["ids"], own.kind) for r in encoded.where("ids is not null").collect()]))
+    by_rank = np.append(used, np.setdiff1d(np.arange(own.size), used))
+    rank = np.argsort(by_rank)
+    plain = lm_scoring.training_runs(encoded, path).collect()
+    small = [r for turn in range(lm_scoring.ROUNDS) for r in lm_scoring.training_runs(encoded, path, turn=turn, rank=rank).collect()]
+    read = lambda r, ids: (r["turn"], r["key"], r["head"], ids.tolist())
+    assert sorted(read(r, np.frombuffer(r["run"], own.kind)) for r in plain) == sorted(read(r, lm_scoring.unpacked(r["run"], by_rank)) for r in small)
+    assert sum(len(r["run"]) for r in small) < 0.6 * sum(len(r["run"]) for r in plain)
+    encoded.unpersist()
+
+
 def test_memory_counts_what_other_texts_have(spark):
     """What the memory adds, by a loop over segments; a text of the training part does not see itself."""
     rows = [(1, False, [(10, 11, -20.0), (11, 12, -30.0)]), (2, False, [(10, 11, -20.0), (11, 13, -25.0)]), (3, True, [(10, 11, -20.0), (11, 14, -5.0)]), (4, False, [(50, 51, -9.0)]), (5, True, [(50, 51, -9.0)]), (6, True, [(60, 61, -9.0)]), (7, True, [(60, 61, -9.0)]), (8, False, [(70, 71, -1.0)])]
