@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in an order (make it total)."""
@@ -25,27 +27,22 @@ def batches(df: DataFrame, keys: list[str], order: list[Column], size: int) -> D
         n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     else:
         df, n = _numbered_ranges(df, order)
-    return df.withColumn("batch", F.floor(n / size).cast("int")).withColumn("id", (n % size + 1).cast("int")).drop("_range")
+    return df.withColumn("batch", F.floor(n / size).cast("int")).withColumn("id", (n % size + 1).cast("int")).drop("_range", "_at")
 
 
-def _numbered_ranges(df: DataFrame, order: list[Column], sampled: int = 20) -> tuple[DataFrame, Column]:
-    """df with _range, and each row's 0-based number in an ascending order, without a task that has all rows.
+def _numbered_ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, Column]:
+    """df as a stored table with _range and _at, and each row's 0-based number in an ascending order, without a task that has all rows.
 
-    Bounds from a sample make ranges; a row's number is the count of rows in the ranges before, and its place in its own.
+    What makes df runs once. Its rows are dealt to ranges and sorted there; a row's number is the count of rows in the
+    ranges before, and its place in its own.
     """
     spark = df.sparkSession
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    keys = df.select(key.alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    step = max(1, keys.count() // (sampled * parts))
-    some = keys.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).orderBy("key").collect()  # about sampled * parts rows, at most twice as many
-    types = keys.schema["key"].dataType.fields
-    bounds = [F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(r["key"], types)]) for r in some[sampled::sampled]]
-    at = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
-    df = df.withColumn("_range", at)
+    own = stored(df, "to-number")  # read twice: for the bounds of the ranges, and to be dealt
+    dealt = own.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    df = stored(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     before, total = [F.lit(-1), F.lit(0)], 0
     for r in df.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():  # as many rows as ranges
         before += [F.lit(r["_range"]), F.lit(total)]
         total += r["n"]
-    start = F.element_at(F.create_map(*before), F.col("_range"))
-    return df, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + start
+    return df, F.col("_at") + F.element_at(F.create_map(*before), F.col("_range"))
